@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,39 +14,40 @@ def window_column(days: int) -> str:
     return f"last_{days}d_volume"
 
 
-def risk_choice(risk: Column, choices: dict[str, Column]) -> Column:
-    """The value of the row's risk level; NULL for an unknown or missing level."""
-    (first, value), *rest = choices.items()
-    return reduce(
-        lambda acc, kv: acc.when(risk == kv[0], kv[1]),
-        rest,
-        F.when(risk == first, value),
-    )
+def text_list(values: Iterable[str]) -> str:
+    """``('a', 'b')`` for an IN predicate."""
+    return "(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
+
 
+def listed(column: str, values: Iterable[str]) -> Column:
+    return F.expr(f"{column} in {text_list(values)}")
 
-def risk_volume(config: LimitConfig) -> Column:
-    """Trailing-window volume picked by ``risk_level``."""
-    return risk_choice(
-        F.col("risk_level"),
-        {risk: F.col(window_column(days)) for risk, days in config.risk_windows.items()},
+
+def risk_volume(config: LimitConfig, prefix: str = "") -> Column:
+    """Trailing-window volume picked by ``risk_level``; NULL for any other level."""
+    arms = " ".join(
+        f"when '{risk}' then {prefix}{window_column(days)}"
+        for risk, days in config.risk_windows.items()
     )
+    return F.expr(f"case risk_level {arms} end")
 
 
 def eligible(config: LimitConfig) -> Column:
     """Whether the payment that hit the limit counts for this entity.
 
-    Send-money payments are assigned by currency (USD by address), balance payments
-    by address. Any other product gives NULL, which a filter drops.
+    Send-money payments are assigned by currency (USD by address), balance payments by
+    address. Any other product gives NULL, which a filter drops.
     """
-    product, currency = F.col("product_type"), F.col("source_currency")
-    is_send = product == config.sendmoney
-    return (
-        F.when(is_send & (currency == config.us_currency), ~F.col("has_us_address"))
-        .when(is_send, currency.isin(*config.currencies))
-        .when(product == config.balance, F.col("tw_ltd_customer"))
+    by_currency = (
+        f"if(source_currency = '{config.us_currency}', not has_us_address, "
+        f"source_currency in {text_list(config.currencies)})"
+    )
+    return F.expr(
+        f"case product_type when '{config.sendmoney}' then {by_currency}"
+        f" when '{config.balance}' then tw_ltd_customer end"
     )
 
 
-def times(volume: Column, ties: Column) -> Column:
+def times(volume: str, ties: str) -> Column:
     """Exact ``volume * ties``: 24 + 13 + 1 digits fill decimal(38,8) without loss."""
-    return volume.cast(VOLUME_TYPE) * ties.cast(TIES_TYPE)
+    return F.expr(f"cast({volume} as {VOLUME_TYPE}) * cast({ties} as {TIES_TYPE})")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,15 +15,20 @@ DAY_US = 24 * HOUR_US
 def micros(column: str) -> Column:
     """Microseconds since 1970 of a ``timestamp_ntz`` column, as a long.
 
-    ``unix_micros`` and ``timestamp_diff`` convert through the session zone, which
-    bends the distance between two timestamps at a daylight-saving change.
+    ``unix_micros`` and ``timestampdiff`` convert through the session zone, which bends
+    the distance between two timestamps at a daylight-saving change.
     """
-    c = F.col(column)
-    in_day = (
-        (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * SECOND_US
-        + (F.extract(F.lit("SECOND"), c) * SECOND_US).cast("long")
+    return F.expr(
+        f"unix_date(to_date({column})) * {DAY_US}L"
+        f" + (hour({column}) * 3600 + minute({column}) * 60) * {SECOND_US}L"
+        f" + cast(extract(second from {column}) * {SECOND_US} as bigint)"
     )
-    return F.unix_date(F.to_date(c)).cast("long") * DAY_US + in_day
+
+
+def at(moment: datetime) -> Column:
+    """A ``timestamp_ntz`` literal. ``lit(datetime)`` would be a zoned timestamp, which
+    shifts the comparison by the session zone and keeps the filter out of the scan."""
+    return F.expr(f"timestamp_ntz'{moment.isoformat(sep=' ')}'")
 
 
 def month_of(column: str | Column) -> Column:
@@ -29,6 +36,6 @@ def month_of(column: str | Column) -> Column:
     return F.trunc(column, "month")
 
 
-def floor_to(value: Column, width: int) -> Column:
-    """Largest multiple of ``width`` not above ``value`` (exact on longs)."""
-    return value - F.pmod(value, F.lit(width))
+def floor_to(column: str, width: int) -> Column:
+    """Largest multiple of ``width`` not above the column (exact on longs)."""
+    return F.expr(f"({column}) - pmod({column}, {width}L)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limitline.config import LimitConfig
-from limitline.functions.rules import eligible, risk_choice, risk_volume, window_column
+from limitline.functions.rules import eligible, listed, risk_volume
 from limitline.functions.time import month_of
 from limitline.operators.limits import (
     CUSTOMER_KEYS,
@@ -43,7 +43,7 @@ def backtest_months(volumes: DataFrame, config: LimitConfig = LimitConfig()) ->
         return F.min(F.when(volume >= limit, F.col("refdate")))
 
     return (
-        volumes.filter(F.col("source_currency").isin(*config.currencies))
+        volumes.filter(listed("source_currency", config.currencies))
         .groupBy(*ENTITLEMENT_HIT_KEYS)
         .agg(
             first_date(F.col("lifetime_volume")).alias("old_date"),
@@ -95,18 +95,11 @@ def compare_rules(pgl: DataFrame, lro: DataFrame, lttw: DataFrame, ltto: DataFra
 
 def monitoring_months(volumes: DataFrame, config: LimitConfig = LimitConfig()) -> DataFrame:
     """Month of all four rules per (risk level, customer), from ``monitoring_volumes``."""
-
-    def by_risk(kind: str):
-        return risk_choice(
-            F.col("risk_level"),
-            {r: F.col(f"{kind}_{window_column(d)}") for r, d in config.risk_windows.items()},
-        )
-
     rule_volumes = {
         "pgl": F.col("lifetime_volume"),
         "lro": F.col("same_recipient_volume"),
-        "lttw": by_risk("linked"),
-        "ltto": by_risk("any"),
+        "lttw": risk_volume(config, "linked_"),
+        "ltto": risk_volume(config, "any_"),
     }
     first_dates = [
         F.min(F.when(volume >= config.limit, F.col("refdate"))).alias(rule)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import LimitConfig, SkewPolicy
-from limitline.functions.time import DAY_US, floor_to, micros, month_of
-from limitline.operators.payments import with_risk
+from limitline.functions.time import DAY_US, at, floor_to, micros, month_of
+from limitline.operators.payments import with_profile
 from limitline.operators.skew import hot_keys, skew_join
 from limitline.sources.tables import Sources
 
@@ -36,20 +36,17 @@ def _triggers(
     """Triggers of one entitlement by personal customers, with risk level."""
     triggers = src.triggered_entitlement.filter(F.col("entitlement_id") == entitlement)
     if since is not None:
-        triggers = triggers.filter(F.col("date_created") >= F.lit(since))
+        triggers = triggers.filter(F.col("date_created") >= at(since))
     if until is not None:
-        triggers = triggers.filter(F.col("date_created") < F.lit(until))
+        triggers = triggers.filter(F.col("date_created") < at(until))
     profiles = src.user_profile.filter(F.col("class").ilike(config.personal_pattern)).select(
         F.col("id").alias("user_profile_id")
     )
     transfers = src.transfer.select(F.col("id").alias("request_id"), "user_profile_id")
     owned = skew_join(
-        triggers, transfers, "request_id", hot=hot["request_id"], policy=policy
+        triggers, "request_id", [(transfers, "inner")], hot["request_id"], policy
     ).drop("request_id")
-    return skew_join(
-        owned, with_risk(profiles, src), "user_profile_id",
-        hot=hot["user_profile_id"], policy=policy,
-    )
+    return with_profile(owned, profiles, src, hot["user_profile_id"], policy)
 
 
 def verified_near(
@@ -65,22 +62,18 @@ def verified_near(
     """
     span = (days_before + days_after) * DAY_US
     by_bucket = triggers.withColumn("trigger_us", micros("date_created")).withColumn(
-        "bucket", floor_to(F.col("trigger_us"), span)
+        "bucket", floor_to("trigger_us", span)
     )
-    at = micros("first_verification_time")
+    verified = micros("first_verification_time")
     reach = history.select(
         F.col("user_profile_id").alias("verified_user"),
         "verification_method",
-        (at - days_after * DAY_US).alias("from_us"),
-        (at + days_before * DAY_US).alias("before_us"),
+        (verified - days_after * DAY_US).alias("from_us"),
+        (verified + days_before * DAY_US).alias("before_us"),
     ).withColumn(
         "verified_bucket",
         F.explode(
-            F.sequence(
-                floor_to(F.col("from_us"), span),
-                floor_to(F.col("before_us") - 1, span),
-                F.lit(span).cast("long"),
-            )
+            F.sequence(floor_to("from_us", span), floor_to("before_us - 1", span), F.expr(f"{span}L"))
         ),
     )
     return by_bucket.join(
@@ -144,7 +137,7 @@ def triggered_users(src: Sources, since: datetime = LimitConfig().triggered_sinc
     the join reuses that partitioning; a trigger without a transfer has no customer.
     """
     requests = (
-        src.triggered_entitlement.filter(F.col("date_created") >= F.lit(since))
+        src.triggered_entitlement.filter(F.col("date_created") >= at(since))
         .select("request_id")
         .distinct()
     )

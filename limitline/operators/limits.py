@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import LimitConfig
-from limitline.functions.rules import eligible
-from limitline.functions.time import month_of
+from limitline.functions.rules import eligible, listed
+from limitline.functions.time import at, month_of
 
 ENTITLEMENT_HIT_KEYS = ("risk_level", "user_profile_id", "source_currency")
 MONITORING_HIT_KEYS = (
@@ -24,7 +24,7 @@ def single_payment_hit(payments: DataFrame, config: LimitConfig = LimitConfig())
     return (
         payments.filter(
             (F.col("invoice_value_eur") >= config.limit)
-            & F.col("source_currency").isin(*config.currencies)
+            & listed("source_currency", config.currencies)
         )
         .groupBy("risk_level", F.col("user_profile_id").alias("profile_id"))
         .agg(month_of(F.min("action_creation_time")).alias("date_limit_reached"))
@@ -57,7 +57,7 @@ def cutoffs(
     A hit counts if any row of the customer allows it, so the latest cut-off decides
     and repeated rows collapse before the join.
     """
-    default = F.lit(config.default_cutoff)
+    default = at(config.default_cutoff)
     by_verification = verified.groupBy("user_profile_id").agg(
         F.max(F.coalesce("dateoflimit", default)).alias("verification_cutoff")
     )
@@ -80,7 +80,7 @@ def apply_preconditions(
 ) -> DataFrame:
     """Keep hits on or before the customer's cut-offs (the default where it has none)."""
     by_verification, by_product = cutoffs(verified, products, config)
-    default = F.lit(config.default_cutoff)
+    default = at(config.default_cutoff)
     return (
         dates.join(by_verification, "user_profile_id", "left")
         .join(by_product, "user_profile_id", "left")
@@ -102,10 +102,10 @@ def month_hit(
 
     With the two precondition tables, only hits up to the customer's cut-offs count.
     """
-    listed = dates.filter(F.col("source_currency").isin(*config.currencies))
+    counted = dates.filter(listed("source_currency", config.currencies))
     if verified is not None and products is not None:
-        listed = apply_preconditions(listed, verified, products, config)
-    return _first_months(listed)
+        counted = apply_preconditions(counted, verified, products, config)
+    return _first_months(counted)
 
 
 def month_hit_eligible(dates: DataFrame, config: LimitConfig = LimitConfig()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import LimitConfig, SkewPolicy
-from limitline.functions.time import month_of
+from limitline.functions.time import at, month_of
 from limitline.operators.skew import hot_keys, skew_join
 
 MONTH = "transaction_creation_month"
@@ -33,11 +33,8 @@ def _released_requests(
     """One row per request and month of the released customers, with 0/1 flags."""
     if hot is None:
         hot = hot_keys(transfers, "user_profile_id", policy=policy)["user_profile_id"]
-    released = skew_join(
-        transfers,
-        users.select("user_profile_id").distinct(),
-        "user_profile_id", "left_semi", hot, policy,
-    )
+    ids = users.select("user_profile_id").distinct()
+    released = skew_join(transfers, "user_profile_id", [(ids, "left_semi")], hot, policy)
     rows = released.select(
         "request_id",
         month_of("action_creation_time").alias(MONTH),
@@ -67,7 +64,7 @@ def suspension_rate(
     NULL where a month has no scored transfer.
     """
     small = transfers.filter(
-        (F.col("action_creation_time") >= F.lit(config.outcomes_since))
+        (F.col("action_creation_time") >= at(config.outcomes_since))
         & (F.col("invoice_value_gbp") < config.outcome_limit_gbp)
     ).select("user_profile_id", "request_id", "action_creation_time")
     requests = _released_requests(users, small, {}, hot, policy)
@@ -100,7 +97,7 @@ def fraud_rate(
     """
     method = F.col("payment_method")
     small = transfers.filter(
-        (F.col("action_creation_time") >= F.lit(config.outcomes_since))
+        (F.col("action_creation_time") >= at(config.outcomes_since))
         & ((method != config.balance_method) | method.isNull())
         & (F.col("invoice_value_gbp") <= config.outcome_limit_gbp)
     ).select(

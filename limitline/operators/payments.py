@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import AMOUNT_TYPE, EUR_TYPE, LimitConfig, SkewPolicy
+from limitline.functions.rules import listed, text_list
+from limitline.functions.time import at
 from limitline.operators.rates import to_eur_rates
 from limitline.operators.skew import broadcast_if_small, hot_keys, skew_join
 from limitline.sources.tables import Sources
@@ -18,7 +20,7 @@ FACT_KEYS = ("user_profile_id", "request_id")
 def unique_payments(src: Sources, products: Sequence[str]) -> DataFrame:
     """Payments that count once, of the given products."""
     return src.report_action_step.filter(
-        F.col("flag_for_aggregations") & F.col("product_type").isin(*products)
+        F.col("flag_for_aggregations") & listed("product_type", products)
     )
 
 
@@ -31,32 +33,33 @@ def in_eur(payments: DataFrame, src: Sources, config: LimitConfig, policy: SkewP
     rates = to_eur_rates(src.daily_aggregated_rates, config.eur_currency_id).filter(
         F.col("exch_rate").isNotNull()
     )
+    value = f"cast(cast(invoice_value_local as {AMOUNT_TYPE}) * exch_rate as {EUR_TYPE})"
+    kept = [c for c in payments.columns if c != "invoice_value_local"]
     return (
-        payments.withColumn("currency_date", F.to_date("action_creation_time"))
+        payments.filter("invoice_value_local is not null")
+        .withColumn("currency_date", F.to_date("action_creation_time"))
         .join(broadcast_if_small(rates, policy), ["source_currency", "currency_date"])
-        .withColumn(
-            "invoice_value_eur",
-            (F.col("invoice_value_local").cast(AMOUNT_TYPE) * F.col("exch_rate")).cast(EUR_TYPE),
-        )
-        .filter(F.col("invoice_value_eur").isNotNull())
-        .drop("currency_date", "exch_rate", "invoice_value_local")
+        .selectExpr(*kept, f"{value} as invoice_value_eur")
     )
 
 
 def counted_transfers(src: Sources, config: LimitConfig) -> DataFrame:
     """Transfers whose state counts towards the volumes, keyed by ``request_id``."""
-    return src.transfer.filter(~F.col("state").isin(*config.excluded_states)).select(
-        F.col("id").alias("request_id"), "target_recipient_id"
+    return src.transfer.filter(~listed("state", config.excluded_states)).selectExpr(
+        "id as request_id", "target_recipient_id"
     )
 
 
-def with_risk(profiles: DataFrame, src: Sources) -> DataFrame:
-    """Add the risk level to per-user rows, NULL where a user has none."""
-    return profiles.join(
-        src.user_profile_risk_score_level.select("user_profile_id", "risk_level"),
-        "user_profile_id",
-        "left",
-    )
+def with_profile(
+    payments: DataFrame,
+    profiles: DataFrame,
+    src: Sources,
+    hot: Sequence,
+    policy: SkewPolicy,
+) -> DataFrame:
+    """Keep the rows of the given profiles, with the risk level where a user has one."""
+    sides = [(profiles, "inner"), (src.user_profile_risk_score_level, "left")]
+    return skew_join(payments, "user_profile_id", sides, hot, policy)
 
 
 def personal(config: LimitConfig) -> Column:
@@ -76,26 +79,23 @@ def payments_entitlement(
     """Unique personal send-money payments in EUR, with recipient and risk level."""
     hot = _hot(src, hot, policy)
     payments = unique_payments(src, [config.sendmoney]).filter(
-        F.col("action_creation_time") >= F.lit(config.entitlement_payments_since)
+        F.col("action_creation_time") >= at(config.entitlement_payments_since)
     )
     profiles = src.user_profile.filter(
-        personal(config) & (F.col("date_created") >= F.lit(config.entitlement_profiles_since))
+        personal(config) & (F.col("date_created") >= at(config.entitlement_profiles_since))
     ).select(F.col("id").alias("user_profile_id"))
-    counted = skew_join(
-        in_eur(
-            payments.select(
-                "user_profile_id", "request_id", "action_creation_time",
-                "source_currency", "invoice_value_local",
-            ),
-            src, config, policy,
+    valued = in_eur(
+        payments.select(
+            "user_profile_id", "request_id", "action_creation_time",
+            "source_currency", "invoice_value_local",
         ),
-        counted_transfers(src, config),
-        "request_id", hot=hot["request_id"], policy=policy,
+        src, config, policy,
+    )
+    counted = skew_join(
+        valued, "request_id", [(counted_transfers(src, config), "inner")],
+        hot["request_id"], policy,
     )
-    return skew_join(
-        counted, with_risk(profiles, src), "user_profile_id",
-        hot=hot["user_profile_id"], policy=policy,
-    ).select(
+    return with_profile(counted, profiles, src, hot["user_profile_id"], policy).select(
         "user_profile_id", "request_id", "action_creation_time", "source_currency",
         "target_recipient_id", "risk_level", "invoice_value_eur",
     )
@@ -113,40 +113,37 @@ def payments_monitoring(
     """
     hot = _hot(src, hot, policy)
     submits = src.lookup_request_history.filter(
-        F.col("first_success_submit_date") >= F.lit(config.monitoring_submitted_since)
+        F.col("first_success_submit_date") >= at(config.monitoring_submitted_since)
     ).select("request_id", "first_success_submit_date")
-    requests = counted_transfers(src, config).join(submits, "request_id")
-
-    country = F.col("country_code")
-    addresses = src.user_profile_address.select(
-        F.col("id").alias("address_id"),
-        F.coalesce(country == config.us_country, F.lit(False)).alias("has_us_address"),
-        F.coalesce(~country.isin(*config.other_entity_countries), F.lit(False)).alias(
-            "tw_ltd_customer"
-        ),
+
+    other_entity = f"country_code in {text_list(config.other_entity_countries)}"
+    addresses = src.user_profile_address.selectExpr(
+        "id as address_id",
+        f"coalesce(country_code = '{config.us_country}', false) as has_us_address",
+        f"coalesce(not {other_entity}, false) as tw_ltd_customer",
     )
     profiles = (
         src.user_profile.filter(personal(config))
         .select(F.col("id").alias("user_profile_id"), "address_id")
         .join(addresses, "address_id", "left")
-        .drop("address_id")
-        .fillna(False, ["has_us_address", "tw_ltd_customer"])
+        .selectExpr(
+            "user_profile_id",
+            "coalesce(has_us_address, false) as has_us_address",
+            "coalesce(tw_ltd_customer, false) as tw_ltd_customer",
+        )
     )
-    counted = skew_join(
-        in_eur(
-            unique_payments(src, [config.sendmoney, config.balance]).select(
-                "user_profile_id", "request_id", "action_creation_time",
-                "source_currency", "product_type", "invoice_value_local",
-            ),
-            src, config, policy,
+    valued = in_eur(
+        unique_payments(src, [config.sendmoney, config.balance]).select(
+            "user_profile_id", "request_id", "action_creation_time",
+            "source_currency", "product_type", "invoice_value_local",
         ),
-        requests,
-        "request_id", hot=hot["request_id"], policy=policy,
-    ).filter(F.col("action_creation_time") >= F.col("first_success_submit_date"))
-    return skew_join(
-        counted, with_risk(profiles, src), "user_profile_id",
-        hot=hot["user_profile_id"], policy=policy,
-    ).select(
+        src, config, policy,
+    )
+    counted = skew_join(
+        valued, "request_id", [(counted_transfers(src, config), "inner"), (submits, "inner")],
+        hot["request_id"], policy,
+    ).filter("action_creation_time >= first_success_submit_date")
+    return with_profile(counted, profiles, src, hot["user_profile_id"], policy).select(
         "user_profile_id", "request_id", "action_creation_time", "source_currency",
         "product_type", "target_recipient_id", "risk_level", "invoice_value_eur",
         "has_us_address", "tw_ltd_customer",

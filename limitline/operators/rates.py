@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from limitline.config import RATE_TYPE
 
@@ -13,12 +12,22 @@ def to_eur_rates(rates: DataFrame, eur_id: int = 1) -> DataFrame:
 
     Days without a EUR quote stay, with NULL date and rate.
     """
-    eur = rates.filter(F.col("from_currency_id") == eur_id).select(
-        F.col("currency_date").alias("eur_date"), "inverse_exchange_rate"
+    eur = (
+        f"if(from_currency_id = {eur_id} and currency_date is not null, "
+        "struct(currency_date as eur_date, inverse_exchange_rate), null)"
     )
-    quotes = rates.select("from_currency_code", "currency_date", "rate")
-    return quotes.join(eur, quotes.currency_date == eur.eur_date, "left").select(
-        F.col("from_currency_code").alias("source_currency"),
-        F.col("eur_date").alias("currency_date"),
-        (F.col("inverse_exchange_rate") * F.col("rate")).cast(RATE_TYPE).alias("exch_rate"),
+    # All EUR quotes of the day next to each quote: a join of the table with itself in
+    # one pass, whose size Spark estimates by the table and not by its square.
+    return (
+        rates.selectExpr(
+            "from_currency_code as source_currency",
+            "rate",
+            f"collect_list({eur}) over (partition by currency_date) as eur",
+        )
+        .selectExpr("source_currency", "rate", "explode_outer(eur) as eur")
+        .selectExpr(
+            "source_currency",
+            "eur.eur_date as currency_date",
+            f"cast(eur.inverse_exchange_rate * rate as {RATE_TYPE}) as exch_rate",
+        )
     )

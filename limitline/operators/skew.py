@@ -41,40 +41,37 @@ def hot_keys(df: DataFrame, *keys: str, policy: SkewPolicy = SkewPolicy()) -> di
 
 def skew_join(
     facts: DataFrame,
-    side: DataFrame,
     on: str,
-    how: str = "inner",
+    sides: Sequence[tuple[DataFrame, str]],
     hot: Sequence = (),
     policy: SkewPolicy = SkewPolicy(),
 ) -> DataFrame:
-    """Equi-join of ``facts`` with a per-key ``side``, hot keys spread over salts.
+    """Equi-join of ``facts`` with per-key ``sides``, hot keys spread over salts.
 
-    Without hot keys this is a plain join, so Spark broadcasts ``side`` only when its
-    own size check allows it. The rows of a hot key get one of ``policy.salts`` salts
-    and the matching ``side`` rows are repeated once per salt; all other rows keep
-    salt 0. ``how`` may be inner, left, left_semi or left_anti.
+    ``sides`` lists (table, how), how being inner, left, left_semi or left_anti. Without
+    hot keys these are plain joins: Spark broadcasts a side only when its own size check
+    allows it, and otherwise shuffles ``facts`` once for all sides. The rows of a hot key
+    get one of ``policy.salts`` salts and its rows in the sides are repeated once per
+    salt; every other row keeps salt 0.
     """
     if not hot:
-        return facts.join(side, on, how)
+        for side, how in sides:
+            facts = facts.join(side, on, how)
+        return facts
     is_hot = F.col(on).isin(list(hot))
     # The partition id spreads exact copies of one row, which hash alike.
     spread = F.pmod(F.xxhash64(*facts.columns) + F.spark_partition_id(), F.lit(policy.salts))
-    salted_facts = facts.withColumn(SALT, F.when(is_hot, spread.cast("int")).otherwise(0))
-    salted_side = side.withColumn(
-        SALT,
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(policy.salts - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    )
-    return salted_facts.join(salted_side, [on, SALT], how).drop(SALT)
+    joined = facts.withColumn(SALT, F.when(is_hot, spread.cast("int")).otherwise(0))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(policy.salts - 1)))
+    for side, how in sides:
+        repeated = side.withColumn(SALT, F.explode(salts.otherwise(F.array(F.lit(0)))))
+        joined = joined.join(repeated, [on, SALT], how)
+    return joined.drop(SALT)
 
 
 def broadcast_if_small(df: DataFrame, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """Mark ``df`` for broadcast only if a bounded count proves that it is small."""
-    rows = df.limit(policy.broadcast_rows + 1).count()
-    return F.broadcast(df) if rows <= policy.broadcast_rows else df
+    """Mark ``df`` for broadcast only if an exact count proves that it is small."""
+    return F.broadcast(df) if df.count() <= policy.broadcast_rows else df
 
 
 def materialise(df: DataFrame) -> DataFrame:

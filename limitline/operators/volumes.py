@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import VOLUME_TYPE, LimitConfig, SkewPolicy
@@ -36,39 +36,40 @@ MONITORING_KEYS = (
 )
 
 
-def _zero(column: Column) -> Column:
-    return F.coalesce(column, F.lit(0))
-
-
-def _totals(total_at, days: Sequence[int], lifetime: str, window: str) -> list[Column]:
-    """Lifetime and trailing volumes from running totals ``total_at(d)``."""
+def _totals(total_at, days: Sequence[int], lifetime: str, window: str) -> list[str]:
+    """Lifetime and trailing volumes as SQL, from running totals ``total_at(d)``."""
     now = total_at(0)
-    return [now.cast(VOLUME_TYPE).alias(lifetime)] + [
-        (now - _zero(total_at(d))).cast(VOLUME_TYPE).alias(f"{window}_{d}") for d in days
+    return [f"cast({now} as {VOLUME_TYPE}) as {lifetime}"] + [
+        f"cast({now} - coalesce({total_at(d)}, 0) as {VOLUME_TYPE}) as {window}_{d}" for d in days
     ]
 
 
 def _plain_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
     """One row per payment; a single exchange on the customer serves all windows."""
-    per_user = Window.partitionBy(USER).orderBy(TIME_US)
-    per_recipient = Window.partitionBy(USER, RECIPIENT).orderBy(TIME_US)
 
-    def running(spec: WindowSpec):
-        def total_at(d: int) -> Column:
-            return F.sum("amount").over(spec.rangeBetween(Window.unboundedPreceding, -d * DAY_US))
+    def over(by: str, frame: str) -> str:
+        return f"over (partition by {by} order by {TIME_US} range between {frame})"
+
+    def running(by: str):
+        def total_at(d: int) -> str:
+            upto = f"{d * DAY_US}L preceding" if d else "current row"
+            return f"sum(amount) {over(by, f'unbounded preceding and {upto}')}"
 
         return total_at
 
+    linked = f"{USER}, {RECIPIENT}"
+    peers = "current row and current row"
     rows = payments.select(
-        USER, RECIPIENT, TIME, *keys, micros(TIME).alias(TIME_US), _zero(F.col(AMOUNT)).alias("amount")
-    )
-    return rows.select(
         USER, RECIPIENT, TIME, *keys,
-        F.lit(1).cast("long").alias("copies"),
-        F.count("*").over(per_user.rangeBetween(0, 0)).alias("user_ties"),
-        F.count("*").over(per_recipient.rangeBetween(0, 0)).alias("recipient_ties"),
-        *_totals(running(per_user), days, "lifetime", "any"),
-        *_totals(running(per_recipient), days, "linked_lifetime", "linked"),
+        micros(TIME).alias(TIME_US),
+        F.expr(f"coalesce({AMOUNT}, 0) as amount"),
+    )
+    return rows.selectExpr(
+        USER, RECIPIENT, TIME, *keys, "1L as copies",
+        f"count(*) {over(USER, peers)} as user_ties",
+        f"count(*) {over(linked, peers)} as recipient_ties",
+        *_totals(running(USER), days, "lifetime", "any"),
+        *_totals(running(linked), days, "linked_lifetime", "linked"),
     )
 
 
@@ -82,30 +83,35 @@ def _bucketed_totals(
     answered inside the (keys, bucket) it falls in, plus the carry of earlier buckets.
     """
     offsets = (0, *days)
-    asked = points.select(
-        *keys, TIME_US, "amount", F.explode(F.array(*map(F.lit, offsets))).alias("days")
+    by = ", ".join(keys)
+    asked = (
+        points.selectExpr(*keys, TIME_US, "amount", f"explode(array({', '.join(map(str, offsets))})) as days")
+        .selectExpr(
+            *keys, TIME_US, "days",
+            f"{TIME_US} - days * {DAY_US}L as at",
+            "if(days = 0, amount, 0) as amount",
+        )
+        .withColumn("bucket", floor_to("at", policy.bucket_hours * HOUR_US))
     )
-    asked = asked.select(
-        *keys, TIME_US, "days",
-        (F.col(TIME_US) - F.col("days") * F.lit(DAY_US)).alias("at"),
-        F.when(F.col("days") == 0, F.col("amount")).otherwise(0).alias("amount"),
-    ).withColumn("bucket", floor_to(F.col("at"), policy.bucket_hours * HOUR_US))
-
-    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         asked.groupBy(*keys, "bucket")
-        .agg(F.sum("amount").alias("bucket_amount"))
-        .select(*keys, "bucket", _zero(F.sum("bucket_amount").over(earlier)).alias("carry"))
+        .agg(F.expr("sum(amount) as bucket_amount"))
+        .selectExpr(
+            *keys, "bucket",
+            f"coalesce(sum(bucket_amount) over (partition by {by} order by bucket "
+            "rows between unbounded preceding and 1 preceding), 0) as carry",
+        )
     )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(
-        Window.unboundedPreceding, 0
+    inside = asked.selectExpr(
+        "*",
+        f"sum(amount) over (partition by {by}, bucket order by at "
+        "range between unbounded preceding and current row) as inside",
     )
-    total = (F.col("carry") + F.col("inside")).cast(VOLUME_TYPE)
+    total = f"cast(carry + inside as {VOLUME_TYPE})"
     return (
-        asked.withColumn("inside", F.sum("amount").over(inside))
-        .join(carried, [*keys, "bucket"])
+        inside.join(carried, [*keys, "bucket"])
         .groupBy(*keys, TIME_US)
-        .agg(*(F.max(F.when(F.col("days") == d, total)).alias(f"upto_{d}") for d in offsets))
+        .agg(*(F.expr(f"max(if(days = {d}, {total}, null)) as upto_{d}") for d in offsets))
     )
 
 
@@ -115,7 +121,7 @@ def _hot_volumes(
     """Same columns as ``_plain_volumes``, one row per distinct payment shape."""
     shapes = materialise(
         payments.groupBy(USER, RECIPIENT, TIME, *keys)
-        .agg(F.sum(_zero(F.col(AMOUNT))).alias("amount"), F.count("*").alias("copies"))
+        .agg(F.expr(f"sum(coalesce({AMOUNT}, 0)) as amount"), F.expr("count(*) as copies"))
         .withColumn(TIME_US, micros(TIME))
     )
 
@@ -123,12 +129,11 @@ def _hot_volumes(
         at = (
             shapes.dropna(subset=list(by))
             .groupBy(*by, TIME_US)
-            .agg(F.sum("amount").alias("amount"), F.sum("copies").alias("ties"))
+            .agg(F.expr("sum(amount) as amount"), F.expr(f"sum(copies) as {ties}"))
         )
         totals = _bucketed_totals(at, by, days, policy)
-        return totals.join(at.drop("amount"), [*by, TIME_US]).select(
-            *by, TIME_US, F.col("ties").alias(ties),
-            *_totals(lambda d: F.col(f"upto_{d}"), days, lifetime, window),
+        return totals.join(at.drop("amount"), [*by, TIME_US]).selectExpr(
+            *by, TIME_US, ties, *_totals(lambda d: f"upto_{d}", days, lifetime, window)
         )
 
     any_recipient = volumes([USER], "lifetime", "any", "user_ties")
@@ -136,11 +141,7 @@ def _hot_volumes(
     return (
         shapes.join(any_recipient, [USER, TIME_US])
         .join(linked, [USER, RECIPIENT, TIME_US], "left")
-        .select(
-            USER, RECIPIENT, TIME, *keys, "copies", "user_ties", "recipient_ties",
-            "lifetime", *(f"any_{d}" for d in days),
-            "linked_lifetime", *(f"linked_{d}" for d in days),
-        )
+        .drop("amount", TIME_US)
     )
 
 
@@ -170,15 +171,14 @@ def base_volumes(
     else:
         volumes = _plain_volumes(payments, keys, days)
     linked = ["linked_lifetime", *(f"linked_{d}" for d in days)]
-    return volumes.withColumns(
-        {
-            name: F.when(F.col(RECIPIENT).isNull(), F.lit(0)).otherwise(F.col(name)).cast(VOLUME_TYPE)
-            for name in linked
-        }
+    return volumes.selectExpr(
+        USER, RECIPIENT, TIME, *keys, "copies", "user_ties", "recipient_ties",
+        "lifetime", *(f"any_{d}" for d in days),
+        *(f"if({RECIPIENT} is null, cast(0 as {VOLUME_TYPE}), {c}) as {c}" for c in linked),
     )
 
 
-def _check_ties(ties: str) -> bool:
+def _faithful(ties: str) -> bool:
     if ties not in ("faithful", "once"):
         raise ValueError(f"ties must be 'faithful' or 'once', not {ties!r}")
     return ties == "faithful"
@@ -197,17 +197,17 @@ def rolling_volumes_grouped(
     ``ties="faithful"`` a group of k payments counts its volumes k times, with
     ``ties="once"`` one time.
     """
-    multiply = _check_ties(ties)
+    multiply = _faithful(ties)
     base = base_volumes(payments, ENTITLEMENT_KEYS, windows, hot, policy)
     names = {"lifetime": "lifetime_volume", **{f"linked_{d}": window_column(d) for d in windows}}
     grouped = base.groupBy(
         F.col(TIME).alias("refdate"), USER, F.col(RECIPIENT).alias("recipient_id"), *ENTITLEMENT_KEYS
-    ).agg(F.sum("copies").alias("copies"), *(F.max(c).alias(c) for c in names))
+    ).agg(F.expr("sum(copies) as copies"), *(F.expr(f"max({c}) as {c}") for c in names))
     return grouped.select(
         "refdate", USER, "recipient_id", *ENTITLEMENT_KEYS,
         *(
-            (times(F.col(c), F.col("copies")) if multiply else F.col(c)).alias(name)
-            for c, name in names.items()
+            (times(column, "copies") if multiply else F.col(column)).alias(name)
+            for column, name in names.items()
         ),
     )
 
@@ -222,15 +222,15 @@ def _windowed(
     per_recipient: bool = True,
 ) -> DataFrame:
     """Distinct (payment shape, volumes); ``columns`` maps name -> (volume, ties)."""
-    multiply = _check_ties(ties)
+    multiply = _faithful(ties)
     base = base_volumes(payments, MONITORING_KEYS, windows, hot, policy)
     recipient = [F.col(RECIPIENT).alias("recipient_id")] if per_recipient else []
     return base.select(
         F.col(TIME).alias("refdate"), USER, *recipient, *MONITORING_KEYS,
         *(
             # An unknown recipient has volume 0 and, on the hot way, no tie count.
-            (times(F.col(c), F.coalesce(n, F.lit(1))) if multiply else F.col(c)).alias(name)
-            for name, (c, n) in ((k, (v[0], F.col(v[1]))) for k, v in columns.items())
+            (times(volume, f"coalesce({count}, 1)") if multiply else F.col(volume)).alias(name)
+            for name, (volume, count) in columns.items()
         ),
     ).distinct()
 
@@ -302,5 +302,5 @@ def monitoring_volumes(
 
 def volume_by_risk(volumes: DataFrame, config: LimitConfig = LimitConfig()) -> DataFrame:
     """Keep the trailing window of the row's risk level as ``volume_at_day``."""
-    dropped = [c for c in volumes.columns if c.endswith("_volume")]
-    return volumes.withColumn("volume_at_day", risk_volume(config)).drop(*dropped)
+    kept = [c for c in volumes.columns if not c.endswith("_volume")]
+    return volumes.select(*kept, risk_volume(config).alias("volume_at_day"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMAS: dict[str, str] = {
@@ -53,15 +52,15 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     if missing:
         raise ValueError(f"{table} lacks the columns {missing}")
 
-    def column(field: T.StructField):
+    def column(field: T.StructField) -> str:
         source = have[field.name]
-        value = F.col(source.name)
-        if isinstance(field.dataType, T.BooleanType) and not isinstance(
-            source.dataType, T.BooleanType
-        ):
-            return (value == 1).alias(field.name)
-        if source.dataType == field.dataType:
-            return value.alias(field.name)
-        return value.cast(field.dataType).alias(field.name)
+        name, kind = f"`{source.name}`", field.dataType
+        if source.dataType == kind:
+            value = name
+        elif isinstance(kind, T.BooleanType):
+            value = f"{name} = 1"
+        else:
+            value = f"cast({name} as {kind.simpleString()})"
+        return f"{value} as {field.name}"
 
-    return df.select(*map(column, wanted))
+    return df.selectExpr(*map(column, wanted))

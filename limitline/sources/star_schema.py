@@ -6,8 +6,9 @@ derivations are those of FIXTURES.md.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 
 from limitline.config import BUSINESS_CLASS
 from limitline.sources.tables import Sources
@@ -15,180 +16,193 @@ from limitline.sources.tables import Sources
 PERSONAL_CLASS = BUSINESS_CLASS.replace("Business", "Personal")
 CURRENCIES = {1: "EUR", 2: "GBP", 3: "USD", 4: "PLN", 5: "BRL"}
 
-
-def _one_of(key: Column, values: dict[int, str], otherwise: str | None) -> Column:
-    chosen = F
-    for value, name in values.items():
-        chosen = chosen.when(key == value, name)
-    return chosen.otherwise(otherwise)
-
-
-def _days_after(start: str, days: Column) -> Column:
-    return F.date_add(F.lit(start).cast("date"), days.cast("int")).cast("timestamp_ntz")
-
-
-def _shifted(time: Column, **parts: Column) -> Column:
-    """A time moved by whole days or hours (no calendar or zone rules involved)."""
-    return time + F.make_dt_interval(**{k: v.cast("int") for k, v in parts.items()})
-
-
-def from_star_schema(spark: SparkSession, sf_dir: str) -> Sources:
-    """Sources over ``<sf_dir>/orders.parquet`` and ``<sf_dir>/customer.parquet``."""
-
-    def orders() -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns(
-            {
-                "t": F.col("o_orderdate") + F.make_ym_interval(F.lit(20), F.lit(0)),
-                "amt": F.col("o_totalprice").cast("decimal(14,2)"),
-            }
-        )
-
-    def customers() -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/customer.parquet")
-
-    k, c = F.col("o_orderkey"), F.col("c_custkey")
-    user = F.col("o_custkey").alias("user_profile_id")
-    request = k.alias("request_id")
-    gbp = (F.col("amt") * F.lit(0.0024).cast("decimal(4,4)")).alias("invoice_value_gbp")
-
-    def daily_aggregated_rates() -> DataFrame:
-        day = F.day("currency_date")
-        quoted = F.explode(
-            F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).alias("code")) for i, n in CURRENCIES.items()))
-        )
-        rows = (
-            orders()
-            .select(F.to_date("t").alias("currency_date"))
-            .distinct()
-            .select("currency_date", quoted.alias("q"))
-            .filter((F.col("q.id") != 1) | (day != 13))
-        )
-        return rows.select(
-            F.col("q.id").alias("from_currency_id"),
-            F.col("q.code").alias("from_currency_code"),
+STAR_SCHEMAS = {
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_extendedprice double",
+}
+
+TIME = "o_orderdate + interval 20 years"
+AMOUNT = "cast(o_totalprice as decimal(14,2))"
+QUOTED = ", ".join(f"struct({i} as id, '{code}' as code)" for i, code in CURRENCIES.items())
+
+
+def _days_after(start: str, days: str) -> str:
+    return f"cast(date_add(date '{start}', cast({days} as int)) as timestamp_ntz)"
+
+
+def _shifted(unit: str, amount: str) -> str:
+    """The order time moved by whole days or hours, without calendar or zone rules."""
+    return f"{TIME} + cast({amount} as int) * interval '1' {unit}"
+
+
+ORDER_TABLES: dict[str, tuple[str | None, Sequence[str]]] = {
+    "report_action_step": (
+        None,
+        (
+            "o_orderkey as request_id",
+            "o_custkey as user_profile_id",
+            f"{TIME} as action_creation_time",
+            "case o_orderkey % 5 when 0 then 'EUR' when 1 then 'GBP' when 2 then 'USD' "
+            "when 3 then 'PLN' else 'BRL' end as source_currency",
+            "case o_orderpriority when '5-LOW' then 'CARD' when '4-NOT SPECIFIED' then 'BALANCE' "
+            "else 'SENDMONEY' end as product_type",
+            "if(o_orderkey % 10 = 0, 0, 1) as flag_for_aggregations",
+            f"{AMOUNT} as invoice_value_local",
+            f"{AMOUNT} * 0.0024 as invoice_value_gbp",
+        ),
+    ),
+    "transfer": (
+        None,
+        (
+            "o_orderkey as id",
+            "o_custkey as user_profile_id",
+            "if(o_orderkey % 11 = 0, null, o_orderkey % 3) as target_recipient_id",
+            "case when o_orderstatus <> 'P' then 'TRANSFERRED' when o_orderkey % 6 = 0 then 'REFUNDED' "
+            "when o_orderkey % 6 = 1 then 'CHARGEDBACK_WITH_LOSS' else 'SENT' end as state",
+        ),
+    ),
+    "lookup_request_history": (
+        None,
+        (
+            "o_orderkey as request_id",
+            f"{_shifted('day', 'o_orderkey % 4 - 2')} as first_success_submit_date",
+        ),
+    ),
+    "fraud_looker_transfers": (
+        None,
+        (
+            "o_custkey as user_profile_id",
+            "o_orderkey as request_id",
+            f"{TIME} as action_creation_time",
+            f"{AMOUNT} * 0.0024 as invoice_value_gbp",
+            "if(o_orderstatus = 'P', 'CANCELLED', 'TRANSFERRED') as action_state",
+            "case o_orderkey % 4 when 0 then 'balance' when 1 then 'card' when 2 then 'bank_transfer' "
+            "end as payment_method",
+            "if(o_orderkey % 9 = 0, 1, 0) as engine_suspend_flag",
+        ),
+    ),
+    "fraud_models_predictions_and_scores": (
+        "o_orderkey % 5 <> 0",
+        ("o_orderkey as request_id", "if(o_orderkey % 8 = 0, 1, 0) as needs_review"),
+    ),
+    "fraud_metrics": ("o_orderkey % 37 = 0", ("o_orderkey as request_id",)),
+    "triggered_entitlement": (
+        "o_totalprice > 250000",
+        (
+            "o_orderkey as request_id",
+            f"{_shifted('hour', 'o_orderkey % 24')} as date_created",
+            "case o_orderkey % 4 when 0 then '2' when 1 then '97' else '13' end as entitlement_id",
+        ),
+    ),
+    "profile_verification_history_sm": (
+        "o_orderkey % 2 = 1",
+        (
+            "o_custkey as user_profile_id",
+            "case o_orderkey % 3 when 0 then 'ID_DOCUMENT' when 1 then 'SELFIE' else 'BANK' end "
+            "as verification_method",
+            f"{_shifted('day', 'o_orderkey % 12 - 3')} as first_verification_time",
+        ),
+    ),
+}
+
+CUSTOMER_TABLES: dict[str, tuple[str | None, Sequence[str]]] = {
+    "user_profile": (
+        None,
+        (
+            "c_custkey as id",
+            "c_custkey as address_id",
+            f"if(c_mktsegment = 'MACHINERY', '{BUSINESS_CLASS}', '{PERSONAL_CLASS}') as class",
+            f"{_days_after('2015-10-01', 'c_custkey % 400')} as date_created",
+        ),
+    ),
+    "user_profile_address": (
+        "c_custkey % 13 <> 0",
+        (
+            "c_custkey as id",
+            "case c_nationkey % 5 when 0 then 'usa' when 1 then 'gbr' when 2 then 'aus' "
+            "when 3 then 'deu' end as country_code",
+        ),
+    ),
+    "user_profile_risk_score_level": (
+        "c_custkey % 17 <> 0",
+        (
+            "c_custkey as user_profile_id",
+            "case c_custkey % 4 when 0 then 'LOW' when 1 then 'MEDIUM' when 2 then 'HIGH' end "
+            "as risk_level",
+        ),
+    ),
+    "profiles_verified_borderless_ltv": (
+        "c_custkey % 3 = 0",
+        (
+            "c_custkey as user_profile_id",
+            f"{_days_after('2017-01-01', 'c_custkey % 1500')} as dateoflimit",
+        ),
+    ),
+    "receive_and_plastic_users_sm": (
+        "c_custkey % 4 <> 1",
+        (
+            "c_custkey as profile_id",
+            f"if(c_custkey % 2 = 0, {_days_after('2018-01-01', 'c_custkey % 900')}, null) "
+            "as account_details_order_time",
+            f"if(c_custkey % 5 = 0, {_days_after('2018-06-01', 'c_custkey % 700')}, null) "
+            "as card_order_time",
+        ),
+    ),
+}
+
+
+def read_star(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(STAR_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _daily_rates(orders: DataFrame) -> DataFrame:
+    """Quotes of five currencies for every order day, none for EUR on the 13th."""
+    return (
+        orders.selectExpr(f"cast({TIME} as date) as currency_date")
+        .distinct()
+        .selectExpr("currency_date", f"inline(array({QUOTED}))")
+        .filter("id <> 1 or day(currency_date) <> 13")
+        .selectExpr(
+            "id as from_currency_id",
+            "code as from_currency_code",
             "currency_date",
-            ((20 + 2 * F.col("q.id") + day % 5).cast("decimal(9,0)") * F.lit("0.0001").cast("decimal(4,4)"))
-            .alias("rate"),
-            ((110 + F.col("q.id") + day % 3).cast("decimal(9,0)") * F.lit("0.01").cast("decimal(2,2)"))
-            .alias("inverse_exchange_rate"),
-        )
-
-    def report_action_step() -> DataFrame:
-        priority = F.col("o_orderpriority")
-        return orders().select(
-            request, user, F.col("t").alias("action_creation_time"),
-            _one_of(k % 5, {0: "EUR", 1: "GBP", 2: "USD", 3: "PLN"}, "BRL").alias("source_currency"),
-            F.when(priority == "5-LOW", "CARD")
-            .when(priority == "4-NOT SPECIFIED", "BALANCE")
-            .otherwise("SENDMONEY")
-            .alias("product_type"),
-            F.when(k % 10 == 0, 0).otherwise(1).alias("flag_for_aggregations"),
-            F.col("amt").alias("invoice_value_local"), gbp,
-        )
-
-    def transfer() -> DataFrame:
-        reversed_state = _one_of(k % 6, {0: "REFUNDED", 1: "CHARGEDBACK_WITH_LOSS"}, "SENT")
-        return orders().select(
-            k.alias("id"), user,
-            F.when(k % 11 != 0, k % 3).alias("target_recipient_id"),
-            F.when(F.col("o_orderstatus") == "P", reversed_state)
-            .otherwise("TRANSFERRED")
-            .alias("state"),
-        )
-
-    def user_profile() -> DataFrame:
-        return customers().select(
-            c.alias("id"), c.alias("address_id"),
-            F.when(F.col("c_mktsegment") == "MACHINERY", BUSINESS_CLASS)
-            .otherwise(PERSONAL_CLASS)
-            .alias("class"),
-            _days_after("2015-10-01", c % 400).alias("date_created"),
-        )
-
-    def user_profile_address() -> DataFrame:
-        return customers().filter(c % 13 != 0).select(
-            c.alias("id"),
-            _one_of(F.col("c_nationkey") % 5, {0: "usa", 1: "gbr", 2: "aus", 3: "deu"}, None)
-            .alias("country_code"),
-        )
-
-    def user_profile_risk_score_level() -> DataFrame:
-        return customers().filter(c % 17 != 0).select(
-            c.alias("user_profile_id"),
-            _one_of(c % 4, {0: "LOW", 1: "MEDIUM", 2: "HIGH"}, None).alias("risk_level"),
-        )
-
-    def lookup_request_history() -> DataFrame:
-        return orders().select(
-            request, _shifted(F.col("t"), days=k % 4 - 2).alias("first_success_submit_date")
-        )
-
-    def profiles_verified_borderless_ltv() -> DataFrame:
-        return customers().filter(c % 3 == 0).select(
-            c.alias("user_profile_id"), _days_after("2017-01-01", c % 1500).alias("dateoflimit")
-        )
-
-    def receive_and_plastic_users_sm() -> DataFrame:
-        return customers().filter(c % 4 != 1).select(
-            c.alias("profile_id"),
-            F.when(c % 2 == 0, _days_after("2018-01-01", c % 900)).alias("account_details_order_time"),
-            F.when(c % 5 == 0, _days_after("2018-06-01", c % 700)).alias("card_order_time"),
-        )
-
-    def fraud_looker_transfers() -> DataFrame:
-        return orders().select(
-            user, request, F.col("t").alias("action_creation_time"), gbp,
-            F.when(F.col("o_orderstatus") == "P", "CANCELLED")
-            .otherwise("TRANSFERRED")
-            .alias("action_state"),
-            _one_of(k % 4, {0: "balance", 1: "card", 2: "bank_transfer"}, None).alias("payment_method"),
-            F.when(k % 9 == 0, 1).otherwise(0).alias("engine_suspend_flag"),
-        )
-
-    def fraud_models_predictions_and_scores() -> DataFrame:
-        return orders().filter(k % 5 != 0).select(
-            request, F.when(k % 8 == 0, 1).otherwise(0).alias("needs_review")
+            "cast(20 + 2 * id + day(currency_date) % 5 as decimal(9,0)) * 0.0001 as rate",
+            "cast(110 + id + day(currency_date) % 3 as decimal(9,0)) * 0.01 as inverse_exchange_rate",
         )
+    )
 
-    def fraud_metrics() -> DataFrame:
-        return orders().filter(k % 37 == 0).select(request)
 
-    def triggered_entitlement() -> DataFrame:
-        return orders().filter(F.col("o_totalprice") > 250000).select(
-            request, _shifted(F.col("t"), hours=k % 24).alias("date_created"),
-            _one_of(k % 4, {0: "2", 1: "97"}, "13").alias("entitlement_id"),
-        )
+def from_star_schema(spark: SparkSession, sf_dir: str) -> Sources:
+    """Sources over ``<sf_dir>/orders.parquet`` and ``<sf_dir>/customer.parquet``."""
 
-    def profile_verification_history_sm() -> DataFrame:
-        return orders().filter(k % 2 == 1).select(
-            user, _one_of(k % 3, {0: "ID_DOCUMENT", 1: "SELFIE"}, "BANK").alias("verification_method"),
-            _shifted(F.col("t"), days=k % 12 - 3).alias("first_verification_time"),
-        )
+    def derive(table: str) -> DataFrame:
+        if table == "daily_aggregated_rates":
+            return _daily_rates(read_star(spark, sf_dir, "orders"))
+        base = "orders" if table in ORDER_TABLES else "customer"
+        where, columns = {**ORDER_TABLES, **CUSTOMER_TABLES}[table]
+        rows = read_star(spark, sf_dir, base)
+        return (rows.filter(where) if where else rows).selectExpr(*columns)
 
-    derivations = {f.__name__: f for f in (
-        daily_aggregated_rates, report_action_step, transfer, user_profile,
-        user_profile_address, user_profile_risk_score_level, lookup_request_history,
-        profiles_verified_borderless_ltv, receive_and_plastic_users_sm,
-        fraud_looker_transfers, fraud_models_predictions_and_scores, fraud_metrics,
-        triggered_entitlement, profile_verification_history_sm,
-    )}
-    return Sources(lambda table: derivations[table]())
+    return Sources(derive)
 
 
 def tied_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments with many ties: one per order line, at the date of the order."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    supplier = F.col("l_suppkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("user_profile_id"),
-        F.col("l_orderkey").alias("request_id"),
-        F.col("o_orderdate").alias("action_creation_time"),
-        F.lit("EUR").alias("source_currency"),
-        F.lit("SENDMONEY").alias("product_type"),
-        F.when(supplier % 10 != 0, supplier % 3).alias("target_recipient_id"),
-        _one_of(F.col("o_custkey") % 4, {0: "LOW", 1: "MEDIUM", 2: "HIGH"}, None).alias("risk_level"),
-        F.col("l_extendedprice").cast("decimal(14,2)").cast("decimal(18,8)").alias("invoice_value_eur"),
-        F.lit(False).alias("has_us_address"),
-        F.lit(True).alias("tw_ltd_customer"),
+    lines = read_star(spark, sf_dir, "lineitem")
+    orders = read_star(spark, sf_dir, "orders")
+    return lines.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").selectExpr(
+        "o_custkey as user_profile_id",
+        "l_orderkey as request_id",
+        "o_orderdate as action_creation_time",
+        "'EUR' as source_currency",
+        "'SENDMONEY' as product_type",
+        "if(l_suppkey % 10 = 0, null, l_suppkey % 3) as target_recipient_id",
+        "case o_custkey % 4 when 0 then 'LOW' when 1 then 'MEDIUM' when 2 then 'HIGH' end as risk_level",
+        "cast(cast(l_extendedprice as decimal(14,2)) as decimal(18,8)) as invoice_value_eur",
+        "false as has_us_address",
+        "true as tw_ltd_customer",
     )
