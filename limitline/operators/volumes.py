@@ -36,11 +36,16 @@ MONITORING_KEYS = (
 )
 
 
+def _total(expression: str) -> str:
+    """Bring a sum back to the volume type: past 38 digits Spark would cut the scale."""
+    return f"cast({expression} as {VOLUME_TYPE})"
+
+
 def _totals(total_at, days: Sequence[int], lifetime: str, window: str) -> list[str]:
     """Lifetime and trailing volumes as SQL, from running totals ``total_at(d)``."""
     now = total_at(0)
-    return [f"cast({now} as {VOLUME_TYPE}) as {lifetime}"] + [
-        f"cast({now} - coalesce({total_at(d)}, 0) as {VOLUME_TYPE}) as {window}_{d}" for d in days
+    return [f"{_total(now)} as {lifetime}"] + [
+        f"{_total(f'{now} - coalesce({total_at(d)}, 0)')} as {window}_{d}" for d in days
     ]
 
 
@@ -95,19 +100,25 @@ def _bucketed_totals(
     )
     carried = (
         asked.groupBy(*keys, "bucket")
-        .agg(F.expr("sum(amount) as bucket_amount"))
+        .agg(F.expr(f"{_total('sum(amount)')} as bucket_amount"))
         .selectExpr(
             *keys, "bucket",
-            f"coalesce(sum(bucket_amount) over (partition by {by} order by bucket "
-            "rows between unbounded preceding and 1 preceding), 0) as carry",
+            _total(
+                f"coalesce(sum(bucket_amount) over (partition by {by} order by bucket "
+                "rows between unbounded preceding and 1 preceding), 0)"
+            )
+            + " as carry",
         )
     )
     inside = asked.selectExpr(
         "*",
-        f"sum(amount) over (partition by {by}, bucket order by at "
-        "range between unbounded preceding and current row) as inside",
+        _total(
+            f"sum(amount) over (partition by {by}, bucket order by at "
+            "range between unbounded preceding and current row)"
+        )
+        + " as inside",
     )
-    total = f"cast(carry + inside as {VOLUME_TYPE})"
+    total = _total("carry + inside")
     return (
         inside.join(carried, [*keys, "bucket"])
         .groupBy(*keys, TIME_US)
@@ -121,7 +132,7 @@ def _hot_volumes(
     """Same columns as ``_plain_volumes``, one row per distinct payment shape."""
     shapes = materialise(
         payments.groupBy(USER, RECIPIENT, TIME, *keys)
-        .agg(F.expr(f"sum(coalesce({AMOUNT}, 0)) as amount"), F.expr("count(*) as copies"))
+        .agg(F.expr(f"{_total(f'sum(coalesce({AMOUNT}, 0))')} as amount"), F.expr("count(*) as copies"))
         .withColumn(TIME_US, micros(TIME))
     )
 
@@ -129,7 +140,7 @@ def _hot_volumes(
         at = (
             shapes.dropna(subset=list(by))
             .groupBy(*by, TIME_US)
-            .agg(F.expr("sum(amount) as amount"), F.expr(f"sum(copies) as {ties}"))
+            .agg(F.expr(f"{_total('sum(amount)')} as amount"), F.expr(f"sum(copies) as {ties}"))
         )
         totals = _bucketed_totals(at, by, days, policy)
         return totals.join(at.drop("amount"), [*by, TIME_US]).selectExpr(
@@ -174,7 +185,7 @@ def base_volumes(
     return volumes.selectExpr(
         USER, RECIPIENT, TIME, *keys, "copies", "user_ties", "recipient_ties",
         "lifetime", *(f"any_{d}" for d in days),
-        *(f"if({RECIPIENT} is null, cast(0 as {VOLUME_TYPE}), {c}) as {c}" for c in linked),
+        *(f"if({RECIPIENT} is null, {_total('0')}, {c}) as {c}" for c in linked),
     )
 
 
