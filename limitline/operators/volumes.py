@@ -231,19 +231,25 @@ def _windowed(
     hot: Sequence | None,
     policy: SkewPolicy,
     per_recipient: bool = True,
+    distinct: bool = True,
 ) -> DataFrame:
-    """Distinct (payment shape, volumes); ``columns`` maps name -> (volume, ties)."""
+    """(Payment shape, volumes); ``columns`` maps name -> (volume, ties).
+
+    Without ``distinct`` tied payments keep a row each, which is all the same to a
+    first date.
+    """
     multiply = _faithful(ties)
     base = base_volumes(payments, MONITORING_KEYS, windows, hot, policy)
     recipient = [F.col(RECIPIENT).alias("recipient_id")] if per_recipient else []
-    return base.select(
+    shapes = base.select(
         F.col(TIME).alias("refdate"), USER, *recipient, *MONITORING_KEYS,
         *(
             # An unknown recipient has volume 0 and, on the hot way, no tie count.
             (times(volume, f"coalesce({count}, 1)") if multiply else F.col(volume)).alias(name)
             for name, (volume, count) in columns.items()
         ),
-    ).distinct()
+    )
+    return shapes.distinct() if distinct else shapes
 
 
 LIFETIME_COLUMNS = {
@@ -261,13 +267,14 @@ def linked_volumes(
     ties: str = "faithful",
     hot: Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
+    distinct: bool = True,
 ) -> DataFrame:
     """Lifetime volume and lifetime volume to the same recipient, per payment shape.
 
     With ``ties="faithful"`` the volumes are multiplied by the number of payments that
     share the (customer, time) or (customer, recipient, time).
     """
-    return _windowed(payments, LIFETIME_COLUMNS, (), ties, hot, policy)
+    return _windowed(payments, LIFETIME_COLUMNS, (), ties, hot, policy, distinct=distinct)
 
 
 def linked_window_volumes(
@@ -276,10 +283,11 @@ def linked_window_volumes(
     ties: str = "faithful",
     hot: Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
+    distinct: bool = True,
 ) -> DataFrame:
     """Trailing volumes to the same recipient, per payment shape."""
     columns = _trailing("linked", "recipient_ties", windows)
-    return _windowed(payments, columns, windows, ties, hot, policy)
+    return _windowed(payments, columns, windows, ties, hot, policy, distinct=distinct)
 
 
 def user_window_volumes(
@@ -288,10 +296,13 @@ def user_window_volumes(
     ties: str = "faithful",
     hot: Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
+    distinct: bool = True,
 ) -> DataFrame:
     """Trailing volumes to any recipient, per payment shape without the recipient."""
     columns = _trailing("any", "user_ties", windows)
-    return _windowed(payments, columns, windows, ties, hot, policy, per_recipient=False)
+    return _windowed(
+        payments, columns, windows, ties, hot, policy, per_recipient=False, distinct=distinct
+    )
 
 
 def monitoring_volumes(
@@ -300,6 +311,7 @@ def monitoring_volumes(
     ties: str = "faithful",
     hot: Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
+    distinct: bool = True,
 ) -> DataFrame:
     """All volumes of the four monitored rules at once: same-recipient windows as
     ``linked_last_*``, any-recipient windows as ``any_last_*``."""
@@ -308,7 +320,7 @@ def monitoring_volumes(
         **_trailing("linked", "recipient_ties", windows, "linked_"),
         **_trailing("any", "user_ties", windows, "any_"),
     }
-    return _windowed(payments, columns, windows, ties, hot, policy)
+    return _windowed(payments, columns, windows, ties, hot, policy, distinct=distinct)
 
 
 def volume_by_risk(volumes: DataFrame, config: LimitConfig = LimitConfig()) -> DataFrame:

@@ -36,34 +36,37 @@ class RuleComparison:
     def payments(self) -> DataFrame:
         return payments_monitoring(self.src, self.config, self.policy, self.hot)
 
-    def _hot_users(self) -> dict:
-        return {"hot": self.hot["user_profile_id"], "policy": self.policy}
+    def _volumes(self, form, *windows, distinct: bool) -> DataFrame:
+        hot = self.hot["user_profile_id"]
+        return form(self.payments, *windows, hot=hot, policy=self.policy, distinct=distinct)
 
-    def linked_volumes(self) -> DataFrame:
-        return volumes.linked_volumes(self.payments, **self._hot_users())
+    def linked_volumes(self, distinct: bool = True) -> DataFrame:
+        return self._volumes(volumes.linked_volumes, distinct=distinct)
 
-    def linked_window_volumes(self) -> DataFrame:
-        return volumes.linked_window_volumes(
-            self.payments, self.config.windows, **self._hot_users()
+    def linked_window_volumes(self, distinct: bool = True) -> DataFrame:
+        return self._volumes(
+            volumes.linked_window_volumes, self.config.windows, distinct=distinct
         )
 
-    def user_window_volumes(self) -> DataFrame:
-        return volumes.user_window_volumes(self.payments, self.config.windows, **self._hot_users())
+    def user_window_volumes(self, distinct: bool = True) -> DataFrame:
+        return self._volumes(volumes.user_window_volumes, self.config.windows, distinct=distinct)
 
-    def lttw_volume(self) -> DataFrame:
-        return volumes.volume_by_risk(self.linked_window_volumes(), self.config)
+    def lttw_volume(self, distinct: bool = True) -> DataFrame:
+        return volumes.volume_by_risk(self.linked_window_volumes(distinct), self.config)
 
-    def ltto_volume(self) -> DataFrame:
-        return volumes.volume_by_risk(self.user_window_volumes(), self.config)
+    def ltto_volume(self, distinct: bool = True) -> DataFrame:
+        return volumes.volume_by_risk(self.user_window_volumes(distinct), self.config)
 
     def limit_date(self, rule: str) -> DataFrame:
+        """First date a rule is hit; repeated rows would not change a first date, so
+        the volumes are not made distinct for it."""
         table, column = {
             "pgl": (self.linked_volumes, "lifetime_volume"),
             "lro": (self.linked_volumes, "same_recipient_volume"),
             "lttw": (self.lttw_volume, "volume_at_day"),
             "ltto": (self.ltto_volume, "volume_at_day"),
         }[rule]
-        return limits.limit_date(table(), column, limits.MONITORING_HIT_KEYS, self.config.limit)
+        return limits.limit_date(table(distinct=False), column, limits.MONITORING_HIT_KEYS, self.config.limit)
 
     def month(self, rule: str) -> DataFrame:
         return limits.month_hit_eligible(self.limit_date(rule), self.config)
@@ -72,9 +75,7 @@ class RuleComparison:
         return reports.count_users(self.month("pgl"))
 
     def comparison(self) -> DataFrame:
-        wide = volumes.monitoring_volumes(
-            self.payments, self.config.windows, **self._hot_users()
-        )
+        wide = self._volumes(volumes.monitoring_volumes, self.config.windows, distinct=False)
         return compare.compare_months(compare.monitoring_months(wide, self.config))
 
     def rule_gap(self, column: str = "ltto_reached_month") -> DataFrame:
