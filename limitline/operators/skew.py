@@ -25,7 +25,7 @@ def hot_keys(df: DataFrame, *keys: str, policy: SkewPolicy = SkewPolicy()) -> di
         return {key: [] for key in keys}
     found = df.agg(
         *(
-            F.expr(f"approx_top_k({key}, {policy.max_hot_keys}, {policy.tracked_keys})").alias(key)
+            F.expr(f"approx_top_k(`{key}`, {policy.max_hot_keys}, {policy.tracked_keys})").alias(key)
             for key in keys
         )
     ).first()
@@ -70,7 +70,10 @@ def skew_join(
 
 
 def broadcast_if_small(df: DataFrame, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """Mark ``df`` for broadcast only if an exact count proves that it is small."""
+    """Mark ``df`` for broadcast only if an exact count proves that it is small.
+
+    Otherwise the join shuffles and adaptive execution splits its skewed partitions.
+    """
     return F.broadcast(df) if df.count() <= policy.broadcast_rows else df
 
 

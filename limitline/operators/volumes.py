@@ -169,15 +169,15 @@ def base_volumes(
     ``recipient_ties`` how many payments share its (customer, time) and (customer,
     recipient, time). Same-recipient volumes are 0 where the recipient is unknown: a
     NULL recipient is never the same as another. ``hot`` lists the hot customers; None
-    looks for them in ``payments``.
+    looks for them in ``payments``. With hot customers ``payments`` is read twice, so
+    it should be a stored table, and their collapsed payments are written here.
     """
     if hot is None:
         hot = hot_keys(payments, USER, policy=policy)[USER]
     if hot:
-        rows = materialise(payments)
         is_hot = F.col(USER).isin(list(hot))
-        volumes = _plain_volumes(rows.filter(~is_hot), keys, days).unionByName(
-            _hot_volumes(rows.filter(is_hot), keys, days, policy)
+        volumes = _plain_volumes(payments.filter(~is_hot), keys, days).unionByName(
+            _hot_volumes(payments.filter(is_hot), keys, days, policy)
         )
     else:
         volumes = _plain_volumes(payments, keys, days)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from limitline.config import LimitConfig, SkewPolicy
 from limitline.operators import compare, limits, outcomes, rates, reports, volumes
 from limitline.operators.payments import FACT_KEYS, payments_entitlement
-from limitline.operators.skew import hot_keys
-from limitline.sources.tables import Sources
+from limitline.operators.skew import hot_keys, materialise
+from limitline.sources.tables import Sources, replace_table
 
 
 class Backtest:
@@ -36,7 +36,13 @@ class Backtest:
 
     @cached_property
     def payments(self) -> DataFrame:
-        return payments_entitlement(self.src, self.config, self.policy, self.hot)
+        """The dataset all rules start from, written once if a customer is hot."""
+        rows = payments_entitlement(self.src, self.config, self.policy, self.hot)
+        return materialise(rows) if self.hot["user_profile_id"] else rows
+
+    def store_payments(self, path: str) -> None:
+        """Write the payments once; whatever is asked for next reads that table."""
+        self.payments = replace_table(self.payments, path)
 
     def single_payment_hit(self) -> DataFrame:
         return limits.single_payment_hit(self.payments, self.config)

@@ -54,6 +54,18 @@ def test_months_of_the_window_rules_follow_the_lifetime_rule(spark, sf_dir):
     assert table.filter(late).count() == 0
 
 
+def test_stored_payments_give_the_same_tables(spark, sf_dir, tmp_path):
+    src = from_star_schema(spark, sf_dir)
+    for plan, build, name in (
+        (Backtest(src), BACKTEST["old_rule_month"], "old_rule_month"),
+        (RuleComparison(src), COMPARISON["compare_rules"], "compare_rules"),
+    ):
+        plan.store_payments(str(tmp_path / name))
+        got = Counter(tuple(r) for r in build(plan).collect())
+        assert got == Counter(tuple(r) for r in QUERIES[name](spark, sf_dir).collect())
+        assert all(str(tmp_path) in f for f in plan.payments.inputFiles())
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
