@@ -19,8 +19,15 @@ def text_list(values: Iterable[str]) -> str:
     return "(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
 
 
-def listed(column: str, values: Iterable[str]) -> Column:
-    return F.expr(f"{column} in {text_list(values)}")
+def listed(column: str, values: Iterable) -> Column:
+    """Whether the column is one of the values (texts or whole numbers).
+
+    One SQL text instead of ``isin``, which makes a call to the JVM per value.
+    """
+    values = list(values)
+    if all(isinstance(v, int) for v in values):
+        return F.expr(f"`{column}` in ({', '.join(map(str, values))})")
+    return F.expr(f"`{column}` in {text_list(values)}")
 
 
 def risk_volume(config: LimitConfig, prefix: str = "") -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,9 +99,15 @@ def entitlement_verified(
     triggers = _triggers(
         src, entitlement, since, until, config, _find_hot(src, hot, policy), policy
     )
+    # The dates of the triggers bound those of the verifications that can match.
+    history = src.profile_verification_history_sm
+    verified = F.col("first_verification_time")
+    if since is not None:
+        history = history.filter(verified > at(since - timedelta(config.verified_days_before)))
+    if until is not None:
+        history = history.filter(verified < at(until + timedelta(config.verified_days_after)))
     matched = verified_near(
-        triggers, src.profile_verification_history_sm,
-        config.verified_days_before, config.verified_days_after,
+        triggers, history, config.verified_days_before, config.verified_days_after
     )
     return matched.select(
         F.col("user_profile_id").alias("profile_id"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import SkewPolicy
+from limitline.functions.rules import listed
 
 SALT = "_salt"
 
@@ -58,7 +59,7 @@ def skew_join(
         for side, how in sides:
             facts = facts.join(side, on, how)
         return facts
-    is_hot = F.col(on).isin(list(hot))
+    is_hot = listed(on, hot)
     # The partition id spreads exact copies of one row, which hash alike.
     spread = F.pmod(F.xxhash64(*facts.columns) + F.spark_partition_id(), F.lit(policy.salts))
     joined = facts.withColumn(SALT, F.when(is_hot, spread.cast("int")).otherwise(0))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import VOLUME_TYPE, LimitConfig, SkewPolicy
-from limitline.functions.rules import risk_volume, times, window_column
+from limitline.functions.rules import listed, risk_volume, times, window_column
 from limitline.functions.time import DAY_US, HOUR_US, floor_to, micros
 from limitline.operators.skew import hot_keys, materialise
 
@@ -175,7 +175,7 @@ def base_volumes(
     if hot is None:
         hot = hot_keys(payments, USER, policy=policy)[USER]
     if hot:
-        is_hot = F.col(USER).isin(list(hot))
+        is_hot = listed(USER, hot)
         volumes = _plain_volumes(payments.filter(~is_hot), keys, days).unionByName(
             _hot_volumes(payments.filter(is_hot), keys, days, policy)
         )
