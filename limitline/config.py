@@ -81,7 +81,11 @@ class LimitConfig:
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When a key counts as hot, how far it is spread, what may be broadcast."""
+    """When a key counts as hot, how far it is spread, what may be broadcast.
+
+    A key left out of the ``max_hot_keys`` hottest holds less than rows / max_hot_keys
+    rows, which is the most a single window group can then be; raise it with the data.
+    """
 
     hot_rows: int = 1_000_000
     max_hot_keys: int = 10_000

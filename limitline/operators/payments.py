@@ -27,8 +27,8 @@ def unique_payments(src: Sources, products: Sequence[str]) -> DataFrame:
 def in_eur(payments: DataFrame, src: Sources, config: LimitConfig, policy: SkewPolicy) -> DataFrame:
     """Replace the local amount by its EUR value; drop payments without one.
 
-    The rates hold one row per currency and day. They are broadcast once a count of
-    the source proves that, otherwise the join shuffles.
+    The rates hold one row per currency and day, however many payments there are. They
+    are broadcast once a count proves them small, otherwise the join shuffles.
     """
     rates = to_eur_rates(src.daily_aggregated_rates, config.eur_currency_id).filter(
         F.col("exch_rate").isNotNull()

@@ -17,7 +17,8 @@ def to_eur_rates(rates: DataFrame, eur_id: int = 1) -> DataFrame:
         "struct(currency_date as eur_date, inverse_exchange_rate), null)"
     )
     # All EUR quotes of the day next to each quote: a join of the table with itself in
-    # one pass, whose size Spark estimates by the table and not by its square.
+    # one pass, whose size Spark estimates by the table and not by its square. A day has
+    # one quote per currency, so its group stays small.
     return (
         rates.selectExpr(
             "from_currency_code as source_currency",
