@@ -8,7 +8,9 @@ for the pieces between some of its splits, one after the other. ``space_pieces``
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 from collections.abc import Callable, Sequence
 from itertools import chain
 
@@ -18,14 +20,42 @@ from limitline.llm.textblocks import ASCII_SPACE, ragged, span_hashes, words
 
 #: Distinct pieces kept per Python worker, and the longest that is kept. A full store is
 #: emptied; neither bound changes a result.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
 KEPT_BYTES = 64
 
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+_APOSTROPHE = ord("'")
+_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER[[i for i in range(128) if chr(i).isalpha()]] = True
+#: Bytes after C3 that make a letter: all but the signs for times and divided by.
+_AFTER_C3 = np.zeros(256, dtype=bool)
+_AFTER_C3[[i for i in range(0x80, 0xC0) if i not in (0x97, 0xB7)]] = True
+
+
+def _letter_edges(data: np.ndarray) -> np.ndarray:
+    """Places between a letter of ASCII or Latin-1 and an ASCII character of another kind.
+
+    Runs of letters end there whatever else a pattern says, but for an apostrophe in front.
+    """
+    edge = np.zeros(len(data), dtype=bool)
+    if len(data) < 2:
+        return edge
+    letter = _ASCII_LETTER[data]
+    ends, begins = letter.copy(), letter
+    latin = (data[:-1] == 0xC3) & _AFTER_C3[data[1:]]
+    ends[1:] |= latin
+    begins = letter.copy()
+    begins[:-1] |= latin
+    other = (data < 0x80) & ~letter & ~ASCII_SPACE[data]
+    edge[1:] = ends[:-1] & other[1:]
+    edge[1:] |= (other & (data != _APOSTROPHE))[:-1] & begins[1:]
+    return edge
+
+
 def space_pieces(data: np.ndarray, offsets: np.ndarray) -> Spans:
-    """Pieces that begin with a text, or with white space after something else.
+    """Pieces that begin with a text, with white space after something else, or at the edge of letters.
 
     For splits that never reach from other characters into white space. A space is left
     inside a piece if white space beyond ASCII may stand before it.
@@ -37,12 +67,23 @@ def space_pieces(data: np.ndarray, offsets: np.ndarray) -> Spans:
     if n > 2:  # no White_Space character beyond ASCII ends otherwise: C2 xx, E1/E2/E3 xx xx
         cut[2:] &= data[:-2] != 0xC2
         cut[3:] &= ~np.isin(data[:-3], (0xE1, 0xE2, 0xE3))
+    cut |= _letter_edges(data)
     cut[offsets[offsets < n]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], n) if len(starts) else starts
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> Spans:
+    """Words, also cut at the edges of letters; for tokenizers that drop white space."""
+    starts, ends, _ = words(data, offsets)
+    inner = _letter_edges(data)
+    inner[starts] = False
+    inner = np.flatnonzero(inner)
+    starts, ends = np.sort(np.append(starts, inner)), np.sort(np.append(ends, inner))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 class PieceEncoder:
     """Ids of many pieces; ``encode`` gives the ids of distinct ones."""
 
@@ -118,24 +159,60 @@ class PieceEncoder:
         return np.flatnonzero(differ)
 
 
+#: A run of letters of ASCII and Latin-1, after a space or not: one split of the tokenizers here.
+_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+
+
+def _printable_bytes() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes of Latin-1 stand for themselves, the others for characters from 256 on.
+    """
+    itself = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(i if i in itself else next(rest)) for i in range(256)]
+
+
 @functools.lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
-    """Pieces by the ``tokenizers`` library; special tokens' strings are ordinary text."""
+    """Pieces by the ``tokenizers`` library; special tokens' strings are ordinary text.
+
+    A plain run of letters is one split, and goes to the library's model at once.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    with open(path, encoding="utf-8") as file:
+        normalizer = json.load(file)["normalizer"]
+    lower = normalizer is not None  # the one here lowers; it drops spaces, too
+    stand_in = _printable_bytes()
+    split_of = {chr(i): "".join(stand_in[b] for b in chr(i).encode()) for i in range(256)}
+    table = str.maketrans(split_of)
+    merge = tokenizer.model.tokenize
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
-        texts = [x.decode() for x in pieces]
-        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[list[int]] = []
+        rest, at = [], []
+        for piece in pieces:
+            text = piece.decode()
+            if plain := _PLAIN.fullmatch(text):
+                text = plain[2].lower() if lower else text
+                out.append([t.id for t in merge(text.translate(table))])
+            else:
+                at.append(len(out))
+                rest.append(text)
+                out.append([])
+        for i, found in zip(at, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[i] = found.ids
+        return out
 
     return PieceEncoder(encode)
 
 
 #: How a tokenizer file's texts may be cut: by its own treatment of white space.
-SPLITS: dict[str, Callable[[np.ndarray, np.ndarray], Spans]] = {"space": space_pieces, "words": words}
+SPLITS: dict[str, Callable[[np.ndarray, np.ndarray], Spans]] = {"space": space_pieces, "words": word_pieces}
 
 
 def documents_ids(
