@@ -8,7 +8,9 @@ arrival at a time, and a run stops once its time exceeds the last register of it
 
 Registers are banded. In a bucket of a band every text is compared with the bucket's hub,
 the text that shares buckets with most others, and not all with all. Texts that are not
-linked with the hub stay for another round with more hubs, until no two are left.
+linked with the hub stay for another round with other hubs; rounds end when one finds no
+link. A round compares no more pairs than there are places in buckets, and every pair at
+the threshold shares six or seven buckets, each with its own hub.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SIMILARITY = 0.8
 #: 20 bands of 5 registers: a pair at similarity 0.8 shares a bucket with probability
 #: 1 - (1 - 0.8^5)^20 = 0.9996, one at 0.85 with 0.99998.
 BANDS, ROWS = 20, 5
+#: Hubs of a bucket from the second round on; few texts are left by then.
+LATER_HUBS = 4
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,18 +190,21 @@ def near_groups(
     left = stored(shared.join(degrees, "node").select("bucket", "node", "degree"), "buckets")
     wanted = left.select(F.col("node").alias("doc_id")).distinct()
     # Any one row of a repeated doc_id will do, and its equal texts are one.
-    needed = stored(source.join(wanted, "doc_id", "left_semi").distinct(), "bucket-texts")
-    links, roots, n_hubs = None, None, 1
+    needed = stored(source.join(wanted.hint("merge"), "doc_id", "left_semi").distinct(), "bucket-texts")
+    links, n_hubs = None, 1
     while True:
         hubs = stored(_hubs(left, n_hubs), "hubs")
-        pairs = stored(_hub_pairs(left, hubs), "pairs")
-        if not pairs.limit(1).count():
+        beside = stored(left.select("bucket", "node").join(hubs, "bucket").where("node <> hub"), "beside-hubs")
+        pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        found = stored(_links(beside.select(*pair).distinct(), needed, similarity), "links")
+        if not found.limit(1).count():
             break
-        found = stored(_links(pairs, needed, similarity), "links")
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        left = stored(_unresolved(left, hubs, roots), "buckets")
-        n_hubs *= 2
+        met = beside.select("bucket", "node", *pair).join(found, ["a", "b"], "left_semi").select("bucket", "node")
+        met = met.unionByName(hubs.withColumnRenamed("hub", "node")).distinct()
+        left = stored(left.join(met, ["bucket", "node"], "left_anti"), "buckets")
+        n_hubs = LATER_HUBS
+    roots = None if links is None else components(links)
     classed = texts.select("sha", "node")
     if roots is None:
         classed = classed.withColumn("class_id", F.col("node"))
@@ -208,26 +215,10 @@ def near_groups(
     )
 
 
-def _hubs(left: DataFrame, hubs: int) -> DataFrame:
-    """bucket and hub: the ``hubs`` texts of each bucket with the largest degrees."""
-    if hubs == 1:
+def _hubs(left: DataFrame, n: int) -> DataFrame:
+    """bucket and hub: the ``n`` texts of each bucket with the largest degrees, of equals the smallest."""
+    if n == 1:
         best = F.max(F.struct("degree", (-F.col("node")).alias("least")))
         return left.groupBy("bucket").agg(best.alias("best")).select("bucket", (-F.col("best.least")).alias("hub"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
-    return left.withColumn("rank", rank).where(F.col("rank") <= hubs).select("bucket", F.col("node").alias("hub"))
-
-
-def _hub_pairs(left: DataFrame, hubs: DataFrame) -> DataFrame:
-    pairs = left.select("bucket", "node").join(hubs, "bucket").where("node <> hub")
-    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def _unresolved(left: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
-    """What is in no class of its bucket's hubs, where two or more such texts are left."""
-    hub_roots = hubs.join(roots, F.col("hub") == F.col("node"), "left")
-    hub_roots = hub_roots.select("bucket", F.coalesce("root", "hub").alias("root")).distinct()
-    named = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = named.join(stored(hub_roots, "hub-roots"), ["bucket", "root"], "left_anti")
-    rest = stored(rest.select("bucket", "node", "degree"), "rest")
-    several = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return rest.join(stored(several, "several"), "bucket", "left_semi")
+    return left.withColumn("rank", rank).where(F.col("rank") <= n).select("bucket", F.col("node").alias("hub"))
