@@ -28,7 +28,7 @@ ORDER = 4
 #: Labelled documents learned per language: those whose ids have the smallest hashes.
 SAMPLE_DOCS = 1000
 #: Contexts kept in the tree, over all languages: the most frequent.
-MAX_CONTEXTS = 24_000
+MAX_CONTEXTS = 8_000
 
 UNDETERMINED = "und"
 
