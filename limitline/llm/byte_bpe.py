@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ ENDINGS_2 = ("re", "ve", "ll")
 
 _BLOCK = 512
 
+#: Bytes of text worked on at once: the scan takes some forty times as much.
+_TEXT_BYTES = 1 << 20
+
 
 @functools.cache
 def _kinds() -> np.ndarray:
@@ -114,7 +118,7 @@ def states_before(symbols: np.ndarray) -> np.ndarray:
     table = after.ravel()
     n = len(symbols)
     rows = -(-n // _BLOCK)
-    padded = np.full(rows * _BLOCK, STAY, np.intp)
+    padded = np.full(rows * _BLOCK, STAY, np.int32)
     padded[:n] = symbols
     columns = np.ascontiguousarray(padded.reshape(rows, _BLOCK).T) * 8
     whole = np.broadcast_to(np.arange(8, dtype=np.uint8), (rows, 8))
@@ -224,7 +228,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", _TEXT_BYTES):
                 data, offsets = flat(block.column("text"))
                 starts, ends, firsts = slices(data, offsets)
                 ids, counts = vocab.encoder(data, starts, ends)
@@ -238,21 +242,34 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids binary, ends binary")
 
 
+def _id_blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose ids take about as much as a block of text."""
+    sizes = pc.binary_length(batch.column("ids")).to_numpy()
+    ends = np.cumsum(sizes)
+    row = 0
+    while row < batch.num_rows:
+        before = ends[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(ends, before + _TEXT_BYTES, side="right")))
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, ends and the decoded bytes; ids outside the vocabulary are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            cells = batch.column("ids").cast(pa.large_binary())
-            bounds = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + len(cells) + 1] // 4
-            raw = cells.buffers()[2]
-            ids = np.frombuffer(raw, "<u4") if raw is not None else np.zeros(0, np.uint32)
-            ids, bounds = ids[bounds[0] : bounds[-1]], bounds - bounds[0]
-            lengths = vocab.lengths[ids]
-            text = vocab.bytes[ragged(vocab.firsts[ids], lengths)]
-            ends = np.concatenate(([0], np.cumsum(lengths)))[bounds]
-            yield _with(batch, "", decoded=_cells(text, ends))
+            for part in _id_blocks(batch):
+                cells = part.column("ids").cast(pa.large_binary())
+                bounds = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + len(cells) + 1] // 4
+                raw = cells.buffers()[2]
+                ids = np.frombuffer(raw, "<u4") if raw is not None else np.zeros(0, np.uint32)
+                ids, bounds = ids[bounds[0] : bounds[-1]], bounds - bounds[0]
+                lengths = vocab.lengths[ids]
+                text = vocab.bytes[ragged(vocab.firsts[ids], lengths)]
+                ends = np.concatenate(([0], np.cumsum(lengths)))[bounds]
+                yield _with(part, "", decoded=_cells(text, ends))
 
     return encoded.select("doc_id", "ids", "ends").mapInArrow(
         run, "doc_id long, ids binary, ends binary, decoded binary"

@@ -20,7 +20,7 @@ from limitline.llm.textblocks import ASCII_SPACE, ragged, span_hashes, words
 
 #: Distinct pieces kept per Python worker, and the longest that is kept. A full store is
 #: emptied; neither bound changes a result.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 300_000
 KEPT_BYTES = 64
 
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
