@@ -23,9 +23,10 @@ OTHER_ENTITY_COUNTRIES = (
     "nzl", "pse", "sgp", "som", "ssd", "sdn", "syr", "usa", "umi",
 )
 
-# Decimal types that keep EUR arithmetic exact (no silent scale loss at 38 digits).
-RATE_TYPE = "decimal(12,6)"
-AMOUNT_TYPE = "decimal(14,2)"
+# Decimal types that keep EUR arithmetic exact (no silent scale loss at 38 digits): an
+# amount times a rate is decimal(37,17).
+RATE_TYPE = "decimal(20,14)"
+AMOUNT_TYPE = "decimal(16,3)"
 EUR_TYPE = "decimal(18,8)"
 VOLUME_TYPE = "decimal(24,8)"
 TIES_TYPE = "decimal(13,0)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from limitline.config import RATE_TYPE
 
@@ -12,23 +13,12 @@ def to_eur_rates(rates: DataFrame, eur_id: int = 1) -> DataFrame:
 
     Days without a EUR quote stay, with NULL date and rate.
     """
-    eur = (
-        f"if(from_currency_id = {eur_id} and currency_date is not null, "
-        "struct(currency_date as eur_date, inverse_exchange_rate), null)"
-    )
-    # All EUR quotes of the day next to each quote: a join of the table with itself in
-    # one pass, whose size Spark estimates by the table and not by its square. A day has
-    # one quote per currency, so its group stays small.
-    return (
-        rates.selectExpr(
-            "from_currency_code as source_currency",
-            "rate",
-            f"collect_list({eur}) over (partition by currency_date) as eur",
-        )
-        .selectExpr("source_currency", "rate", "explode_outer(eur) as eur")
-        .selectExpr(
-            "source_currency",
-            "eur.eur_date as currency_date",
-            f"cast(eur.inverse_exchange_rate * rate as {RATE_TYPE}) as exch_rate",
-        )
+    eur = rates.filter(f"from_currency_id = {eur_id} and currency_date is not null")
+    quotes = rates.selectExpr("from_currency_code as source_currency", "rate", "currency_date as quote_date")
+    return quotes.join(
+        eur.select("currency_date", "inverse_exchange_rate"), F.expr("quote_date = currency_date"), "left"
+    ).selectExpr(
+        "source_currency",
+        "currency_date",
+        f"cast(inverse_exchange_rate * rate as {RATE_TYPE}) as exch_rate",
     )

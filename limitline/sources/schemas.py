@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 SCHEMAS: dict[str, str] = {
     "daily_aggregated_rates": (
         "from_currency_id int, from_currency_code string, currency_date date, "
-        "rate decimal(14,6), inverse_exchange_rate decimal(14,6)"
+        "rate decimal(20,12), inverse_exchange_rate decimal(20,12)"
     ),
     "report_action_step": (
         "user_profile_id bigint, request_id bigint, action_creation_time timestamp_ntz, "
-        "source_currency string, invoice_value_local decimal(14,2), "
+        "source_currency string, invoice_value_local decimal(16,3), "
         "invoice_value_gbp decimal(18,6), flag_for_aggregations boolean, product_type string"
     ),
     "transfer": "id bigint, user_profile_id bigint, target_recipient_id bigint, state string",
@@ -44,7 +44,8 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     """Select the columns of ``table`` with their declared types.
 
     Flags may arrive as boolean or as 0/1 and leave as boolean. A missing column is an
-    error here, not a surprise in a later join.
+    error here, not a surprise in a later join; so is, when read, a decimal with more
+    digits than its type has.
     """
     wanted = T.StructType.fromDDL(SCHEMAS[table])
     have = {field.name.lower(): field for field in df.schema.fields}
@@ -61,6 +62,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             value = f"{name} = 1"
         else:
             value = f"cast({name} as {kind.simpleString()})"
+            if isinstance(kind, T.DecimalType) and isinstance(source.dataType, T.DecimalType):
+                lost = f"raise_error('{table}.{field.name} has more digits than {kind.simpleString()}')"
+                value = f"if({value} <> {name}, {lost}, {value})"
         return f"{value} as {field.name}"
 
     return df.selectExpr(*map(column, wanted))

@@ -255,3 +255,35 @@ def test_entitlement_tables(source):
     assert rows_of(triggered, "profile_id") == [(1,)]
     assert rows_of(entitlements.entitlement_triggered(src, "2", until=cfg.payment_until)) == [(3, date(2019, 7, 1), None)]
     assert rows_of(entitlements.triggered_users(src)) == [(3,)]
+
+
+def test_small_rates_keep_their_digits(spark):
+    """HUF 397,500 at these rates are 999.91 EUR: no limit hit."""
+    from decimal import Decimal
+
+    from limitline.operators.rates import to_eur_rates
+    from limitline.sources.schemas import conform
+
+    rows = [(1, "EUR", "2020-01-01", "1", "1.17"), (9, "HUF", "2020-01-01", "0.00215", "1"), (8, "VND", "2020-01-01", "0.0000331", "1")]
+    quotes = spark.createDataFrame(rows, "from_currency_id int, from_currency_code string, d string, r string, i string")
+    quotes = quotes.selectExpr(
+        "from_currency_id", "from_currency_code", "cast(d as date) as currency_date",
+        "cast(r as decimal(18,10)) as rate", "cast(i as decimal(18,10)) as inverse_exchange_rate",
+    )
+    rates = to_eur_rates(conform(quotes, "daily_aggregated_rates"))
+    found = {r["source_currency"]: r["exch_rate"] for r in rates.collect()}
+    assert found["HUF"] == Decimal("0.0025155") and found["VND"] == Decimal("0.000038727")
+    assert 397_500 * found["HUF"] < 1000
+
+
+def test_lost_digits_are_an_error(spark):
+    import pytest as _pytest
+
+    from limitline.sources.schemas import conform
+
+    quotes = spark.sql(
+        "select 1 as from_currency_id, 'EUR' as from_currency_code, date'2020-01-01' as currency_date, "
+        "cast('0.0000000000001' as decimal(20,13)) as rate, cast(1 as decimal(20,12)) as inverse_exchange_rate"
+    )
+    with _pytest.raises(Exception, match="more digits"):
+        conform(quotes, "daily_aggregated_rates").collect()
