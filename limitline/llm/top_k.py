@@ -133,6 +133,8 @@ def _selected(k: int):
                     vecs.append(ids[at])
                     values.append(scores[i][at])
                 place = np.concatenate(places)
+                if not len(place):  # a block with none of any query's best
+                    continue
                 yield pa.RecordBatch.from_pydict(
                     {
                         "block": [row["block"]] * len(place),

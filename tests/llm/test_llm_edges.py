@@ -268,6 +268,18 @@ def test_top_k(spark):
     assert pandas(top_k.top_k(empty, vectors)).empty and pandas(top_k.top_k(vectors, empty)).empty
 
 
+def test_top_k_of_a_block_without_any():
+    """A block of candidates all below the k-th score gives no batch, and no error."""
+    vector = np.ones(2).tobytes()
+    row = {
+        "block": "x", "low": [5], "q_ids": [1], "q_vectors": vector, "q_dim": 2, "q_top": 1.0,
+        "ids": [2], "vectors": vector, "dim": 2, "top": 1.0,
+    }
+    assert list(top_k._selected(3)(iter([pa.RecordBatch.from_pylist([row])]))) == []
+    (found,) = top_k._selected(3)(iter([pa.RecordBatch.from_pylist([row | {"low": [2]}])]))
+    assert found.select(["query_id", "vec_id", "score"]).to_pylist() == [{"query_id": 1, "vec_id": 2, "score": 2}]
+
+
 def pa_lit(value):
     from pyspark.sql import functions as F
 
