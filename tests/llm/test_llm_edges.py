@@ -244,6 +244,21 @@ def test_chains_rise_in_both_and_take_the_best():
     assert other[best].tolist() == [0, 10, 30, 40, 60]
 
 
+def test_plain_chains_are_those_of_the_tree():
+    rng = np.random.default_rng(3)
+    at_once = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 12))
+        step = int(rng.choice([12, 40, 120]))
+        pos, other = (np.cumsum(rng.integers(1, step, n)) for _ in range(2))
+        if rng.random() < 0.2:
+            rng.shuffle(other)
+        one, two = (substring_dedup.chains(pos, other, plain=p) for p in (True, False))
+        assert [c.tolist() for c in one] == [c.tolist() for c in two]
+        at_once += len(one) == 1
+    assert 50 < at_once < 350
+
+
 def test_cut_words():
     assert substring_dedup.cut_words("  a b\nc d ", [(1, 3)]) == "  a d "
     assert substring_dedup.cut_words("é ü", [(0, 9)]) == ""
