@@ -6,15 +6,19 @@ register belongs to the run that hits it first. Two texts agree in a register wi
 probability Jaccard similarity of their weighted runs. All runs of many texts advance one
 arrival at a time, and a run stops once its time exceeds the last register of its text.
 
-Registers are banded. In a bucket of a band every text is compared with the bucket's hub,
-the text that shares buckets with most others, and not all with all. Texts that are not
-linked with the hub stay for another round with other hubs; rounds end when one finds no
-link. A round compares no more pairs than there are places in buckets, and every pair at
-the threshold shares six or seven buckets, each with its own hub.
+Registers are banded. In a bucket of a band texts are compared with the bucket's hubs, the
+texts that share buckets with most others, and not all with all. After each round the
+links found join classes. Texts of one class need no further comparison, so a bucket stays
+only while it holds several classes, without the hubs it has had; its next hubs come from
+different classes. Texts are read only for pairs whose sketches, four bits of each register,
+differ in few enough registers. Rounds end when one joins no classes. A round compares no more pairs
+than there are places in buckets times hubs of a bucket, and every pair at the threshold
+shares six or seven buckets, each with its own hubs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +36,11 @@ SIMILARITY = 0.8
 #: 20 bands of 5 registers: a pair at similarity 0.8 shares a bucket with probability
 #: 1 - (1 - 0.8^5)^20 = 0.9996, one at 0.85 with 0.99998.
 BANDS, ROWS = 20, 5
-#: Hubs of a bucket from the second round on; few texts are left by then.
-LATER_HUBS = 4
+#: Hubs of a bucket from the second round on, each of another class; few texts are left by then.
+LATER_HUBS = 8
+#: Deviations above the mean of differing registers at the threshold up to which a pair is
+#: read: a pair at similarity 0.8 is left out with probability 0.00002.
+DEVIATIONS = 4.4
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,14 +112,35 @@ def band_keys(holders: np.ndarray, bands: int) -> np.ndarray:
     return keys
 
 
+def sketches(holders: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers to a 64-bit number, per text."""
+    n, registers = holders.shape
+    places = -(-registers // 16) * 16
+    bits = np.zeros((n, places), np.uint64)
+    bits[:, :registers] = mixed(holders.reshape(-1)).reshape(n, registers) >> np.uint64(60)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(bits.reshape(n, -1, 16) << shifts, axis=2)
+
+
+def most_differing(registers: int, similarity: float) -> int:
+    """Differing sketch registers up to which two texts may be as similar as ``similarity``."""
+    p = (1 - similarity) * 15 / 16
+    return math.ceil(registers * p + DEVIATIONS * math.sqrt(registers * p * (1 - p)))
+
+
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Exact probability Jaccard similarity of two weighted sets, keys sorted."""
-    both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(both):
+    if not len(a) or not len(b):
         return 0.0
-    only_a, only_b = wa.sum() - wa[ia].sum(), wb.sum() - wb[ib].sum()
-    ca, cb = wa[ia].astype(np.float64), wb[ib].astype(np.float64)
-    pairs, times = np.unique(np.stack([ca, cb], 1), axis=0, return_counts=True)
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    same = a[at] == b
+    ca, cb = wa[at[same]], wb[same]
+    only_a, only_b = int(wa.sum() - ca.sum()), int(wb.sum() - cb.sum())
+    if len(a) == wa.sum() and len(b) == wb.sum():  # all weights are one: plain Jaccard similarity
+        return len(ca) / (len(ca) + only_a + only_b)
+    width = int(wb.max()) + 1
+    codes, times = np.unique(ca * width + cb, return_counts=True)
+    pairs = np.stack([codes // width, codes % width], 1).astype(np.float64)
     total = 0.0
     for (x, y), n in zip(pairs.tolist(), times.tolist(), strict=True):
         total += n / (np.dot(times, np.maximum(pairs[:, 0] / x, pairs[:, 1] / y)) + only_a / x + only_b / y)
@@ -124,7 +152,8 @@ def _signed(bands: int, rows: int):
         for batch in batches:
             for block in blocks(batch, "text"):
                 keys, weights, firsts = weighted_shingles(block.column("text"))
-                found = band_keys(signatures(keys, weights, firsts, bands * rows), bands)
+                holders = signatures(keys, weights, firsts, bands * rows)
+                found, drawn = band_keys(holders, bands), sketches(holders)
                 sizes = np.diff(firsts)
                 filled = sizes > 0
                 bounds = np.concatenate(([0], np.cumsum(filled * bands))).astype(np.int32)
@@ -133,6 +162,10 @@ def _signed(bands: int, rows: int):
                         "doc_id": block.column("doc_id"),
                         "sha": block.column("sha"),
                         "bands": pa.ListArray.from_arrays(bounds, found[filled].reshape(-1).view(np.int64)),
+                        "sketch": pa.ListArray.from_arrays(
+                            np.arange(len(drawn) + 1, dtype=np.int32) * drawn.shape[1],
+                            drawn.reshape(-1).view(np.int64),
+                        ),
                     }
                 )
 
@@ -149,16 +182,18 @@ def _verified(similarity: float):
                     probability_jaccard(ka[p:q], wa[p:q], kb[r:s], wb[r:s]) >= similarity
                     for p, q, r, s in zip(fa, fa[1:], fb, fb[1:], strict=False)
                 ]
-                yield block.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+                yield block.select(["class_a", "class_b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The classes (a, b) of the pairs whose texts are similar enough."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a long, b long")
+    # The joins bring all pairs of a hub to one task; the comparisons are dealt out evenly.
+    both = both.repartition("a", "b").select("class_a", "class_b", "text_a", "text_b")
+    return both.mapInArrow(_verified(similarity), "class_a long, class_b long").toDF("a", "b").distinct()
 
 
 def near_groups(
@@ -175,50 +210,85 @@ def near_groups(
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = stored(
         source.withColumn("sha", F.unhex(F.sha2("text", 256))).mapInArrow(
-            _signed(bands, rows), "doc_id long, sha binary, bands array<long>"
+            _signed(bands, rows), "doc_id long, sha binary, bands array<long>, sketch array<long>"
         ),
         "signatures",
     )
     # Stored tables are exchanged anew on both sides of a join, so that Spark can split a
     # bucket or a group of copies that holds a large part of all rows.
     texts = signed.where("doc_id is not null").groupBy("sha")
-    texts = stored(texts.agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
-    bucketed = texts.select("node", F.explode("bands").alias("bucket"))
+    of_text = F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    texts = stored(texts.agg(F.min("doc_id").alias("node"), *of_text), "texts")
+    bucketed = texts.select("node", "sketch", F.explode("bands").alias("bucket"))
     sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(bucketed.join(stored(sizes, "sizes"), "bucket"), "buckets")
     degrees = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    left = stored(shared.join(degrees, "node").select("bucket", "node", "degree"), "buckets")
-    wanted = left.select(F.col("node").alias("doc_id")).distinct()
+    left = shared.join(degrees, "node").select("bucket", "node", "degree", "sketch", F.col("node").alias("class"))
+    left = stored(left, "buckets")
+    differing = most_differing(bands * rows, similarity)
+    words_of_sketch = -(-bands * rows // 16)
+    classes = left.select("node", "class").distinct()
     # Any one row of a repeated doc_id will do, and its equal texts are one.
+    wanted = classes.select(F.col("node").alias("doc_id"))
     needed = stored(source.join(wanted.hint("merge"), "doc_id", "left_semi").distinct(), "bucket-texts")
-    links, n_hubs = None, 1
+    n_hubs = 1
     while True:
         hubs = stored(_hubs(left, n_hubs), "hubs")
-        beside = stored(left.select("bucket", "node").join(hubs, "bucket").where("node <> hub"), "beside-hubs")
-        pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        found = stored(_links(beside.select(*pair).distinct(), needed, similarity), "links")
+        found = stored(_links(_beside(left, hubs, words_of_sketch, differing), needed, similarity), "links")
         if not found.limit(1).count():
             break
-        links = found if links is None else links.unionByName(found)
-        met = beside.select("bucket", "node", *pair).join(found, ["a", "b"], "left_semi").select("bucket", "node")
-        met = met.unionByName(hubs.withColumnRenamed("hub", "node")).distinct()
-        left = stored(left.join(met, ["bucket", "node"], "left_anti"), "buckets")
+        roots = components(found).select(F.col("node").alias("class"), "root")
+        classes = stored(_joined(classes, roots), "classes")
+        rest = left.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        rest = stored(_joined(rest, roots), "places")
+        several = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+        left = stored(rest.join(several.where("low < high").select("bucket"), "bucket", "left_semi"), "buckets")
         n_hubs = LATER_HUBS
-    roots = None if links is None else components(links)
-    classed = texts.select("sha", "node")
-    if roots is None:
-        classed = classed.withColumn("class_id", F.col("node"))
-    else:
-        classed = classed.join(roots, "node", "left").select("sha", F.coalesce("root", "node").alias("class_id"))
+    classed = texts.select("sha", "node").join(classes, "node", "left")
+    classed = classed.select("sha", F.coalesce("class", "node").alias("class_id"))
     return signed.select("doc_id", "sha").join(classed.select("sha", "class_id"), "sha", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
     )
 
 
 def _hubs(left: DataFrame, n: int) -> DataFrame:
-    """bucket and hub: the ``n`` texts of each bucket with the largest degrees, of equals the smallest."""
+    """bucket, hub, hub_class and hub_sketch: the text with the largest degree, of equals the smallest, of each of ``n`` classes.
+
+    These are the classes whose texts rank first.
+    """
+    best = F.max(F.struct("degree", (-F.col("node")).alias("least"), F.col("class").alias("of"), "sketch"))
     if n == 1:
-        best = F.max(F.struct("degree", (-F.col("node")).alias("least")))
-        return left.groupBy("bucket").agg(best.alias("best")).select("bucket", (-F.col("best.least")).alias("hub"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
-    return left.withColumn("rank", rank).where(F.col("rank") <= n).select("bucket", F.col("node").alias("hub"))
+        tops = left.groupBy("bucket").agg(best.alias("best"))
+    else:
+        tops = left.groupBy("bucket", "class").agg(best.alias("best"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("best")))
+        tops = tops.withColumn("rank", rank).where(F.col("rank") <= n)
+    return tops.select("bucket", (-F.col("best.least")).alias("hub"), F.col("best.of").alias("hub_class"), F.col("best.sketch").alias("hub_sketch"))
+
+
+def _beside(left: DataFrame, hubs: DataFrame, words_of_sketch: int, differing: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of a text and a hub of its bucket of another class, with their classes.
+
+    Pairs whose sketches differ in more than ``differing`` registers are left out.
+    """
+    both = left.select("bucket", "node", "class", "sketch").join(hubs, "bucket").where("class <> hub_class")
+    unlike = F.lit(0)
+    for i in range(words_of_sketch):
+        bits = F.col("sketch")[i].bitwiseXOR(F.col("hub_sketch")[i])
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        unlike = unlike + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+    both = both.where(unlike <= differing)
+    first = F.col("node") < F.col("hub")
+    return both.select(
+        F.least("node", "hub").alias("a"),
+        F.greatest("node", "hub").alias("b"),
+        F.when(first, F.col("class")).otherwise(F.col("hub_class")).alias("class_a"),
+        F.when(first, F.col("hub_class")).otherwise(F.col("class")).alias("class_b"),
+    ).distinct()
+
+
+def _joined(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with the root of their class as class."""
+    kept = [c for c in rows.columns if c != "class"]
+    return rows.join(roots, "class", "left").select(*kept, F.coalesce("root", "class").alias("class"))
