@@ -11,9 +11,14 @@ texts that share buckets with most others, and not all with all. After each roun
 links found join classes. Texts of one class need no further comparison, so a bucket stays
 only while it holds several classes, without the hubs it has had; its next hubs come from
 different classes. Texts are read only for pairs whose sketches, four bits of each register,
-differ in few enough registers. Rounds end when one joins no classes. A round compares no more pairs
-than there are places in buckets times hubs of a bucket, and every pair at the threshold
-shares six or seven buckets, each with its own hubs.
+differ in few enough registers. A round compares no more pairs than there are places in
+buckets times hubs of a bucket.
+
+Hubs alone do not settle a bucket. What is left of buckets with several classes after a few
+rounds, or after one that joins none, goes an exact way: the runs of each text are ordered
+from rare to frequent, and two texts of different classes are compared if they share a run
+beyond which either has still enough to be similar. Texts on one template are not brought
+together by what all of them have in common.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limitline.llm.components import components
@@ -38,6 +43,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 #: Hubs of a bucket from the second round on, each of another class; few texts are left by then.
 LATER_HUBS = 8
+#: Rounds with hubs at most; what is left then is compared by rare runs.
+HUB_ROUNDS = 3
 #: Deviations above the mean of differing registers at the threshold up to which a pair is
 #: read: a pair at similarity 0.8 is left out with probability 0.00002.
 DEVIATIONS = 4.4
@@ -187,6 +194,59 @@ def _verified(similarity: float):
     return run
 
 
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted runs of each text, with all its weight and whether all its weights are one."""
+    for batch in batches:
+        for block in blocks(batch, "text"):
+            keys, weights, firsts = weighted_shingles(block.column("text"))
+            sizes = np.diff(firsts)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.bincount(owner, weights, len(sizes)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "node": block.column("doc_id").take(pa.array(owner)),
+                    "sha": block.column("sha").take(pa.array(owner)),
+                    "run": keys.view(np.int64),
+                    "weight": weights.astype(np.int64),
+                    "total": total[owner],
+                    "plain": pa.array((total == sizes)[owner]),
+                }
+            )
+
+
+def _alike(left: DataFrame, texts: DataFrame, similarity: float, words_of_sketch: int, differing: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts of different classes in ``left`` that can be similar enough.
+
+    With runs in one order for all texts, let ``rest`` be a text's weight from a run on. All
+    that two texts share stands from their first common run on. The similarity is at most
+    the sum of the lesser shares of each run, so either rest is at least ``similarity`` of
+    its text; where all weights are one it is at most rest / (sum of both totals - rest) for
+    the lesser rest. No pair at ``similarity`` fails this at its first common run.
+    """
+    nodes = stored(left.select("node", "class", "sketch").distinct(), "nodes")
+    read = texts.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    read = read.withColumn("sha", F.xxhash64("text"))
+    schema = "node long, sha long, run long, weight long, total long, plain boolean"
+    runs = stored(read.mapInArrow(_run_rows, schema), "runs")
+    often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # Runs of one text alone come first in the order and meet no other.
+    common = runs.join(stored(often, "common-runs"), "run")
+    order = Window.partitionBy("node", "sha").orderBy(F.desc("often"), F.desc("run"))
+    enough = similarity * F.col("total") - 1e-6
+    common = common.withColumn("rest", F.sum("weight").over(order)).where(F.col("rest") >= enough)
+    rare = stored(common.select("node", "run", "rest", "total", "plain").join(nodes, "node"), "rare-runs")
+    one = rare.where(~F.col("plain") | (F.col("rest") * (1 + similarity) >= 2 * similarity * F.col("total") - 1e-6))
+    other = rare.select("run", *(F.col(c).alias(f"{c}_2") for c in ("node", "rest", "total", "plain", "class", "sketch")))
+    least = F.least("rest", "rest_2") * (1 + similarity)
+    # Of two plain texts the smaller one asks, of a plain one and another the other.
+    of_plain = F.col("plain_2") & (F.col("total") <= F.col("total_2"))
+    of_plain &= least >= similarity * (F.col("total") + F.col("total_2")) - 1e-6
+    asks = F.when(F.col("plain"), of_plain).otherwise(F.col("plain_2") | (F.col("node") < F.col("node_2")))
+    both = one.join(other, "run").where((F.col("class") != F.col("class_2")) & asks)
+    both = both.where(_unlike("sketch", "sketch_2", words_of_sketch) <= differing)
+    return _ordered(both, "node", "class", "node_2", "class_2")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The classes (a, b) of the pairs whose texts are similar enough."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -231,8 +291,7 @@ def near_groups(
     # Any one row of a repeated doc_id will do, and its equal texts are one.
     wanted = classes.select(F.col("node").alias("doc_id"))
     needed = stored(source.join(wanted.hint("merge"), "doc_id", "left_semi").distinct(), "bucket-texts")
-    n_hubs = 1
-    while True:
+    for n_hubs in [1, *[LATER_HUBS] * (HUB_ROUNDS - 1)]:
         hubs = stored(_hubs(left, n_hubs), "hubs")
         found = stored(_links(_beside(left, hubs, words_of_sketch, differing), needed, similarity), "links")
         if not found.limit(1).count():
@@ -243,7 +302,12 @@ def near_groups(
         rest = stored(_joined(rest, roots), "places")
         several = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
         left = stored(rest.join(several.where("low < high").select("bucket"), "bucket", "left_semi"), "buckets")
-        n_hubs = LATER_HUBS
+    if left.limit(1).count():
+        pairs = _alike(left, needed, similarity, words_of_sketch, differing)
+        found = stored(_links(pairs, needed, similarity), "links")
+        if found.limit(1).count():
+            roots = components(found).select(F.col("node").alias("class"), "root")
+            classes = stored(_joined(classes, roots), "classes")
     classed = texts.select("sha", "node").join(classes, "node", "left")
     classed = classed.select("sha", F.coalesce("class", "node").alias("class_id"))
     return signed.select("doc_id", "sha").join(classed.select("sha", "class_id"), "sha", "left").select(
@@ -272,19 +336,29 @@ def _beside(left: DataFrame, hubs: DataFrame, words_of_sketch: int, differing: i
     Pairs whose sketches differ in more than ``differing`` registers are left out.
     """
     both = left.select("bucket", "node", "class", "sketch").join(hubs, "bucket").where("class <> hub_class")
+    both = both.where(_unlike("sketch", "hub_sketch", words_of_sketch) <= differing)
+    return _ordered(both, "node", "class", "hub", "hub_class")
+
+
+def _unlike(one: str, other: str, words_of_sketch: int) -> Column:
+    """Registers in which two sketches differ."""
     unlike = F.lit(0)
     for i in range(words_of_sketch):
-        bits = F.col("sketch")[i].bitwiseXOR(F.col("hub_sketch")[i])
+        bits = F.col(one)[i].bitwiseXOR(F.col(other)[i])
         bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
         bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
         unlike = unlike + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
-    both = both.where(unlike <= differing)
-    first = F.col("node") < F.col("hub")
+    return unlike
+
+
+def _ordered(both: DataFrame, one: str, its_class: str, other: str, others_class: str) -> DataFrame:
+    """Distinct a, b, class_a, class_b of two texts and their classes, a < b."""
+    first = F.col(one) < F.col(other)
     return both.select(
-        F.least("node", "hub").alias("a"),
-        F.greatest("node", "hub").alias("b"),
-        F.when(first, F.col("class")).otherwise(F.col("hub_class")).alias("class_a"),
-        F.when(first, F.col("hub_class")).otherwise(F.col("class")).alias("class_b"),
+        F.least(one, other).alias("a"),
+        F.greatest(one, other).alias("b"),
+        F.when(first, F.col(its_class)).otherwise(F.col(others_class)).alias("class_a"),
+        F.when(first, F.col(others_class)).otherwise(F.col(its_class)).alias("class_b"),
     ).distinct()
 
 

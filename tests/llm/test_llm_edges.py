@@ -190,6 +190,19 @@ def test_large_family_of_near_copies(spark):
     assert (found.loc[found["doc_id"] >= 1000, "class_id"] == found.loc[found["doc_id"] >= 1000, "doc_id"]).all()
 
 
+def test_pairs_inside_a_template(spark):
+    """Texts on one template are just below the threshold, in shared buckets; a few have a real copy among them."""
+    template = [f"t{i}" for i in range(177)]
+    n, planted = 500, 10
+    tails = [[f"own{i}x{j}" for j in range(23)] for i in range(n)]  # similarity 0.79
+    for k in range(planted):  # and 0.806
+        tails[n - 1 - k] = [*tails[100 + 3 * k][:2], *tails[n - 1 - k][2:]]
+    texts = [" ".join(template + tail) for tail in tails]
+    found = pandas(near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = {n - 1 - k: 100 + 3 * k for k in range(planted)}
+    assert dict(zip(found["doc_id"], found["class_id"])) == {i: want.get(i, i) for i in range(n)}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(5)
     a = {int(k): int(w) for k, w in zip(rng.integers(0, 2**63, 300), rng.integers(1, 9, 300), strict=True)}
