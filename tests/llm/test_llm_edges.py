@@ -250,6 +250,43 @@ def test_repeated_passages(spark, docs, none):
     assert left[3] == " " + " ".join(texts[3][62:]) and left[4] == " ".join(texts[4])
 
 
+def missed_runs(texts, found, n=50):
+    """Runs of ``n`` words that an earlier document has and that lie in no passage."""
+    cut = {(r.doc_id, i) for r in found.itertuples() for i in range(r.start, r.start + r.n_words)}
+    first, missed, shared = {}, 0, 0
+    for d in sorted(texts):
+        for at in range(len(texts[d]) - n + 1):
+            if first.setdefault(tuple(texts[d][at : at + n]), d) != d:
+                shared += 1
+                # What stays is too short to be shared again.
+                missed += sum((d, i) not in cut for i in range(at, at + n)) > 10
+    assert shared
+    return missed
+
+
+def test_passages_of_frequent_lines(spark):
+    """Lines that earlier documents have one by one, in passages that only one earlier document has."""
+    rng = np.random.default_rng(11)
+    fresh = (f"f{i}" for i in range(10**6))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    texts, pairs = {}, []
+    for words_, of in ((20, 3), (10, 6), (30, 2), (30, 3)):
+        lines = [some(words_) for _ in range(60)]
+        for line in lines:
+            texts[len(texts)] = [*some(30), *line, *some(30)]
+        for _ in range(25):
+            chosen = rng.choice(60, of, replace=False)
+            pairs.append([w for i in chosen for w in lines[i]])
+    for passage in pairs:
+        texts[len(texts)] = [*some(30), *passage, *some(30)]
+    for passage in pairs:
+        texts[len(texts)] = [*some(45), *passage, *some(15)]
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    found = pandas(substring_dedup.repeated_passages(frame))
+    assert missed_runs(texts, found) == 0
+    assert len(found) <= 3 * len(pairs)
+
+
 def test_chains_rise_in_both_and_take_the_best():
     pos = np.asarray([0, 10, 20, 30, 40, 50, 60])
     other = np.asarray([0, 10, 500, 30, 40, 3, 60])
