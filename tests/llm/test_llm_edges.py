@@ -287,6 +287,21 @@ def test_passages_of_frequent_lines(spark):
     assert len(found) <= 3 * len(pairs)
 
 
+def test_passages_held_twice(spark):
+    fresh = (f"f{i}" for i in range(10**6))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    texts = {}
+    for i in range(40):
+        passage = some(60)
+        texts[i] = [*some(20), *passage, *some(20)]
+        stray = passage[i : i + 9] if i % 2 else []
+        texts[100 + i] = [*stray, *some(20), *passage, *some(3 * i), *passage, *some(20)]
+    texts[200] = texts[201] = ["again"] * 170
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    found = pandas(substring_dedup.repeated_passages(frame))
+    assert missed_runs(texts, found) == 0
+
+
 def test_chains_rise_in_both_and_take_the_best():
     pos = np.asarray([0, 10, 20, 30, 40, 50, 60])
     other = np.asarray([0, 10, 500, 30, 40, 3, 60])
