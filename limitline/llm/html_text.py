@@ -36,14 +36,15 @@ IMPLIED_ENDS = {
     "dd": (("dt", "dd"), ("dl",)),
     "option": (("option",), ("select", "datalist")),
     "optgroup": (("option", "optgroup"), ("select",)),
-    "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
+    "td": (("td", "th", "caption", "colgroup"), ("tr", "table")),
+    "th": (("td", "th", "caption", "colgroup"), ("tr", "table")),
     "tr": (("td", "th", "tr", "caption", "colgroup"), ("tbody", "thead", "tfoot", "table")),
     **{
         x: (("td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"), ("table",))
         for x in ("thead", "tbody", "tfoot")
     },
 }
+SECTIONS, CELLS = ("thead", "tbody", "tfoot"), ("td", "th")
 #: These end an open paragraph; scopes keep it open from outside.
 _ENDS_P = SPACED | frozenset(
     "address article aside center details div dialog fieldset figcaption footer form header hgroup hr main menu "
@@ -147,6 +148,13 @@ def parse(source: str) -> Node:
             stack.pop()
         if name in IMPLIED_ENDS:
             _imply(stack, *IMPLIED_ENDS[name])
+        if name in CELLS and _nearest(stack, ("tr", "table", *SECTIONS, *CELLS)) in ("table", *SECTIONS):
+            row = Node("tr")
+            stack[-1].children.append(row)
+            if len(stack) < MAX_DEPTH:
+                stack.append(row)
+        if name == "form" and stack[-1].name in ("tr", "table", *SECTIONS):
+            continue  # between rows or cells a form holds nothing
         stack[-1].children.append(node)
         if name in RAW:
             closer = _CLOSERS[name].search(source, at)
@@ -172,6 +180,10 @@ def _imply(stack: list[Node], ended: tuple[str, ...], borders: tuple[str, ...])
         del stack[cut:]
 
 
+def _nearest(stack: list[Node], names: tuple[str, ...]) -> str | None:
+    return next((x.name for x in reversed(stack) if x.name in names), None)
+
+
 def width(text: str) -> int:
     """Columns that a text takes: wide East Asian characters two, marks none."""
     if text.isascii():
@@ -294,24 +306,47 @@ def _append(out: _Lines, lines: list[str], apart: bool = False) -> None:
         out.apart()
 
 
-def _rows(node: Node) -> Iterator[list[Node]]:
+def _holds(node: Node, names: tuple[str, ...]) -> bool:
+    """Whether an element has one of ``names`` inside, other than in a table of its own."""
+    todo = [node]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, Node) and child.name != "table":
+                if child.name in names:
+                    return True
+                todo.append(child)
+    return False
+
+
+def _sort_out(node: Node, rows: list[list[Node]], loose: Node, row: list[Node] | None = None) -> None:
+    """Adds the rows of a table, or the cells of ``row``, inside ``node``; all else goes to ``loose``."""
     for child in node.children:
-        if isinstance(child, Node) and not child.hidden:
-            if child.name == "tr":
-                yield [x for x in child.children if isinstance(x, Node) and x.name in ("td", "th") and not x.hidden]
-            elif child.name in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+        if isinstance(child, str):
+            loose.children.append(child)
+        elif child.hidden or child.name in UNSEEN:
+            continue
+        elif row is not None and child.name in CELLS:
+            row.append(child)
+        elif row is None and child.name == "tr":
+            rows.append([])
+            _sort_out(child, rows, loose, rows[-1])
+        elif row is None and child.name in (*SECTIONS, "colgroup"):
+            _sort_out(child, rows, loose)
+        elif child.name != "table" and _holds(child, ("tr",) if row is None else CELLS):
+            around = Node(child.name)
+            loose.children.append(around)
+            _sort_out(child, rows, around, row)
+        else:
+            loose.children.append(child)
 
 
 def _table(table: Node) -> list[str]:
     """Caption, then rows; cells of a column start in the same place, two spaces apart."""
-    lines: list[str] = []
     loose = Node("div")  # what stands in a table but in no cell is shown before it
-    for child in table.children:
-        if isinstance(child, str) or child.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            loose.children.append(child)
-    lines += _rendered(loose)
-    rows = [[_rendered(cell) or [""] for cell in row] for row in _rows(table)]
+    found: list[list[Node]] = []
+    _sort_out(table, found, loose)
+    lines = _rendered(loose)
+    rows = [[_rendered(cell) or [""] for cell in row] for row in found]
     columns = max(map(len, rows), default=0)
     widths = [0] * columns
     for row in rows:

@@ -423,6 +423,28 @@ def test_html(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><thead><th>A<th>B</thead><tr><td>1<td>2</table>", "A  B\n1  2"),
+        ("<table><td>a<td>b<tr><td>c</table>d", "a  b\nc\n\nd"),
+        ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+        ("<table><form><tr><td>x<td>y</form></table>", "x  y"),
+        ("<table><tbody>one <tr>two<td>x</tr></tbody></table>", "one two\nx"),
+        ("<table><tr><p>one</p><td>x<td>y</tr><tbody><p>two</table>", "one\n\ntwo\nx  y"),
+        ("<table><tr><div>d<td>x</div><td>y</table>", "d\nx  y"),
+        ("<table><tr><b><td>x</td></b><td>y</table>", "x  y"),
+        ("<table><div><tr><td>x<tr><td>y</div></table>", "x\ny"),
+        ("<table><caption>T<td>a</table>", "T\na"),
+        ("<table><colgroup><col><td>a</table>", "a"),
+        ("<table><tr><div hidden>d<td>x</div><td>y<tr hidden><td>z</table>", "y"),
+        ("<table><tr><table><tr><td>in</table><td>out</table>", "in\nout"),
+    ],
+)
+def test_html_of_ill_formed_tables(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<title>A &lt; b</title><p>x"), (1, "u", "<title>A &lt; b</title><p>x"), (2, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", pa_lit("old"))
