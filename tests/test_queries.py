@@ -7,14 +7,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from limitline import oracle, registry
 from limitline.operators import volumes
 from limitline.registry import BACKTEST, COMPARISON
 from limitline.plans.backtest import Backtest
 from limitline.plans.comparison import RuleComparison
 from limitline.sources.star_schema import from_star_schema, tied_payments
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+# The training-data queries are tested in tests/llm.
+QUERIES = registry.queries()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
