@@ -16,6 +16,7 @@ from limitline.llm import (
     language_id,
     near_dedup,
     packing,
+    simhash_dedup,
     substring_dedup,
     token_files,
     top_k,
@@ -113,6 +114,10 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": chat_formatting,
@@ -125,6 +130,7 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": html_extraction,
         "op9_minhash_near_dedup": near_duplicates,
         "op10_byte_bpe": byte_level_bpe,
+        "op12_simhash_near_dedup": simhash_duplicates,
     }
 
 
