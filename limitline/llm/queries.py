@@ -12,10 +12,12 @@ from limitline.llm import (
     byte_bpe,
     chat_format,
     exact_dedup,
+    hard_negatives,
     html_text,
     language_id,
     near_dedup,
     packing,
+    phrase_mining,
     simhash_dedup,
     substring_dedup,
     token_files,
@@ -114,10 +116,21 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", moved)
+    return hard_negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
 def simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": chat_formatting,
@@ -130,7 +143,9 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": html_extraction,
         "op9_minhash_near_dedup": near_duplicates,
         "op10_byte_bpe": byte_level_bpe,
+        "op11_hard_negatives": mined_negatives,
         "op12_simhash_near_dedup": simhash_duplicates,
+        "op13_phrase_collocations": phrase_collocations,
     }
 
 
@@ -179,6 +194,80 @@ from documents window same as (partition by coalesce(text, ''))
 """
 
 
+_OP11 = """
+with v as (
+    select distinct vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as anchor_id, q.label = c.label as alike, c.vec_id,
+        cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from (
+        select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place
+        from scored where alike)
+    where place <= 5
+), ranked as (
+    select p.*, s.vec_id as negative_id, s.score as negative_score,
+        row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+    from positives p join scored s on s.anchor_id = p.anchor_id
+    where not alike and 80 * positive_score <= 100 * s.score and s.score <= positive_score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from ranked where rank <= 5
+"""
+
+_OP13 = """
+with words as (
+    select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from (
+        select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\\x0A-\\x0D]')) as piece
+        from documents)
+), totals as (
+    select lang, sum(len(w)) as n from words group by lang
+), starts as (
+    select lang, w, unnest(range(1, len(w) + 1)) as i from words
+), grams as (
+    select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase
+    from starts, (values (1), (2), (3), (4)) sizes(m) where i + m - 1 <= len(w)
+), f as (
+    select lang, phrase, m, cast(count(*) as hugeint) as a from grams group by lang, phrase, m having count(*) >= 30
+), cuts as (
+    select *, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from f where m > 1
+), scored as (
+    select c.lang, c.phrase, c.a, k, x.a as l, y.a as r, 2000000 * c.a // (x.a + y.a) as score
+    from cuts c
+    join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+    join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')
+), least as (
+    select *, row_number() over (partition by lang, phrase order by score, k) as place from scored
+), inner_parts as (
+    select lang, array_to_string(w[i:i + s - 1], ' ') as phrase, max(a) as by from (
+        select lang, w, a, m, s, unnest(range(1, m - s + 2)) as i
+        from cuts, (values (2), (3)) sizes(s) where k = 1 and s < m)
+    group by all
+), kept as (
+    select l.* from least l left join inner_parts p on p.lang = l.lang and p.phrase = l.phrase
+    where place = 1 and (p.by is null or 100 * p.by < 80 * l.a)
+), ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select ranked.lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+    cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals on totals.lang = ranked.lang where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op1_chat_formatting": _OP1, "op4_exact_top_k": _OP4, "op7_exact_dedup": _OP7}
+    return {
+        "op1_chat_formatting": _OP1,
+        "op4_exact_top_k": _OP4,
+        "op7_exact_dedup": _OP7,
+        "op11_hard_negatives": _OP11,
+        "op13_phrase_collocations": _OP13,
+    }
