@@ -21,9 +21,11 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without any letter go."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    found = language_id.predict(rows, language_model(docs), keep=["row"])
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select("row.*")
+    # Columns of the documents may have the names of what is added here.
+    inner = [f"_{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*inner).withColumnRenamed(inner[docs.columns.index("text")], "text")
+    found = language_id.predict(rows, language_model(docs))
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

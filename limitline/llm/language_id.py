@@ -30,6 +30,9 @@ SAMPLE_DOCS = 1000
 #: Contexts kept in the tree, over all languages: the most frequent.
 MAX_CONTEXTS = 8_000
 
+#: Bytes of text scored or counted at once: some hundred bytes of memory for each of them.
+SCORED_BYTES = 1 << 20
+
 UNDETERMINED = "und"
 
 
@@ -83,7 +86,7 @@ def _grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, dict[int, list]] = {}
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", SCORED_BYTES):
                 data, offsets = flat(block.column("text"))
                 langs = block.column("lang").to_pylist()
                 wide = data.astype(np.int64)
@@ -240,7 +243,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", SCORED_BYTES):
                 texts = block.column("text")
                 lettered = np.fromiter(map(has_letter, texts.to_pylist()), bool, len(texts))
                 names = np.full(len(texts), UNDETERMINED, object)
