@@ -91,6 +91,10 @@ class PieceEncoder:
         self._encode = encode
         self._clear()
 
+    def close(self) -> None:
+        """Forget all pieces, at the end of a task."""
+        self._clear()
+
     def _clear(self) -> None:
         self._entry: dict[int, int] = {}
         self._piece: list[bytes] = []

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from limitline.llm.pieces import documents_ids
+from limitline.llm.pieces import documents_ids, library_encoder
 from limitline.llm.storage import new_path, stored
 from limitline.llm.textblocks import blocks, flat
 
@@ -139,6 +139,10 @@ def read_file(source) -> Iterator[tuple[int | None, int, int]]:
         yield (doc_id if known else None), size, crc
 
 
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 1 << 20
+
+
 def _open(uri: str):
     system, path = fs.FileSystem.from_uri(uri)
     return system, path
@@ -151,7 +155,7 @@ def _write_partition(folder: str, tokenizer: str, split: str, end_id: int, kind:
         # Of several attempts each writes its own file; the index names that of the one that counts.
         name = f"{folder}/ids-{task.partitionId():06d}-{uuid.uuid4().hex}.planes"
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", ENCODED_BYTES):
                 data, offsets = flat(block.column("text"))
                 ids, bounds = documents_ids(data, offsets, tokenizer, split, end_id)
                 if writer is None:
@@ -162,6 +166,7 @@ def _write_partition(folder: str, tokenizer: str, split: str, end_id: int, kind:
                 column = block.column("doc_id")
                 known = np.asarray(column.is_valid())
                 writer.add(column.fill_null(0).to_numpy(), known, np.diff(bounds), ids)
+        library_encoder(tokenizer).close()
         if writer is not None:
             n_docs, n_ids = writer.close()
             sink.close()
@@ -183,13 +188,14 @@ def write_token_files(
 ) -> DataFrame:
     """Encodes all documents into files in ascending order of doc_id; one row per file.
 
-    Null or empty text gives ``end_id`` alone. Rows of equal doc_id stand side by side,
-    by text; those without one come first. An empty table gives no files. Other columns
+    Null or empty text gives ``end_id`` alone. Rows of equal doc_id stand side by side, in an
+    order that their texts' hashes give; those without one come first. An empty table gives no files. Other columns
     are not read. Files of attempts that failed stay in the folder and are in no index.
     """
     folder = folder or new_path(docs.sparkSession, "ids")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").drop("tie")
     write = _write_partition(folder, tokenizer, split, end_id, kind, block_ids)
     return stored(ordered.mapInArrow(write, _INDEX), "ids-index")
 
