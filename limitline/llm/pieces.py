@@ -177,17 +177,38 @@ def _printable_bytes() -> list[str]:
     return [chr(i if i in itself else next(rest)) for i in range(256)]
 
 
+@functools.lru_cache(maxsize=4)
+def library_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=4)
+def added_strings(path: str) -> tuple[bytes, ...]:
+    """The strings of added tokens, in lower case: some are matched in normalized text."""
+    with open(path, encoding="utf-8") as file:
+        return tuple(t["content"].lower().encode() for t in json.load(file)["added_tokens"])
+
+
+def _with_added(data: np.ndarray, offsets: np.ndarray, path: str) -> list[int]:
+    """The texts that may hold an added token, which are encoded whole."""
+    strings, raw = added_strings(path), data.tobytes()
+    # What stands before the first letter is the same in any case, and quickly looked for.
+    if not any(re.match(rb"[^a-z\x80-\xff]*", s)[0] in raw for s in strings):
+        return []
+    texts = (raw[a:b].decode().lower().encode() for a, b in zip(offsets.tolist(), offsets[1:].tolist()))
+    return [i for i, text in enumerate(texts) if any(s in text for s in strings)]
+
+
 @functools.lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
-    """Pieces by the ``tokenizers`` library; special tokens' strings are ordinary text.
+    """Pieces by the ``tokenizers`` library, for texts without the string of an added token.
 
     A plain run of letters is one split, and goes to the library's model at once.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer = library_tokenizer(path)
     with open(path, encoding="utf-8") as file:
         normalizer = json.load(file)["normalizer"]
     lower = normalizer is not None  # the one here lowers; it drops spaces, too
@@ -223,10 +244,22 @@ def documents_ids(
     data: np.ndarray, offsets: np.ndarray, path: str, split: str, end_id: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, ``end_id`` after each, and the first id of each text."""
+    n = len(offsets) - 1
+    whole = _with_added(data, offsets, path)
+    if whole:
+        cut = np.flatnonzero(np.isin(np.arange(n), whole, invert=True))
+        kept = ragged(offsets[cut], np.diff(offsets)[cut])
+        lengths = np.diff(offsets)[cut]
+        parts, at = documents_ids(data[kept], np.concatenate(([0], np.cumsum(lengths))), path, split, end_id)
+        of = dict(zip(cut.tolist(), np.split(parts, at[1:-1]), strict=True)) if len(cut) else {}
+        raw, tokenizer = data.tobytes(), library_tokenizer(path)
+        for i in whole:
+            found = tokenizer.encode(raw[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False)
+            of[i] = np.asarray([*found.ids, end_id], np.uint32)
+        return np.concatenate([of[i] for i in range(n)]), np.cumsum([0, *(len(of[i]) for i in range(n))])
     starts, ends, firsts = SPLITS[split](data, offsets)
     ids, counts = library_encoder(path)(data, starts, ends)
     before = np.concatenate(([0], np.cumsum(counts)))[firsts]  # ids before each text
-    n = len(offsets) - 1
     out = np.empty(len(ids) + n, np.uint32)
     bounds = before + np.arange(n + 1)
     real = np.ones(len(out), dtype=bool)

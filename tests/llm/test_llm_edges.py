@@ -460,3 +460,22 @@ def test_pipeline_stages(spark, docs, none):
             frame = corpus_pipeline.stored(stage(spark, frame, ""), name)
             assert name == "packing" or frame.columns == docs.columns
     assert frame.count() == 0
+
+
+@pytest.mark.parametrize("name,split", [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "words")])
+def test_added_tokens_are_the_librarys(name, split):
+    """Strings of added tokens, in any case and place, beside texts without."""
+    from tokenizers import Tokenizer
+
+    from limitline.llm.pieces import documents_ids
+
+    texts = [
+        "see <|endoftext|> and <|startoftext|> here", "", "plain words, no token", "<|EndOfText|>", "<|endoftext|>",
+        "a<|endoftext|>b<|startoftext|>", "< |endoftext|>", "é<|startoftext|>\u0130", "<|endoftext|>" * 3, "last",
+    ]
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    for some in (texts, texts[:1], texts[2:3], texts[:2], [""], []):
+        ids, bounds = documents_ids(*textblocks.flat(pa.array(some, pa.string())), path, split, 7)
+        want = [[*library.encode(t, add_special_tokens=False).ids, 7] for t in some]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want

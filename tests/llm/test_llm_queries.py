@@ -43,7 +43,6 @@ def test_equals_sql(spark, sf_dir, name):
 
 def library_ids(docs, name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     found = tokenizer.encode_batch(docs["text"].fillna("").tolist(), add_special_tokens=False)
     return {d: np.asarray([*x.ids, 0], "<u4") for d, x in zip(docs["doc_id"], found, strict=True)}
 
