@@ -31,11 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows written as Parquet and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
