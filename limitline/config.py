@@ -84,13 +84,12 @@ class LimitConfig:
 class SkewPolicy:
     """When a key counts as hot, how far it is spread, what may be broadcast.
 
-    A key left out of the ``max_hot_keys`` hottest holds less than rows / max_hot_keys
-    rows, which is the most a single window group can then be; raise it with the data.
+    ``key_places`` are the counters of the search for hot keys; up to ``max_hot_keys``
+    hot keys stay in the plan, more are stored.
     """
 
     hot_rows: int = 1_000_000
+    key_places: int = 1 << 16
     max_hot_keys: int = 10_000
-    tracked_keys: int = 100_000
     salts: int = 256
     broadcast_rows: int = 1_000_000
-    bucket_hours: int = 1

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import LimitConfig, SkewPolicy
-from limitline.functions.time import DAY_US, at, floor_to, micros, month_of
+from limitline.functions.time import DAY_US, at, micros, month_of
 from limitline.operators.payments import with_profile
-from limitline.operators.skew import hot_keys, skew_join
+from limitline.operators.prefix import running_totals
+from limitline.operators.skew import HotKeys, hot_keys, skew_join
 from limitline.sources.tables import Sources
 
+USER = "user_profile_id"
+AT = "at_us"
 
-def _find_hot(src: Sources, hot: Mapping[str, Sequence] | None, policy: SkewPolicy):
+
+def _find_hot(src: Sources, hot: Mapping[str, HotKeys | Sequence] | None, policy: SkewPolicy):
     if hot is not None:
         return hot
     return {
@@ -24,13 +28,23 @@ def _find_hot(src: Sources, hot: Mapping[str, Sequence] | None, policy: SkewPoli
     }
 
 
+def hot_verified(src: Sources, hot: Mapping[str, HotKeys | Sequence], policy: SkewPolicy) -> HotKeys:
+    """Customers with very many verifications or transfers, of which some have triggers."""
+    many = hot_keys(src.profile_verification_history_sm, USER, policy=policy)[USER]
+    moved = hot[USER] if isinstance(hot[USER], HotKeys) else HotKeys.of(src.transfer, USER, hot[USER], policy)
+    if not (many and moved):
+        return many or moved
+    both = many.table.union(moved.table).distinct()
+    return HotKeys(both, many.count + moved.count, policy)
+
+
 def _triggers(
     src: Sources,
     entitlement: str,
     since: datetime | None,
     until: datetime | None,
     config: LimitConfig,
-    hot: Mapping[str, Sequence],
+    hot: Mapping[str, HotKeys | Sequence],
     policy: SkewPolicy,
 ) -> DataFrame:
     """Triggers of one entitlement by personal customers, with risk level."""
@@ -49,40 +63,78 @@ def _triggers(
     return with_profile(owned, profiles, src, hot["user_profile_id"], policy)
 
 
+def _sweep(asks: DataFrame, seen: DataFrame, before: int, after: int) -> tuple[DataFrame, DataFrame]:
+    """Triggers with the number of verifications up to either end of their span, and the
+    verifications numbered by time. A customer costs one sort of each."""
+    both = asks.withColumn("one", F.lit(0)).unionByName(
+        seen.select(USER, AT, F.lit(1).alias("one")), allowMissingColumns=True
+    )
+    upto = f"coalesce(sum(one) over (partition by {USER} order by {AT} range between unbounded preceding and"
+    counted = both.selectExpr(
+        *asks.columns, "one", f"{upto} {before}L preceding), 0L) as earlier", f"{upto} {after}L following), 0L) as reached"
+    ).where("one = 0")
+    # Of equal time and method, any order will do.
+    number = f"row_number() over (partition by {USER} order by {AT}, verification_method)"
+    return counted.drop("one"), seen.selectExpr(USER, "verification_method", f"cast({number} as bigint) as number")
+
+
+def _cut_sweep(asks: DataFrame, seen: DataFrame, before: int, after: int) -> tuple[DataFrame, DataFrame]:
+    """The same for customers with too many of either for one task: distributed prefix sums."""
+    slots = (
+        seen.groupBy(USER, AT, "verification_method")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .selectExpr(USER, f"{AT} as place", "0 as asks", "verification_method", "copies")
+    )
+
+    def asked(rows: DataFrame, at: str, name: str) -> DataFrame:
+        both = rows.withColumns({"place": F.expr(at), "asks": F.lit(1), "copies": F.lit(0).cast("bigint")})
+        both = both.unionByName(slots.drop("verification_method"), allowMissingColumns=True)
+        # A verification at the very end comes before the question.
+        counted = running_totals(both, [USER], ["place", "asks"], "copies", "bigint", name)
+        return counted.where("asks = 1").select(*rows.columns, name)
+
+    counted = asked(asked(asks, f"{AT} - {before}L", "earlier"), f"{AT} + {after}L", "reached")
+    numbered = running_totals(slots, [USER], ["place", "verification_method"], "copies", "bigint", "last")
+    return counted, numbered.selectExpr(
+        USER, "verification_method", "explode(sequence(last - copies + 1, last)) as number"
+    )
+
+
 def verified_near(
-    triggers: DataFrame, history: DataFrame, days_before: int, days_after: int
+    triggers: DataFrame,
+    history: DataFrame,
+    days_before: int,
+    days_after: int,
+    hot: HotKeys | Sequence = (),
+    policy: SkewPolicy = SkewPolicy(),
 ) -> DataFrame:
     """Left join each trigger with the verifications around it.
 
     A verification matches from strictly after ``days_before`` days before the trigger
-    up to and including ``days_after`` days after it. Time is cut into buckets as long
-    as that span: a trigger lies in one bucket and a verification in the one or two it
-    can reach, so a busy customer is spread over its buckets instead of pairing
-    everything with everything in one group.
+    up to and including ``days_after`` days after it. A sweep over time numbers each
+    customer's verifications, so that those of a trigger are a range of numbers: the ones
+    up to the end of its span without those up to its start. The range is unfolded and
+    joined on (customer, number), which makes exactly the rows of the result, dealt out by
+    number however busy the customer. ``hot`` lists customers whose sweep is cut in pieces.
     """
-    span = (days_before + days_after) * DAY_US
-    by_bucket = triggers.withColumn("trigger_us", micros("date_created")).withColumn(
-        "bucket", floor_to("trigger_us", span)
-    )
-    verified = micros("first_verification_time")
-    reach = history.select(
-        F.col("user_profile_id").alias("verified_user"),
-        "verification_method",
-        (verified - days_after * DAY_US).alias("from_us"),
-        (verified + days_before * DAY_US).alias("before_us"),
-    ).withColumn(
-        "verified_bucket",
-        F.explode(
-            F.sequence(floor_to("from_us", span), floor_to("before_us - 1", span), F.expr(f"{span}L"))
-        ),
+    before, after = days_before * DAY_US, days_after * DAY_US
+    asks = triggers.withColumn(AT, micros("date_created"))
+    seen = history.where(f"{USER} is not null and first_verification_time is not null").select(
+        USER, micros("first_verification_time").alias(AT), "verification_method"
     )
-    return by_bucket.join(
-        reach,
-        (F.col("user_profile_id") == F.col("verified_user"))
-        & (F.col("bucket") == F.col("verified_bucket"))
-        & (F.col("trigger_us") >= F.col("from_us"))
-        & (F.col("trigger_us") < F.col("before_us")),
-        "left",
+    if not isinstance(hot, HotKeys):
+        hot = HotKeys.of(triggers, USER, hot, policy)
+    if hot:
+        (cold_asks, hot_asks), (cold_seen, hot_seen) = hot.split(asks, USER), hot.split(seen, USER)
+        plain, cut = _sweep(cold_asks, cold_seen, before, after), _cut_sweep(hot_asks, hot_seen, before, after)
+        asked, numbered = (a.unionByName(b) for a, b in zip(plain, cut))
+    else:
+        asked, numbered = _sweep(asks, seen, before, after)
+    range_ = F.expr("if(reached > earlier, sequence(earlier + 1, reached), null)")
+    return (
+        asked.withColumn("number", F.explode_outer(range_))
+        .join(numbered, [USER, "number"], "left")
+        .select(*triggers.columns, "verification_method")
     )
 
 
@@ -93,12 +145,11 @@ def entitlement_verified(
     until: datetime | None = None,
     config: LimitConfig = LimitConfig(),
     policy: SkewPolicy = SkewPolicy(),
-    hot: Mapping[str, Sequence] | None = None,
+    hot: Mapping[str, HotKeys | Sequence] | None = None,
 ) -> DataFrame:
     """Triggers of an entitlement with the verifications that followed, if any."""
-    triggers = _triggers(
-        src, entitlement, since, until, config, _find_hot(src, hot, policy), policy
-    )
+    hot = _find_hot(src, hot, policy)
+    triggers = _triggers(src, entitlement, since, until, config, hot, policy)
     # The dates of the triggers bound those of the verifications that can match.
     history = src.profile_verification_history_sm
     verified = F.col("first_verification_time")
@@ -106,8 +157,11 @@ def entitlement_verified(
         history = history.filter(verified > at(since - timedelta(config.verified_days_before)))
     if until is not None:
         history = history.filter(verified < at(until + timedelta(config.verified_days_after)))
+    busy = hot.get("verified_user")
+    if busy is None:
+        busy = hot_verified(src, hot, policy)
     matched = verified_near(
-        triggers, history, config.verified_days_before, config.verified_days_after
+        triggers, history, config.verified_days_before, config.verified_days_after, busy, policy
     )
     return matched.select(
         F.col("user_profile_id").alias("profile_id"),
@@ -123,7 +177,7 @@ def entitlement_triggered(
     until: datetime | None = None,
     config: LimitConfig = LimitConfig(),
     policy: SkewPolicy = SkewPolicy(),
-    hot: Mapping[str, Sequence] | None = None,
+    hot: Mapping[str, HotKeys | Sequence] | None = None,
 ) -> DataFrame:
     """Triggers of an entitlement."""
     triggers = _triggers(

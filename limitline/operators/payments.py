@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,18 @@ from pyspark.sql import functions as F
 from limitline.config import AMOUNT_TYPE, EUR_TYPE, LimitConfig, SkewPolicy
 from limitline.functions.rules import listed, text_list
 from limitline.functions.time import at
-from limitline.operators.rates import to_eur_rates
-from limitline.operators.skew import broadcast_if_small, hot_keys, skew_join
+from limitline.operators.rates import count_eur_rates, to_eur_rates
+from limitline.operators.skew import HotKeys, broadcast_if_small, hot_keys, skew_join
+from limitline.sources.schemas import DAY
 from limitline.sources.tables import Sources
 
 FACT_KEYS = ("user_profile_id", "request_id")
 
 
+def stored_day(payments: DataFrame) -> list[str]:
+    return [DAY] if DAY in payments.columns else []
+
+
 def unique_payments(src: Sources, products: Sequence[str]) -> DataFrame:
     """Payments that count once, of the given products."""
     return src.report_action_step.filter(
@@ -24,21 +30,28 @@ def unique_payments(src: Sources, products: Sequence[str]) -> DataFrame:
     )
 
 
-def in_eur(payments: DataFrame, src: Sources, config: LimitConfig, policy: SkewPolicy) -> DataFrame:
+def in_eur(
+    payments: DataFrame, src: Sources, config: LimitConfig, policy: SkewPolicy, since: datetime | None = None
+) -> DataFrame:
     """Replace the local amount by its EUR value; drop payments without one.
 
     The rates hold one row per currency and day, however many payments there are. They
-    are broadcast once a count proves them small, otherwise the join shuffles.
+    are broadcast once a count of the quotes proves them small, otherwise the join shuffles.
+    Payments stored by day (``payment_day``) are joined on that column: then days without
+    a rate, and those before ``since``, are not read at all.
     """
-    rates = to_eur_rates(src.daily_aggregated_rates, config.eur_currency_id).filter(
-        F.col("exch_rate").isNotNull()
-    )
+    quotes = src.daily_aggregated_rates
+    rates = to_eur_rates(quotes, config.eur_currency_id).filter(F.col("exch_rate").isNotNull())
+    if since is not None:
+        rates = rates.filter(F.col("currency_date") >= F.lit(since.date()))
     value = f"cast(cast(invoice_value_local as {AMOUNT_TYPE}) * exch_rate as {EUR_TYPE})"
-    kept = [c for c in payments.columns if c != "invoice_value_local"]
+    kept = [c for c in payments.columns if c not in ("invoice_value_local", DAY)]
+    day = F.col(DAY) if DAY in payments.columns else F.to_date("action_creation_time")
+    few = count_eur_rates(quotes, config.eur_currency_id)
     return (
         payments.filter("invoice_value_local is not null")
-        .withColumn("currency_date", F.to_date("action_creation_time"))
-        .join(broadcast_if_small(rates, policy), ["source_currency", "currency_date"])
+        .withColumn("currency_date", day)
+        .join(broadcast_if_small(rates, few, policy), ["source_currency", "currency_date"])
         .selectExpr(*kept, f"{value} as invoice_value_eur")
     )
 
@@ -54,7 +67,7 @@ def with_profile(
     payments: DataFrame,
     profiles: DataFrame,
     src: Sources,
-    hot: Sequence,
+    hot: HotKeys | Sequence,
     policy: SkewPolicy,
 ) -> DataFrame:
     """Keep the rows of the given profiles, with the risk level where a user has one."""
@@ -66,7 +79,7 @@ def personal(config: LimitConfig) -> Column:
     return F.col("class") != config.business_class
 
 
-def _hot(src: Sources, hot: Mapping[str, Sequence] | None, policy: SkewPolicy):
+def _hot(src: Sources, hot: Mapping[str, HotKeys | Sequence] | None, policy: SkewPolicy):
     return hot_keys(src.report_action_step, *FACT_KEYS, policy=policy) if hot is None else hot
 
 
@@ -74,7 +87,7 @@ def payments_entitlement(
     src: Sources,
     config: LimitConfig = LimitConfig(),
     policy: SkewPolicy = SkewPolicy(),
-    hot: Mapping[str, Sequence] | None = None,
+    hot: Mapping[str, HotKeys | Sequence] | None = None,
 ) -> DataFrame:
     """Unique personal send-money payments in EUR, with recipient and risk level."""
     hot = _hot(src, hot, policy)
@@ -87,9 +100,9 @@ def payments_entitlement(
     valued = in_eur(
         payments.select(
             "user_profile_id", "request_id", "action_creation_time",
-            "source_currency", "invoice_value_local",
+            "source_currency", "invoice_value_local", *stored_day(payments),
         ),
-        src, config, policy,
+        src, config, policy, config.entitlement_payments_since,
     )
     counted = skew_join(
         valued, "request_id", [(counted_transfers(src, config), "inner")],
@@ -105,7 +118,7 @@ def payments_monitoring(
     src: Sources,
     config: LimitConfig = LimitConfig(),
     policy: SkewPolicy = SkewPolicy(),
-    hot: Mapping[str, Sequence] | None = None,
+    hot: Mapping[str, HotKeys | Sequence] | None = None,
 ) -> DataFrame:
     """Unique personal send-money and balance payments in EUR, with address flags.
 
@@ -140,9 +153,9 @@ def payments_monitoring(
     valued = in_eur(
         recent.select(
             "user_profile_id", "request_id", "action_creation_time",
-            "source_currency", "product_type", "invoice_value_local",
+            "source_currency", "product_type", "invoice_value_local", *stored_day(recent),
         ),
-        src, config, policy,
+        src, config, policy, config.monitoring_submitted_since,
     )
     counted = skew_join(
         valued, "request_id", [(counted_transfers(src, config), "inner"), (submits, "inner")],

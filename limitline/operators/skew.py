@@ -3,48 +3,96 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import SkewPolicy
-from limitline.functions.rules import listed
 
 SALT = "_salt"
+_HOT = "_hot_key"
 
 
-def hot_keys(df: DataFrame, *keys: str, policy: SkewPolicy = SkewPolicy()) -> dict[str, list]:
-    """Values of each key column that hold more than ``policy.hot_rows`` rows.
+class HotKeys:
+    """The hot values of a column as a table with one column, ``key``.
 
-    A plain row count settles the usual case. Beyond it one pass keeps a mergeable
-    frequent-items sketch per column: no shuffle of the keys, at most
-    ``policy.max_hot_keys`` values back. The answer only steers the plan; a value the
-    sketch misses is still computed exactly, just not spread.
+    Their number is known, so the table is marked for broadcast only where it is small.
     """
-    if df.count() <= policy.hot_rows:
-        return {key: [] for key in keys}
-    found = df.agg(
-        *(
-            F.expr(f"approx_top_k(`{key}`, {policy.max_hot_keys}, {policy.tracked_keys})").alias(key)
-            for key in keys
-        )
-    ).first()
-    return {
-        key: [
-            row["item"]
-            for row in found[key] or []
-            if row["item"] is not None and row["count"] > policy.hot_rows
-        ]
-        for key in keys
-    }
+
+    def __init__(self, table: DataFrame | None, count: int, policy: SkewPolicy = SkewPolicy()):
+        self.table, self.count, self.policy = table, count, policy
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str, values: Sequence, policy: SkewPolicy = SkewPolicy()) -> HotKeys:
+        """Given values, as a table with the type of ``df``'s column."""
+        if not values:
+            return cls(None, 0, policy)
+        kind = df.schema[column].dataType.simpleString()
+        return cls(df.sparkSession.createDataFrame([(v,) for v in values], f"key {kind}"), len(values), policy)
+
+    def __bool__(self) -> bool:
+        return self.count > 0
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator:
+        return iter(row.key for row in self.table.collect()) if self else iter(())
+
+    def _side(self, name: str = "key") -> DataFrame:
+        side = self.table.select(F.col("key").alias(name))
+        return F.broadcast(side) if self.count <= self.policy.broadcast_rows else side
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of the other keys (NULL included) and those of the hot ones."""
+        side = self._side(column)
+        return df.join(side, column, "left_anti"), df.join(side, column, "left_semi")
+
+    def flagged(self, df: DataFrame, column: str) -> tuple[DataFrame, Column]:
+        """``df`` with a column that tells whether the key is hot, and that condition."""
+        side = self._side(_HOT)
+        return df.join(side, F.col(column) == F.col(_HOT), "left"), F.col(_HOT).isNotNull()
+
+
+def _place(key: str, number: int, places: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(places)) + F.lit(number * places)
+
+
+def hot_keys(df: DataFrame, *keys: str, policy: SkewPolicy = SkewPolicy()) -> dict[str, HotKeys]:
+    """The values of each key column that hold more than ``policy.hot_rows`` rows, exactly.
+
+    Two passes. The first counts rows per hash place, for all columns at once: a fixed
+    number of counters, summed map-side, whatever the number of keys. A hot key makes its
+    place heavy, so the second pass counts only keys of heavy places; without any there is
+    none. There may be any number of hot keys: few stay in the plan, more are stored.
+    """
+    places = policy.key_places
+    at = F.array(*(F.when(F.col(k).isNotNull(), _place(k, i, places)) for i, k in enumerate(keys)))
+    counted = df.select(F.explode(at).alias("at")).where("at is not null").groupBy("at").count()
+    heavy = [row["at"] for row in counted.where(F.col("count") > policy.hot_rows).select("at").collect()]
+    return {key: _hot(df, key, i, [p for p in heavy if p // places == i], policy) for i, key in enumerate(keys)}
+
+
+def _hot(df: DataFrame, key: str, number: int, heavy: list[int], policy: SkewPolicy) -> HotKeys:
+    if not heavy:
+        return HotKeys(None, 0, policy)
+    side = df.sparkSession.createDataFrame([(p,) for p in heavy], "at long")
+    rows = df.select(F.col(key).alias("key")).where("key is not null").withColumn("at", _place("key", number, places=policy.key_places))
+    found = rows.join(F.broadcast(side), "at", "left_semi").groupBy("key").count()
+    found = found.where(F.col("count") > policy.hot_rows).select("key")
+    first = [row.key for row in found.limit(policy.max_hot_keys + 1).collect()]
+    if len(first) <= policy.max_hot_keys:
+        return HotKeys.of(found, "key", first, policy)
+    found = materialise(found)
+    return HotKeys(found, found.count(), policy)
 
 
 def skew_join(
     facts: DataFrame,
     on: str,
     sides: Sequence[tuple[DataFrame, str]],
-    hot: Sequence = (),
+    hot: HotKeys | Sequence = (),
     policy: SkewPolicy = SkewPolicy(),
 ) -> DataFrame:
     """Equi-join of ``facts`` with per-key ``sides``, hot keys spread over salts.
@@ -55,38 +103,45 @@ def skew_join(
     get one of ``policy.salts`` salts and its rows in the sides are repeated once per
     salt; every other row keeps salt 0.
     """
+    if not isinstance(hot, HotKeys):
+        hot = HotKeys.of(facts, on, hot, policy)
     if not hot:
         for side, how in sides:
             facts = facts.join(side, on, how)
         return facts
-    is_hot = listed(on, hot)
     # The partition id spreads exact copies of one row, which hash alike.
     spread = F.pmod(F.xxhash64(*facts.columns) + F.spark_partition_id(), F.lit(policy.salts))
-    joined = facts.withColumn(SALT, F.when(is_hot, spread.cast("int")).otherwise(0))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(policy.salts - 1)))
+    joined, is_hot = hot.flagged(facts, on)
+    joined = joined.withColumn(SALT, F.when(is_hot, spread.cast("int")).otherwise(0)).drop(_HOT)
     for side, how in sides:
-        repeated = side.withColumn(SALT, F.explode(salts.otherwise(F.array(F.lit(0)))))
-        joined = joined.join(repeated, [on, SALT], how)
+        repeated, is_hot = hot.flagged(side, on)
+        salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(policy.salts - 1))).otherwise(F.array(F.lit(0)))
+        joined = joined.join(repeated.withColumn(SALT, F.explode(salts)).drop(_HOT), [on, SALT], how)
     return joined.drop(SALT)
 
 
-def broadcast_if_small(df: DataFrame, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """Mark ``df`` for broadcast only if an exact count proves that it is small.
+def broadcast_if_small(df: DataFrame, rows: int, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """Mark ``df``, which has no more than ``rows`` rows, for broadcast only if these are few.
 
     Otherwise the join shuffles and adaptive execution splits its skewed partitions.
     """
-    return F.broadcast(df) if df.count() <= policy.broadcast_rows else df
+    return F.broadcast(df) if rows <= policy.broadcast_rows else df
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; only local test sessions choose their own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="limitline-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

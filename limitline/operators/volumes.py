@@ -6,10 +6,9 @@ one sort and one linear pass, and "strictly later than ``d`` days ago" needs no
 epsilon: what the second total leaves out is exactly what the window keeps.
 
 A customer with very many payments would still be one task. Such hot customers take
-another way to the same totals: equal payments are collapsed before the shuffle, time
-is cut into buckets, running totals are taken inside (customer, bucket) and the totals
-of the earlier buckets are added. The carried totals are at most one row per calendar
-bucket and key, whatever the number of payments.
+another way to the same totals: equal payments are collapsed before the shuffle, and the
+rest is a distributed prefix sum (``prefix.running_totals``) over pieces that are cut
+at quantiles of (customer, time), so that no piece outgrows a task.
 """
 
 from __future__ import annotations
@@ -20,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitline.config import VOLUME_TYPE, LimitConfig, SkewPolicy
-from limitline.functions.rules import listed, risk_volume, times, window_column
-from limitline.functions.time import DAY_US, HOUR_US, floor_to, micros
-from limitline.operators.skew import hot_keys, materialise
+from limitline.functions.rules import risk_volume, times, window_column
+from limitline.functions.time import DAY_US, micros
+from limitline.operators.prefix import running_totals
+from limitline.operators.skew import HotKeys, hot_keys, materialise
 
 USER = "user_profile_id"
 RECIPIENT = "target_recipient_id"
@@ -70,7 +70,7 @@ def _plain_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int]
         F.expr(f"coalesce({AMOUNT}, 0) as amount"),
     )
     return rows.selectExpr(
-        USER, RECIPIENT, TIME, *keys, "1L as copies",
+        USER, RECIPIENT, TIME, *keys, f"{_total('amount')} as amount", "1L as copies",
         f"count(*) {over(USER, peers)} as user_ties",
         f"count(*) {over(linked, peers)} as recipient_ties",
         *_totals(running(USER), days, "lifetime", "any"),
@@ -78,57 +78,28 @@ def _plain_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int]
     )
 
 
-def _bucketed_totals(
-    points: DataFrame, keys: Sequence[str], days: Sequence[int], policy: SkewPolicy
-) -> DataFrame:
+def _asked_totals(points: DataFrame, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
     """Running totals ``upto_d`` of ``amount`` at every point, ``d`` days back.
 
     ``points`` has one row per (keys, time). Each point puts its amount at its own time
-    and asks for the total at that time and ``d`` days earlier; every question is
-    answered inside the (keys, bucket) it falls in, plus the carry of earlier buckets.
+    and asks for the total at that time and ``d`` days earlier, wherever that piece is.
     """
     offsets = (0, *days)
-    by = ", ".join(keys)
-    asked = (
-        points.selectExpr(*keys, TIME_US, "amount", f"explode(array({', '.join(map(str, offsets))})) as days")
-        .selectExpr(
-            *keys, TIME_US, "days",
-            f"{TIME_US} - days * {DAY_US}L as at",
-            "if(days = 0, amount, 0) as amount",
-        )
-        .withColumn("bucket", floor_to("at", policy.bucket_hours * HOUR_US))
-    )
-    carried = (
-        asked.groupBy(*keys, "bucket")
-        .agg(F.expr(f"{_total('sum(amount)')} as bucket_amount"))
-        .selectExpr(
-            *keys, "bucket",
-            _total(
-                f"coalesce(sum(bucket_amount) over (partition by {by} order by bucket "
-                "rows between unbounded preceding and 1 preceding), 0)"
-            )
-            + " as carry",
-        )
+    asked = points.selectExpr(
+        *keys, TIME_US, "amount", f"explode(array({', '.join(map(str, offsets))})) as days"
+    ).selectExpr(
+        *keys, TIME_US, "days",
+        f"{TIME_US} - days * {DAY_US}L as at",
+        "if(days = 0, amount, 0) as amount",
     )
-    inside = asked.selectExpr(
-        "*",
-        _total(
-            f"sum(amount) over (partition by {by}, bucket order by at "
-            "range between unbounded preceding and current row)"
-        )
-        + " as inside",
-    )
-    total = _total("carry + inside")
     return (
-        inside.join(carried, [*keys, "bucket"])
+        running_totals(asked, keys, ["at"], "amount", VOLUME_TYPE)
         .groupBy(*keys, TIME_US)
-        .agg(*(F.expr(f"max(if(days = {d}, {total}, null)) as upto_{d}") for d in offsets))
+        .agg(*(F.expr(f"max(if(days = {d}, total, null)) as upto_{d}") for d in offsets))
     )
 
 
-def _hot_volumes(
-    payments: DataFrame, keys: Sequence[str], days: Sequence[int], policy: SkewPolicy
-) -> DataFrame:
+def _hot_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
     """Same columns as ``_plain_volumes``, one row per distinct payment shape."""
     shapes = materialise(
         payments.groupBy(USER, RECIPIENT, TIME, *keys)
@@ -142,7 +113,7 @@ def _hot_volumes(
             .groupBy(*by, TIME_US)
             .agg(F.expr(f"{_total('sum(amount)')} as amount"), F.expr(f"sum(copies) as {ties}"))
         )
-        totals = _bucketed_totals(at, by, days, policy)
+        totals = _asked_totals(at, by, days)
         return totals.join(at.drop("amount"), [*by, TIME_US]).selectExpr(
             *by, TIME_US, ties, *_totals(lambda d: f"upto_{d}", days, lifetime, window)
         )
@@ -152,7 +123,7 @@ def _hot_volumes(
     return (
         shapes.join(any_recipient, [USER, TIME_US])
         .join(linked, [USER, RECIPIENT, TIME_US], "left")
-        .drop("amount", TIME_US)
+        .drop(TIME_US)
     )
 
 
@@ -160,12 +131,12 @@ def base_volumes(
     payments: DataFrame,
     keys: Sequence[str],
     days: Sequence[int] = (),
-    hot: Sequence | None = None,
+    hot: HotKeys | Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
 ) -> DataFrame:
     """Volumes at the time of every payment, before any tie rule is applied.
 
-    ``copies`` is how many payments a row stands for, ``user_ties`` and
+    ``copies`` is how many payments a row stands for, ``amount`` what they add up to, ``user_ties`` and
     ``recipient_ties`` how many payments share its (customer, time) and (customer,
     recipient, time). Same-recipient volumes are 0 where the recipient is unknown: a
     NULL recipient is never the same as another. ``hot`` lists the hot customers; None
@@ -174,16 +145,16 @@ def base_volumes(
     """
     if hot is None:
         hot = hot_keys(payments, USER, policy=policy)[USER]
+    elif not isinstance(hot, HotKeys):
+        hot = HotKeys.of(payments, USER, hot, policy)
     if hot:
-        is_hot = listed(USER, hot)
-        volumes = _plain_volumes(payments.filter(~is_hot), keys, days).unionByName(
-            _hot_volumes(payments.filter(is_hot), keys, days, policy)
-        )
+        cold_rows, hot_rows = hot.split(payments, USER)
+        volumes = _plain_volumes(cold_rows, keys, days).unionByName(_hot_volumes(hot_rows, keys, days))
     else:
         volumes = _plain_volumes(payments, keys, days)
     linked = ["linked_lifetime", *(f"linked_{d}" for d in days)]
     return volumes.selectExpr(
-        USER, RECIPIENT, TIME, *keys, "copies", "user_ties", "recipient_ties",
+        USER, RECIPIENT, TIME, *keys, "amount", "copies", "user_ties", "recipient_ties",
         "lifetime", *(f"any_{d}" for d in days),
         *(f"if({RECIPIENT} is null, {_total('0')}, {c}) as {c}" for c in linked),
     )
@@ -199,7 +170,7 @@ def rolling_volumes_grouped(
     payments: DataFrame,
     windows: Sequence[int] = LimitConfig().windows,
     ties: str = "faithful",
-    hot: Sequence | None = None,
+    hot: HotKeys | Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
 ) -> DataFrame:
     """Lifetime and same-recipient trailing volumes per payment group.
@@ -228,7 +199,7 @@ def _windowed(
     columns: dict[str, tuple[str, str]],
     windows: Sequence[int],
     ties: str,
-    hot: Sequence | None,
+    hot: HotKeys | Sequence | None,
     policy: SkewPolicy,
     per_recipient: bool = True,
     distinct: bool = True,
@@ -265,7 +236,7 @@ def _trailing(kind: str, ties: str, windows: Sequence[int], prefix: str = "") ->
 def linked_volumes(
     payments: DataFrame,
     ties: str = "faithful",
-    hot: Sequence | None = None,
+    hot: HotKeys | Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
     distinct: bool = True,
 ) -> DataFrame:
@@ -281,7 +252,7 @@ def linked_window_volumes(
     payments: DataFrame,
     windows: Sequence[int] = LimitConfig().windows,
     ties: str = "faithful",
-    hot: Sequence | None = None,
+    hot: HotKeys | Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
     distinct: bool = True,
 ) -> DataFrame:
@@ -294,7 +265,7 @@ def user_window_volumes(
     payments: DataFrame,
     windows: Sequence[int] = LimitConfig().windows,
     ties: str = "faithful",
-    hot: Sequence | None = None,
+    hot: HotKeys | Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
     distinct: bool = True,
 ) -> DataFrame:
@@ -309,7 +280,7 @@ def monitoring_volumes(
     payments: DataFrame,
     windows: Sequence[int] = LimitConfig().windows,
     ties: str = "faithful",
-    hot: Sequence | None = None,
+    hot: HotKeys | Sequence | None = None,
     policy: SkewPolicy = SkewPolicy(),
     distinct: bool = True,
 ) -> DataFrame:
@@ -327,3 +298,18 @@ def volume_by_risk(volumes: DataFrame, config: LimitConfig = LimitConfig()) -> D
     """Keep the trailing window of the row's risk level as ``volume_at_day``."""
     kept = [c for c in volumes.columns if not c.endswith("_volume")]
     return volumes.select(*kept, risk_volume(config).alias("volume_at_day"))
+
+
+def volume_check(
+    payments: DataFrame, hot: HotKeys | Sequence | None = None, policy: SkewPolicy = SkewPolicy()
+) -> DataFrame:
+    """Per customer the sum of all payments and the lifetime volume at the last one.
+
+    The control total comes from the same rows as the volumes, without another exchange;
+    with every payment counted once the two are equal.
+    """
+    base = base_volumes(payments, (), (), hot, policy)
+    return base.groupBy(USER).agg(
+        F.expr(f"{_total('sum(amount)')} as total_volume"),
+        F.max_by("lifetime", TIME).alias("last_volume"),
+    )

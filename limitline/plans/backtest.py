@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from limitline.config import LimitConfig, SkewPolicy
 from limitline.operators import compare, limits, outcomes, rates, reports, volumes
 from limitline.operators.payments import FACT_KEYS, payments_entitlement
 from limitline.operators.skew import hot_keys, materialise
-from limitline.sources.tables import Sources, replace_table
+from limitline.functions.time import at
+from limitline.plans import stored
+from limitline.sources.versions import VersionedTable
+from limitline.sources.tables import Sources, bucketed_table, replace_table
 
 
 class Backtest:
@@ -44,6 +49,11 @@ class Backtest:
         """Write the payments once; whatever is asked for next reads that table."""
         self.payments = replace_table(self.payments, path)
 
+    def bucket_payments(self, name: str, path: str, buckets: int = 200) -> None:
+        """Store the payments in buckets by customer: no later step exchanges them again."""
+        keys, order = [volumes.USER], [volumes.TIME]
+        self.payments = bucketed_table(self.payments, name, keys, order, buckets, path)
+
     def single_payment_hit(self) -> DataFrame:
         return limits.single_payment_hit(self.payments, self.config)
 
@@ -76,6 +86,28 @@ class Backtest:
             self.src.profiles_verified_borderless_ltv, self.src.receive_and_plastic_users_sm,
         )
 
+    def volume_check(self) -> DataFrame:
+        return volumes.volume_check(self.payments, self.hot["user_profile_id"], self.policy)
+
+    def refreshed_old_rule_month(self, root: str, since: datetime) -> DataFrame:
+        """``old_rule_month`` as a stored table: built from the payments before ``since``,
+        then brought up to date for the customers that paid later."""
+        hot, limit = self.hot["user_profile_id"], self.config.limit
+        table = VersionedTable(self.payments.sparkSession, root)
+
+        def months(payments: DataFrame) -> DataFrame:
+            grouped = volumes.rolling_volumes_grouped(payments, self.config.windows, hot=hot, policy=self.policy)
+            return limits.month_hit(limits.limit_date(grouped, "lifetime_volume", limit=limit), self.config)
+
+        stored.store_months(table, months(self.payments.where(F.col(volumes.TIME) < at(since))))
+        late = self.payments.where(F.col(volumes.TIME) >= at(since)).select(volumes.USER).distinct()
+        stored.refresh_months(table, months(self.payments.join(late, volumes.USER, "left_semi")), late)
+        return table.read()
+
+    def released_users_not_in(self) -> DataFrame:
+        """``released_users`` as written: NOT IN over the two month tables."""
+        return compare.released_users(self.old_rule_month(), self.new_rule_month())
+
     def old_rule_month(self, preconditions: bool = False) -> DataFrame:
         return self._month(self.limit_date_old(), preconditions)
 

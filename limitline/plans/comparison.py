@@ -10,7 +10,8 @@ from limitline.config import LimitConfig, SkewPolicy
 from limitline.operators import compare, limits, reports, volumes
 from limitline.operators.payments import FACT_KEYS, payments_monitoring
 from limitline.operators.skew import hot_keys, materialise
-from limitline.sources.tables import Sources, replace_table
+from limitline.sources.versions import VersionedTable
+from limitline.sources.tables import Sources, bucketed_table, replace_table
 
 
 class RuleComparison:
@@ -42,6 +43,11 @@ class RuleComparison:
         """Write the payments once; whatever is asked for next reads that table."""
         self.payments = replace_table(self.payments, path)
 
+    def bucket_payments(self, name: str, path: str, buckets: int = 200) -> None:
+        """Store the payments in buckets by customer: no later step exchanges them again."""
+        keys, order = [volumes.USER], [volumes.TIME]
+        self.payments = bucketed_table(self.payments, name, keys, order, buckets, path)
+
     def _volumes(self, form, *windows, distinct: bool) -> DataFrame:
         hot = self.hot["user_profile_id"]
         return form(self.payments, *windows, hot=hot, policy=self.policy, distinct=distinct)
@@ -57,6 +63,13 @@ class RuleComparison:
     def user_window_volumes(self, distinct: bool = True) -> DataFrame:
         return self._volumes(volumes.user_window_volumes, self.config.windows, distinct=distinct)
 
+    def linked_window_snapshot(self, root: str) -> DataFrame:
+        """A copy of ``linked_window_volumes``: stored as a table, cloned, read from the clone."""
+        spark = self.payments.sparkSession
+        table = VersionedTable(spark, f"{root}/linked_window_volumes")
+        table.create(self.linked_window_volumes())
+        return table.clone(f"{root}/linked_window_snapshot").read()
+
     def lttw_volume(self, distinct: bool = True) -> DataFrame:
         return volumes.volume_by_risk(self.linked_window_volumes(distinct), self.config)
 
@@ -84,6 +97,10 @@ class RuleComparison:
         wide = self._volumes(volumes.monitoring_volumes, self.config.windows, distinct=False)
         return compare.compare_months(compare.monitoring_months(wide, self.config))
 
+    def comparison_joined(self) -> DataFrame:
+        """``comparison`` as written: a union of customers, joined with four month tables."""
+        return compare.compare_rules(*(self.month(rule) for rule in compare.RULES))
+
     def rule_gap(self, column: str = "ltto_reached_month") -> DataFrame:
         return compare.rule_gap(self.comparison(), column)
 

@@ -33,10 +33,15 @@ class Extracts:
     def _shared(self) -> dict:
         return {"config": self.config, "policy": self.policy, "hot": self.hot}
 
+    @cached_property
+    def _verified(self) -> dict:
+        busy = entitlements.hot_verified(self.src, self.hot, self.policy)
+        return self._shared() | {"hot": self.hot | {"verified_user": busy}}
+
     def lifetime_verified(self) -> DataFrame:
         return entitlements.entitlement_verified(
             self.src, self.config.lifetime_entitlement,
-            since=self.config.lifetime_verified_since, **self._shared(),
+            since=self.config.lifetime_verified_since, **self._verified,
         )
 
     def lifetime_triggered(self) -> DataFrame:
@@ -48,7 +53,7 @@ class Extracts:
     def payment_verified(self) -> DataFrame:
         return entitlements.entitlement_verified(
             self.src, self.config.payment_entitlement,
-            until=self.config.payment_until, **self._shared(),
+            until=self.config.payment_until, **self._verified,
         ).drop("entitlement_id")
 
     def payment_triggered(self) -> DataFrame:

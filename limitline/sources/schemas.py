@@ -40,6 +40,10 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+#: The partition column of payments that are stored by day, kept where it is there.
+DAY = "payment_day"
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Select the columns of ``table`` with their declared types.
 
@@ -67,4 +71,5 @@ def conform(df: DataFrame, table: str) -> DataFrame:
                 value = f"if({value} <> {name}, {lost}, {value})"
         return f"{value} as {field.name}"
 
-    return df.selectExpr(*map(column, wanted))
+    kept = [DAY] if table == "report_action_step" and DAY in have else []
+    return df.selectExpr(*map(column, wanted), *kept)

@@ -155,6 +155,21 @@ CUSTOMER_TABLES: dict[str, tuple[str | None, Sequence[str]]] = {
 }
 
 
+#: What the disputed variant adds or changes: rows that break the grain of three tables, and
+#: payments taken back, so that the checks of ambiguity and of the rules' order have answers.
+DISPUTED_AMOUNT = f"if(o_orderkey % 3 = 0, -{AMOUNT}, {AMOUNT}) as invoice_value_local"
+DISPUTED_ROWS = {
+    "lookup_request_history": ("o_orderkey % 50 = 0", ORDER_TABLES["lookup_request_history"][1]),
+    "user_profile_risk_score_level": (
+        "c_custkey % 10 = 0",
+        (
+            "c_custkey as user_profile_id",
+            "case c_custkey % 4 when 0 then 'MEDIUM' when 1 then 'HIGH' else 'LOW' end as risk_level",
+        ),
+    ),
+}
+
+
 def read_star(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(STAR_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
@@ -176,16 +191,26 @@ def _daily_rates(orders: DataFrame) -> DataFrame:
     )
 
 
-def from_star_schema(spark: SparkSession, sf_dir: str) -> Sources:
-    """Sources over ``<sf_dir>/orders.parquet`` and ``<sf_dir>/customer.parquet``."""
+def from_star_schema(spark: SparkSession, sf_dir: str, disputed: bool = False) -> Sources:
+    """Sources over ``<sf_dir>/orders.parquet`` and ``<sf_dir>/customer.parquet``.
+
+    With ``disputed`` some keys are repeated and some payments are negative.
+    """
+
+    def of(table: str, where: str | None, columns: Sequence[str]) -> DataFrame:
+        rows = read_star(spark, sf_dir, "orders" if table in ORDER_TABLES else "customer")
+        return (rows.filter(where) if where else rows).selectExpr(*columns)
 
     def derive(table: str) -> DataFrame:
         if table == "daily_aggregated_rates":
-            return _daily_rates(read_star(spark, sf_dir, "orders"))
-        base = "orders" if table in ORDER_TABLES else "customer"
+            rates = _daily_rates(read_star(spark, sf_dir, "orders"))
+            twice = "if(from_currency_id = 2 and day(currency_date) = 5, 2, 1)"
+            return rates.selectExpr("*", f"explode(sequence(1, {twice})) as copy").drop("copy") if disputed else rates
         where, columns = {**ORDER_TABLES, **CUSTOMER_TABLES}[table]
-        rows = read_star(spark, sf_dir, base)
-        return (rows.filter(where) if where else rows).selectExpr(*columns)
+        if disputed and table == "report_action_step":
+            columns = [DISPUTED_AMOUNT if c.endswith("as invoice_value_local") else c for c in columns]
+        rows = of(table, where, columns)
+        return rows.unionByName(of(table, *DISPUTED_ROWS[table])) if disputed and table in DISPUTED_ROWS else rows
 
     return Sources(derive)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from limitline.sources.schemas import SCHEMAS, conform
+from limitline.sources.schemas import DAY, SCHEMAS, conform
 
 
 class Sources:
@@ -48,3 +49,17 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
     """Store a full copy of a table; fails if one is already there."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def store_by_day(payments: DataFrame, path: str, time: str = "action_creation_time") -> None:
+    """Store payments in a folder per day, so that a join on the day prunes what is read."""
+    by_day = payments.withColumn(DAY, F.to_date(time))
+    # A day may be large: Spark deals each out over as many tasks as its size asks for.
+    by_day.hint("rebalance", DAY).write.mode("overwrite").partitionBy(DAY).parquet(path)
+
+
+def bucketed_table(df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """Store a catalog table in buckets by key, sorted, so that reading it by key needs no exchange."""
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys, *order)
+    writer.option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -13,14 +13,32 @@ from limitline.registry import BACKTEST, COMPARISON, EXTRACTS
 from limitline.sources.star_schema import from_star_schema
 
 # Everybody with more than a dozen orders is hot, and nothing may be broadcast by hint.
-TIGHT = SkewPolicy(hot_rows=12, salts=3, broadcast_rows=0, bucket_hours=24)
+TIGHT = SkewPolicy(hot_rows=12, salts=3, broadcast_rows=0)
 
 
 def test_hot_keys(frame):
     df = frame("k bigint, j string", [(7, "a")] * 50 + [(None, None)] * 50 + [(i, str(i)) for i in range(40)])
     found = hot_keys(df, "k", "j", policy=SkewPolicy(hot_rows=30))
-    assert found == {"k": [7], "j": ["a"]}
-    assert hot_keys(df, "k") == {"k": []}
+    assert {k: list(v) for k, v in found.items()} == {"k": [7], "j": ["a"]}
+    assert not hot_keys(df, "k")["k"]
+
+
+@pytest.mark.parametrize("places", [1, 7, 1 << 16])
+def test_more_hot_keys_than_the_plan_keeps(spark, places):
+    """Exact counts of every key of a heavy place; beyond ``max_hot_keys`` the table is stored."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, id div 60, id) as k", "string(id % 40) as j")
+    policy = SkewPolicy(hot_rows=15, max_hot_keys=5, key_places=places)
+    found = hot_keys(rows, "k", "j", policy=policy)
+    counts = Counter(r.k for r in rows.collect())
+    assert sorted(found["k"]) == sorted(k for k, n in counts.items() if n > 15)
+    assert len(found["k"]) == 50 and sorted(found["j"]) == sorted(map(str, range(40)))
+    assert "Scan ExistingRDD" in found["k"].table._jdf.queryExecution().executedPlan().toString()
+    side = spark.range(100).selectExpr("id as k", "id * 2 as y")
+    salted = skew_join(rows, "k", [(side, "left")], found["k"], policy)
+    assert spark_rows(salted) == spark_rows(rows.join(side, "k", "left"))
+    cold, hot = found["k"].split(rows, "k")
+    assert cold.count() + hot.count() == 3000
+    assert {r.k for r in hot.collect()} == set(found["k"])
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -51,8 +69,8 @@ def test_copies_of_one_row_are_spread(spark):
 
 def test_broadcast_needs_a_proof(spark):
     df = spark.range(10)
-    assert broadcast_if_small(df, SkewPolicy(broadcast_rows=9)) is df
-    assert broadcast_if_small(df, SkewPolicy(broadcast_rows=10)) is not df
+    assert broadcast_if_small(df, 10, SkewPolicy(broadcast_rows=9)) is df
+    assert broadcast_if_small(df, 10, SkewPolicy(broadcast_rows=10)) is not df
 
 
 def test_materialise_cuts_the_lineage(spark):
@@ -67,7 +85,7 @@ PLANS = [
         "suspension_rate", "fraud_rate")),
     *((RuleComparison, name, build) for name, build in COMPARISON.items() if name in (
         "payments_monitoring", "linked_volumes", "user_window_volumes", "compare_rules")),
-    *((Extracts, name, EXTRACTS[name]) for name in ("lifetime_verified", "payment_triggered")),
+    *((Extracts, name, EXTRACTS[name]) for name in ("lifetime_verified", "payment_verified", "payment_triggered")),
 ]
 
 
