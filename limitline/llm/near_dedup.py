@@ -7,8 +7,9 @@ probability Jaccard similarity of their weighted runs. All runs of many texts ad
 arrival at a time, and a run stops once its time exceeds the last register of its text.
 
 Registers are banded. In a bucket of a band texts are compared with the bucket's hubs, the
-texts that share buckets with most others, and not all with all. After each round the
-links found join classes. Texts of one class need no further comparison, so a bucket stays
+texts that share buckets with most others, and not all with all; in the first round a text
+meets only the hub of its largest bucket, which joins most of a large class. After each round
+the links found join classes. Texts of one class need no further comparison, so a bucket stays
 only while it holds several classes, without the hubs it has had; its next hubs come from
 different classes. Texts are read only for pairs whose sketches, four bits of each register,
 differ in few enough registers. A round compares no more pairs than there are places in
@@ -195,7 +196,7 @@ def _verified(similarity: float):
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weighted runs of each text, with all its weight and whether all its weights are one."""
+    """The weighted runs of each text, with all its weight and the number of its distinct runs."""
     for batch in batches:
         for block in blocks(batch, "text"):
             keys, weights, firsts = weighted_shingles(block.column("text"))
@@ -209,40 +210,64 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "run": keys.view(np.int64),
                     "weight": weights.astype(np.int64),
                     "total": total[owner],
-                    "plain": pa.array((total == sizes)[owner]),
+                    "kinds": sizes[owner].astype(np.int64),
                 }
             )
 
 
+#: Upper ends of the levels of repetition: the part of a text's weight that repeats a run.
+REPEATED = (0.0, 0.01, 0.02, 0.05)
+
+
 def _alike(left: DataFrame, texts: DataFrame, similarity: float, words_of_sketch: int, differing: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of texts of different classes in ``left`` that can be similar enough.
 
-    With runs in one order for all texts, let ``rest`` be a text's weight from a run on. All
-    that two texts share stands from their first common run on. The similarity is at most
-    the sum of the lesser shares of each run, so either rest is at least ``similarity`` of
-    its text; where all weights are one it is at most rest / (sum of both totals - rest) for
-    the lesser rest. No pair at ``similarity`` fails this at its first common run.
+    Runs stand in one order for all texts, rare ones first. From a run on, let ``rest`` be a
+    text's weight, and ``again`` the part of it beyond one for each run. All that two texts
+    share stands from their first common run on. With totals A, B the similarity is at most
+
+    * the lesser of rest_a / A and rest_b / B, and
+    * the lesser of rest_a + again_b and rest_b + again_a, over A + B - the lesser rest: a
+      common run of weights v, w adds at most max(v, w) over that denominator.
+
+    Of two texts that repeat little the one with less weight asks. Beside a partner that
+    repeats up to a part e of its weight, which then has no more than A / (similarity - e),
+    only runs with rest (1 + similarity) + e A / (similarity - e) >= 2 similarity A can be
+    the first common one. Texts on one template, which share too little, are not brought
+    together by it, whether they repeat a run or not. No pair at ``similarity`` fails.
     """
     nodes = stored(left.select("node", "class", "sketch").distinct(), "nodes")
     read = texts.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     read = read.withColumn("sha", F.xxhash64("text"))
-    schema = "node long, sha long, run long, weight long, total long, plain boolean"
+    schema = "node long, sha long, run long, weight long, total long, kinds long"
     runs = stored(read.mapInArrow(_run_rows, schema), "runs")
     often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Runs of one text alone come first in the order and meet no other.
     common = runs.join(stored(often, "common-runs"), "run")
     order = Window.partitionBy("node", "sha").orderBy(F.desc("often"), F.desc("run"))
-    enough = similarity * F.col("total") - 1e-6
-    common = common.withColumn("rest", F.sum("weight").over(order)).where(F.col("rest") >= enough)
-    rare = stored(common.select("node", "run", "rest", "total", "plain").join(nodes, "node"), "rare-runs")
-    one = rare.where(~F.col("plain") | (F.col("rest") * (1 + similarity) >= 2 * similarity * F.col("total") - 1e-6))
-    other = rare.select("run", *(F.col(c).alias(f"{c}_2") for c in ("node", "rest", "total", "plain", "class", "sketch")))
-    least = F.least("rest", "rest_2") * (1 + similarity)
-    # Of two plain texts the smaller one asks, of a plain one and another the other.
-    of_plain = F.col("plain_2") & (F.col("total") <= F.col("total_2"))
-    of_plain &= least >= similarity * (F.col("total") + F.col("total_2")) - 1e-6
-    asks = F.when(F.col("plain"), of_plain).otherwise(F.col("plain_2") | (F.col("node") < F.col("node_2")))
-    both = one.join(other, "run").where((F.col("class") != F.col("class_2")) & asks)
+    common = common.withColumns({"rest": F.sum("weight").over(order), "from_here": F.count("run").over(order)})
+    common = common.where(F.col("rest") >= similarity * F.col("total") - 1e-6)
+    repeated = (F.col("total") - F.col("kinds")) / F.col("total")
+    level = sum((F.when(repeated > e, 1).otherwise(0) for e in REPEATED), F.lit(0))
+    rare = common.select("node", "run", "rest", (F.col("rest") - F.col("from_here")).alias("again"), "total", level.alias("level"))
+    rare = stored(rare.join(nodes, "node"), "rare-runs")
+    # The levels of partners beside which a run can be the first common one.
+    many = len(REPEATED)
+    slack = [e / (similarity - e) for e in REPEATED if e < similarity]
+    enough = (1 + similarity) * F.col("rest") + 1e-6
+    beside = [
+        F.when((F.col("level") < many) & (enough >= (2 * similarity - x) * F.col("total")), F.lit(i))
+        for i, x in enumerate(slack)
+    ]
+    beside += [F.lit(i) for i in range(len(slack), many)] + [F.lit(many)]
+    one = rare.withColumn("level_2", F.explode(F.array_compact(F.array(*beside))))
+    other = rare.select("run", *(F.col(c).alias(f"{c}_2") for c in ("node", "rest", "again", "total", "level", "class", "sketch")))
+    little, little_2 = F.col("level") < many, F.col("level_2") < many
+    smaller = F.struct("total", "node") < F.struct("total_2", "node_2")
+    asks = F.when(little & little_2, smaller).when(little, True).when(little_2, False).otherwise(F.col("node") < F.col("node_2"))
+    shared = F.least(F.col("rest") + F.col("again_2"), F.col("rest_2") + F.col("again"))
+    close = shared >= similarity * (F.col("total") + F.col("total_2") - F.least("rest", "rest_2")) - 1e-6
+    both = one.join(other, ["run", "level_2"]).where((F.col("class") != F.col("class_2")) & asks & close)
     both = both.where(_unlike("sketch", "sketch_2", words_of_sketch) <= differing)
     return _ordered(both, "node", "class", "node_2", "class_2")
 
@@ -283,7 +308,7 @@ def near_groups(
     sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(bucketed.join(stored(sizes, "sizes"), "bucket"), "buckets")
     degrees = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    left = shared.join(degrees, "node").select("bucket", "node", "degree", "sketch", F.col("node").alias("class"))
+    left = shared.join(degrees, "node").select("bucket", "size", "node", "degree", "sketch", F.col("node").alias("class"))
     left = stored(left, "buckets")
     differing = most_differing(bands * rows, similarity)
     words_of_sketch = -(-bands * rows // 16)
@@ -292,13 +317,19 @@ def near_groups(
     wanted = classes.select(F.col("node").alias("doc_id"))
     needed = stored(source.join(wanted.hint("merge"), "doc_id", "left_semi").distinct(), "bucket-texts")
     for n_hubs in [1, *[LATER_HUBS] * (HUB_ROUNDS - 1)]:
+        first = n_hubs == 1
         hubs = stored(_hubs(left, n_hubs), "hubs")
-        found = stored(_links(_beside(left, hubs, words_of_sketch, differing), needed, similarity), "links")
+        beside = _beside(_largest_places(left) if first else left, hubs, words_of_sketch, differing)
+        found = stored(_links(beside, needed, similarity), "links")
         if not found.limit(1).count():
+            if first:
+                continue
             break
         roots = components(found).select(F.col("node").alias("class"), "root")
         classes = stored(_joined(classes, roots), "classes")
-        rest = left.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        # A hub that met all of its bucket need not again.
+        met = hubs.select("bucket", F.col("hub").alias("node"))
+        rest = left if first else left.join(met, ["bucket", "node"], "left_anti")
         rest = stored(_joined(rest, roots), "places")
         several = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
         left = stored(rest.join(several.where("low < high").select("bucket"), "bucket", "left_semi"), "buckets")
@@ -330,6 +361,12 @@ def _hubs(left: DataFrame, n: int) -> DataFrame:
     return tops.select("bucket", (-F.col("best.least")).alias("hub"), F.col("best.of").alias("hub_class"), F.col("best.sketch").alias("hub_sketch"))
 
 
+def _largest_places(left: DataFrame) -> DataFrame:
+    """Each text in the largest of its buckets."""
+    place = F.max(F.struct("size", "bucket", "class", "sketch")).alias("place")
+    return left.groupBy("node").agg(place).select("place.bucket", "node", "place.class", "place.sketch")
+
+
 def _beside(left: DataFrame, hubs: DataFrame, words_of_sketch: int, differing: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of a text and a hub of its bucket of another class, with their classes.
 
