@@ -20,22 +20,37 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go."""
+    """Documents whose language can be told; those without any letter go.
+
+    Where no row has a language to learn from, every document with a letter stays.
+    """
+    model = language_model(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     # Columns of the documents may have the names of what is added here.
     inner = [f"_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*inner).withColumnRenamed(inner[docs.columns.index("text")], "text")
-    found = language_id.predict(rows, language_model(docs))
+    found = language_id.predict(rows, model)
     return found.where(F.col("lang_pred") != language_id.UNDETERMINED).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    dropped = exact_dedup.exact_groups(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts the row with the largest doc_id.
+
+    A row is known by doc_id and text: one that repeats the id of a dropped copy with
+    another text stays. Rows without doc_id, and rows that repeat both, all stay.
+    """
+    sha = "_" * (1 + max(map(len, docs.columns)))  # in no column's name
+    dropped = exact_dedup.exact_groups(docs).where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias(sha))
+    own = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return docs.withColumn(sha, own).join(dropped.distinct(), ["doc_id", sha], "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the one with the smallest doc_id."""
+    """Of near duplicates the one with the smallest doc_id.
+
+    Rows without doc_id stay; of rows that share one, all go if any is a near copy.
+    """
     dropped = near_dedup.near_groups(docs).where("doc_id <> class_id").select("doc_id")
     return docs.join(dropped.distinct(), "doc_id", "left_anti").select(*docs.columns)
 

@@ -479,3 +479,18 @@ def test_added_tokens_are_the_librarys(name, split):
         ids, bounds = documents_ids(*textblocks.flat(pa.array(some, pa.string())), path, split, 7)
         want = [[*library.encode(t, add_special_tokens=False).ids, 7] for t in some]
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+
+
+def test_pipeline_decides_by_row(spark):
+    """A repeated id with another text stays; rows without id stay; without any language nothing lettered goes."""
+    rows = [
+        (1, "copied words here"), (2, "copied words here"), (1, "other words of the same id"), (None, "copied words here"),
+        (5, None), (6, ""), (7, "123"), (8, "word"),
+    ]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.drop_copies(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(str, kept)) == sorted(
+        f"Row(doc_id={d}, text={t!r})" for d, t in rows if (d, t) not in ((1, "copied words here"), (5, None))
+    )
+    told = corpus_pipeline.identify_language(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(str, told)) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in rows if t and any(map(str.isalpha, t)))
