@@ -3,15 +3,19 @@
 A page is read into a tree: end tags that HTML lets authors leave out are implied, unknown
 or stray ones ignored. Rendering walks the tree, leaves out what is not shown, puts blocks
 on lines of their own, paragraphs and the like apart by an empty line, marks and indents
-list items, keeps preformatted text, and sets table cells in aligned columns.
+list items, keeps preformatted text, shows what forms and drawings say, and sets table cells in
+aligned columns, also those that span several columns or rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style template noscript iframe noembed noframes object audio video canvas svg math datalist "
-    "select input textarea".split()
+    "head script style template noscript iframe noembed noframes object audio video canvas datalist input "
+    "annotation annotation-xml".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset".split())
 BLOCKS = SPACED | frozenset(
@@ -52,8 +56,11 @@ _ENDS_P = SPACED | frozenset(
 )
 _SCOPE = frozenset("table td th caption button object template".split())
 
-#: Elements open at once; what is nested deeper is read as inside the deepest. Its text is kept.
+#: Elements that the tree nests; what is nested deeper is read as inside the deepest. Its text is
+#: kept, unless an element deeper still hides it.
 MAX_DEPTH = 400
+#: Fixed value of HTML: the widest cell.
+MOST_COLUMNS = 1000
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"  # comment
@@ -64,52 +71,87 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _CLOSERS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in RAW}
 
 
 class Node:
-    """An element; its children are elements and texts."""
+    """An element; its children are elements and texts.
 
-    __slots__ = ("name", "hidden", "start", "children")
+    ``hidden`` hides all inside, ``shows`` what does not say otherwise itself (None: as around).
+    ``start`` is the first number of a list, ``across`` and ``down`` are the columns and rows of
+    a cell, ``chosen`` an option's mark, ``many`` that of a list of several options.
+    """
+
+    __slots__ = ("name", "hidden", "shows", "start", "across", "down", "chosen", "many", "children")
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1):
-        self.name, self.hidden, self.start = name, hidden, start
+    def __init__(self, name: str):
+        self.name, self.hidden, self.shows = name, False, None
+        self.start = self.across = self.down = 1
+        self.chosen = self.many = False
         self.children: list[Node | str] = []
 
 
 def _element(name: str, raw: str) -> Node:
+    node = Node(name)
     if not raw or raw.isspace():
-        return Node(name)
-    hidden, start = False, 1
-    if "hidden" in raw or "style" in raw.lower() or name in ("ol", "input"):
+        return node
+    lower = raw.lower()
+    if "hidden" in lower or "style" in lower or name in ("ol", "option", "select") or "span" in lower and name in CELLS:
         for key, *values in _ATTRIBUTE.findall(raw):
             key, value = key.lower(), html.unescape("".join(values)).strip().lower()
+            number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else None
             if key == "hidden" or key == "style" and _HIDING.search(value):
-                hidden = True
+                node.hidden = True
             elif key == "aria-hidden" and value == "true":
-                hidden = True
-            elif key == "start" and re.fullmatch(r"-?\d{1,9}", value):
-                start = int(value)
-    return Node(name, hidden, start)
+                node.hidden = True
+            elif key == "start" and number is not None:
+                node.start = number
+            elif key == "colspan" and number:
+                node.across = min(max(number, 1), MOST_COLUMNS)
+            elif key == "rowspan" and number is not None:
+                node.down = number if number > 0 else 65534 if number == 0 else 1
+            elif key == "selected":
+                node.chosen = True
+            elif key == "multiple" or key == "size" and (number or 0) > 1:
+                node.many = True
+            if key == "style" and (found := _VISIBILITY.findall(value)):
+                node.shows = found[-1] == "visible"
+    return node
 
 
 def parse(source: str) -> Node:
     """The tree of a page."""
     root = Node("html")
     stack = [root]
+    # Open elements beyond the tree's depth, and whether each is unseen or inside one that is.
+    deep, unseen = [Node("")], [False]
+    names_deep: Counter[str] = Counter()
     at = 0
 
+    def cut_deep(upto: int) -> None:
+        names_deep.subtract(x.name for x in deep[upto:])
+        del deep[upto:], unseen[upto:]
+
     def text(raw: str) -> None:
-        if raw:
+        if raw and not unseen[-1]:
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
     def close(names: tuple[str, ...], borders) -> None:
+        if any(names_deep[x] for x in names):
+            for i in range(len(deep) - 1, 0, -1):
+                if deep[i].name in names:
+                    return cut_deep(i)
+                if deep[i].name in borders:
+                    return
+        elif any(names_deep[x] for x in borders):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
                 del stack[i:]
-                return
+                return cut_deep(1)
             if stack[i].name in borders:
                 return
 
@@ -129,7 +171,7 @@ def parse(source: str) -> Node:
             name = token[1].lower()
             if name == "br":
                 stack[-1].children.append(Node("br"))
-            elif name == "p" and not any(x.name == "p" for x in stack):
+            elif name == "p" and not names_deep["p"] and not any(x.name == "p" for x in stack):
                 stack[-1].children.append(Node("p"))
             elif name not in ("html", "body"):
                 close((name,), _SCOPE - {name} if name not in BLOCKS else ("table",) if name != "table" else ())
@@ -140,6 +182,7 @@ def parse(source: str) -> Node:
         node = _element(name, token[3] or token[5] or "")
         if name in ("html", "body"):
             stack[0].hidden |= node.hidden
+            stack[0].shows = stack[0].shows if node.shows is None else node.shows
             close(("head",), ())
             continue
         if name in _ENDS_P:
@@ -147,23 +190,36 @@ def parse(source: str) -> Node:
         if name in BLOCKS and stack[-1].name == "head":
             stack.pop()
         if name in IMPLIED_ENDS:
-            _imply(stack, *IMPLIED_ENDS[name])
+            ended, borders = IMPLIED_ENDS[name]
+            if len(deep) == 1:
+                _imply(stack, ended, borders)
+            elif any(names_deep[x] for x in ended):
+                left = list(deep)
+                _imply(left, ended, borders)
+                cut_deep(len(left))
         if name in CELLS and _nearest(stack, ("tr", "table", *SECTIONS, *CELLS)) in ("table", *SECTIONS):
             row = Node("tr")
             stack[-1].children.append(row)
-            if len(stack) < MAX_DEPTH:
+            if len(stack) < MAX_DEPTH and len(deep) == 1:
                 stack.append(row)
         if name == "form" and stack[-1].name in ("tr", "table", *SECTIONS):
             continue  # between rows or cells a form holds nothing
-        stack[-1].children.append(node)
+        if not unseen[-1]:
+            stack[-1].children.append(node)
         if name in RAW:
             closer = _CLOSERS[name].search(source, at)
             stop = closer.start() if closer else end
             if name in ("title", "textarea"):
                 node.children.append(html.unescape(source[at:stop]))
             at = closer.end() if closer else end
-        elif name not in VOID and len(stack) < MAX_DEPTH:
+        elif name in VOID:
+            continue
+        elif len(stack) < MAX_DEPTH and len(deep) == 1:
             stack.append(node)
+        else:
+            deep.append(node)
+            names_deep[name] += 1
+            unseen.append(unseen[-1] or node.hidden or node.shows is False or name in UNSEEN)
     text(source[at:])
     return root
 
@@ -247,56 +303,83 @@ def _trimmed(lines: list[str]) -> list[str]:
     return lines
 
 
-def _rendered(node: Node, pre: bool = False) -> list[str]:
+def _rendered(node: Node, pre: bool = False, shown: bool = True) -> list[str]:
     out = _Lines()
-    _render(node, out, pre)
+    _render(node, out, pre, shown)
     out.block()
     return _trimmed(out.lines)
 
 
-def _render(node: Node, out: _Lines, pre: bool) -> None:
+def _found(node: Node, names: tuple[str, ...]) -> list[Node]:
+    """The elements of ``names`` inside, in order, without hidden ones and what is in them."""
+    out, todo = [], [c for c in reversed(node.children) if isinstance(c, Node)]
+    while todo:
+        child = todo.pop()
+        if child.hidden or child.name in UNSEEN:
+            continue
+        if child.name in names:
+            out.append(child)
+        else:
+            todo += [c for c in reversed(child.children) if isinstance(c, Node)]
+    return out
+
+
+def _options(select: Node) -> list[Node]:
+    """The options that a closed list, or a list of several options, shows."""
+    options = _found(select, ("option",))
+    return options if select.many else [x for x in options if x.chosen][-1:] or options[:1]
+
+
+def _render(node: Node, out: _Lines, pre: bool, shown: bool = True) -> None:
     items, number = node.name in ("ul", "ol", "menu"), node.start
     for child in node.children:
         if isinstance(child, str):
-            if pre:
-                out.exact(child)
-            else:
-                out.write(child)
+            if shown:
+                (out.exact if pre else out.write)(child)
             continue
         name = child.name
         if child.hidden or name in UNSEEN or name == "title":
             continue
+        now = shown if child.shows is None else child.shows
         if name == "br":
-            out.end()
+            if now:
+                out.end()
         elif name == "hr":
-            out.apart()
-            out.exact("---")
-            out.apart()
+            if now:
+                out.apart()
+                out.exact("---")
+                out.apart()
         elif name == "table":
-            _append(out, _table(child), apart=True)
+            _append(out, _table(child, now), apart=True)
         elif name == "li":
             mark = f"{number}. " if items and node.name == "ol" else "- "
             number += 1
-            lines = _rendered(child)
-            _append(out, [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines or [""])])
+            lines = _rendered(child, shown=now)
+            if now or lines:
+                _append(out, [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines or [""])])
         elif name == "dd":
-            _append(out, ["  " + x if x else x for x in _rendered(child)])
+            _append(out, ["  " + x if x else x for x in _rendered(child, shown=now)])
         elif name in ("ul", "ol", "menu"):
             nested = node.name == "li"
-            _append(out, _rendered(child), apart=not nested)
+            _append(out, _rendered(child, shown=now), apart=not nested)
         elif name == "blockquote":
-            _append(out, [("> " + x).rstrip() for x in _rendered(child)], apart=True)
-        elif name == "pre":
+            _append(out, [("> " + x).rstrip() for x in _rendered(child, shown=now)], apart=True)
+        elif name in ("pre", "textarea"):
             first = child.children[0] if child.children else None
             if isinstance(first, str) and first.startswith("\n"):
                 child.children[0] = first[1:]
-            _append(out, _rendered(child, True), apart=True)
+            _append(out, _rendered(child, True, now), apart=name == "pre")
+        elif name in ("select", "svg"):
+            for part in _options(child) if name == "select" else _found(child, ("text",)):
+                out.write(" ")
+                _render(part, out, pre, now if part.shows is None else part.shows)
+                out.write(" ")
         elif name in BLOCKS:
             (out.apart if name in SPACED else out.block)()
-            _render(child, out, pre)
+            _render(child, out, pre, now)
             (out.apart if name in SPACED else out.block)()
         else:
-            _render(child, out, pre)
+            _render(child, out, pre, now)
 
 
 def _append(out: _Lines, lines: list[str], apart: bool = False) -> None:
@@ -318,47 +401,82 @@ def _holds(node: Node, names: tuple[str, ...]) -> bool:
     return False
 
 
-def _sort_out(node: Node, rows: list[list[Node]], loose: Node, row: list[Node] | None = None) -> None:
-    """Adds the rows of a table, or the cells of ``row``, inside ``node``; all else goes to ``loose``."""
+def _sort_out(
+    node: Node, rows: list[list[Node]], foot: list[list[Node]], loose: Node, row: list[Node] | None = None, shows=None
+) -> None:
+    """Adds the rows of a table, or the cells of ``row``, inside ``node``; all else goes to ``loose``.
+
+    Rows of a foot go to ``foot``. ``shows`` is handed on to cells that do not say themselves.
+    """
     for child in node.children:
         if isinstance(child, str):
             loose.children.append(child)
-        elif child.hidden or child.name in UNSEEN:
             continue
-        elif row is not None and child.name in CELLS:
+        if child.hidden or child.name in UNSEEN:
+            continue
+        now = shows if child.shows is None else child.shows
+        if row is not None and child.name in CELLS:
+            child.shows = now
             row.append(child)
         elif row is None and child.name == "tr":
             rows.append([])
-            _sort_out(child, rows, loose, rows[-1])
+            _sort_out(child, rows, foot, loose, rows[-1], now)
         elif row is None and child.name in (*SECTIONS, "colgroup"):
-            _sort_out(child, rows, loose)
+            _sort_out(child, foot if child.name == "tfoot" else rows, foot, loose, None, now)
         elif child.name != "table" and _holds(child, ("tr",) if row is None else CELLS):
             around = Node(child.name)
             loose.children.append(around)
-            _sort_out(child, rows, around, row)
+            _sort_out(child, rows, foot, around, row, now)
         else:
             loose.children.append(child)
 
 
-def _table(table: Node) -> list[str]:
+def _placed(rows: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
+    """First and last column of each cell, beside cells of earlier rows that reach down.
+
+    Columns in which no cell starts are not counted.
+    """
+    busy: dict[int, int] = {}  # the row up to which a column is taken from above
+    at: list[list[tuple[int, int, Node]]] = []
+    for y, row in enumerate(rows):
+        at.append([])
+        x = 0
+        for cell in row:
+            while busy.get(x, 0) > y:
+                x += 1
+            at[-1].append((x, x + cell.across, cell))
+            if cell.down > 1:
+                busy.update(dict.fromkeys(range(x, x + cell.across), y + cell.down))
+            x += cell.across
+    starts = sorted({a for row in at for a, _, _ in row})
+    place = {a: i for i, a in enumerate(starts)}
+    return [[(place[a], bisect.bisect_left(starts, b) - 1, cell) for a, b, cell in row] for row in at]
+
+
+def _table(table: Node, shown: bool = True) -> list[str]:
     """Caption, then rows; cells of a column start in the same place, two spaces apart."""
     loose = Node("div")  # what stands in a table but in no cell is shown before it
     found: list[list[Node]] = []
-    _sort_out(table, found, loose)
-    lines = _rendered(loose)
-    rows = [[_rendered(cell) or [""] for cell in row] for row in found]
-    columns = max(map(len, rows), default=0)
-    widths = [0] * columns
-    for row in rows:
-        for i, cell in enumerate(row):
-            widths[i] = max(widths[i], *map(width, cell))
+    foot: list[list[Node]] = []
+    _sort_out(table, found, foot, loose)
+    lines = _rendered(loose, shown=shown)
+    rows = [
+        [(a, b, _rendered(cell, shown=shown if cell.shows is None else cell.shows) or [""]) for a, b, cell in row]
+        for row in _placed(found + foot)
+    ]
+    cells = sorted((x for row in rows for x in row), key=lambda x: x[1])
+    widths = [0] * (1 + max((b for _, b, _ in cells), default=-1))
+    for a, b, cell in cells:  # column by column; what spans several widens the last, if at all
+        room = sum(widths[a:b]) + 2 * (b - a)
+        widths[b] = max(widths[b], max(map(width, cell)) - room)
+    starts = [0, *accumulate(w + 2 for w in widths)]
     for row in rows:
-        for y in range(max(map(len, row), default=0)):
-            line, room = [], 0
-            for i, cell in enumerate(row):
-                part = cell[y] if y < len(cell) else ""
-                line.append(" " * room + part)
-                room = widths[i] - width(part) + 2
+        for y in range(max((len(cell) for _, _, cell in row), default=0)):
+            line, end = [], 0
+            for a, _, cell in row:
+                if y < len(cell):
+                    line.append(" " * (starts[a] - end) + cell[y])
+                    end = starts[a] + width(cell[y])
             lines.append("".join(line).rstrip())
     return lines
 
@@ -369,7 +487,7 @@ def page_text(source: str | None) -> str:
         return ""
     source = source.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "�")
     root = parse(source)
-    return "" if root.hidden else "\n".join(_rendered(root))
+    return "" if root.hidden else "\n".join(_rendered(root, shown=root.shows is not False))
 
 
 def page_title(source: str | None) -> str:

@@ -445,6 +445,76 @@ def test_html_of_ill_formed_tables(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td colspan=2>wide head<td>C<tr><td>a<td>b<td>c</table>", "wide head  C\na  b       c"),
+        ("<table><tr><td rowspan=2>side<td>x<td>y<tr><td>longer<td>z</table>", "side  x       y\n      longer  z"),
+        ("<table><tr><td colspan=1000>all<td>next<tr><td>a<td>b</table>", "all   next\na  b"),
+        ("<table><tr><td rowspan=0>s<td>a<tr><td>b<tr><td>c</table>", "s  a\n   b\n   c"),
+        ("<table><tr><td colspan=3>a very wide cell<tr><td>1<td>2<td>3</table>", "a very wide cell\n1  2  3"),
+        ("<table><tr><td rowspan=9>a<td rowspan=9>b<tr><tr><td>c</table>", "a  b\n      c"),
+        ("<table><tfoot><tr><td>sum</tfoot><tr><td>one<tr><td>two</table>", "one\ntwo\nsum"),
+        ("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</p>", "b"),
+        ("<table><tr style='visibility:hidden'><td>a<td style='visibility:visible'>b<tr><td>c<td>d</table>", "   b\nc  d"),
+        ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+        ("<textarea>\na <b> &amp;\n c</textarea>", "a <b> &\n c"),
+        ("x<select><option>a<option selected>b</select>y<select><option>c<option>d</select>", "x b y c"),
+        ("<select multiple><option>a<option hidden>b<option>c</select>", "a c"),
+        ("<svg><title>t</title><desc>d</desc><text>in <tspan>it</tspan></text></svg>", "in it"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("<div>" * 450 + "<p hidden>secret</p>seen", "seen"),
+        ("<div>" * 450 + "<p hidden>secret<p>seen<div hidden><div>no</div>no</div>too", "seentoo"),
+        ("<div>" * 450 + "<script>no</script><noscript>no<i>no</i></noscript>a<i style='display:none'>no<b>no</b>no</i>b", "ab"),
+        ("<div hidden>" * 450 + "no" + "</div>" * 450 + "seen", "seen"),
+        ("<div>" * 100_000 + "<b hidden>no</b>deep", "deep"),
+    ],
+)
+def test_html_spans_visibility_forms_and_depth(page, text):
+    assert html_text.page_text(page) == text
+
+
+def brute_table(rows):
+    """Cells (text, across, down) on a grid of characters, set one by one."""
+    grid, taken = {}, set()
+    for y, row in enumerate(rows):
+        x = 0
+        for text, across, down in row:
+            while (x, y) in taken:
+                x += 1
+            taken |= {(x + i, y + j) for i in range(across) for j in range(down)}
+            grid[x, y] = (text, across)
+            x += across
+    starts = sorted({x for x, _ in grid})
+    ends = {}
+    for (x, y), (text, across) in grid.items():
+        a = starts.index(x)
+        ends[a, y] = (a + sum(x <= s < x + across for s in starts), text)
+    left = [0]
+    for column in range(len(starts)):
+        need = [left[a] + len(t) + 2 for (a, _), (b, t) in ends.items() if b == column + 1]
+        left.append(max([left[-1] + 2, *need]))
+    lines = []
+    for y in range(len(rows)):
+        line = ""
+        for a in range(len(starts)):
+            if (a, y) in ends:
+                line = line.ljust(left[a]) + ends[a, y][1]
+        lines.append(line.rstrip())
+    return lines
+
+
+def test_html_tables_against_a_grid():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        rows = [
+            [("abcdefgh"[: rng.integers(1, 8)], int(rng.choice([1, 1, 2, 3])), int(rng.choice([1, 1, 1, 2]))) for _ in range(rng.integers(1, 5))]
+            for _ in range(rng.integers(1, 5))
+        ]
+        cells = "".join("<tr>" + "".join(f"<td colspan={a} rowspan='{d}'>{t}" for t, a, d in row) for row in rows)
+        assert html_text.page_text(f"<table>{cells}</table>").split("\n") == "\n".join(brute_table(rows)).strip("\n").split("\n")
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<title>A &lt; b</title><p>x"), (1, "u", "<title>A &lt; b</title><p>x"), (2, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", pa_lit("old"))
