@@ -372,7 +372,13 @@ def _beside(left: DataFrame, hubs: DataFrame, words_of_sketch: int, differing: i
 
     Pairs whose sketches differ in more than ``differing`` registers are left out.
     """
-    both = left.select("bucket", "node", "class", "sketch").join(hubs, "bucket").where("class <> hub_class")
+    # One row per place, then the distinct hubs of a text: it shares most buckets with the same ones.
+    lists = hubs.groupBy("bucket").agg(F.collect_list(F.struct("hub", "hub_class")).alias("hubs"))
+    met = left.select("bucket", "node", "class", "sketch").join(lists, "bucket").groupBy("node", "class")
+    met = met.agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"), F.first("sketch").alias("sketch"))
+    others = F.filter("hubs", lambda h: h["hub_class"] != F.col("class"))
+    pairs = met.select("node", "class", "sketch", F.explode(others).alias("h")).select("node", "class", "sketch", "h.*")
+    both = pairs.join(hubs.select("hub", "hub_sketch").distinct(), "hub")
     both = both.where(_unlike("sketch", "hub_sketch", words_of_sketch) <= differing)
     return _ordered(both, "node", "class", "hub", "hub_class")
 
