@@ -1,24 +1,22 @@
-"""Best-fit packing of tokenized documents into sequences: local first, then up a tree.
-
-Each partition packs its pieces by best fit, longest first. Bins that are nearly full stay
-as they are; the others become items that are packed again with those of neighbouring
-partitions, then of wider and wider groups, until one group is left. Best fit leaves at
-most one bin of a group half empty or emptier, and two fuller ones never fit together, so
-a group hands up that bin and a bounded number of its emptiest bins to hold others'
-leftovers: the last group stays small however many documents there are.
+"""Best-fit packing of tokenized documents into sequences, over all documents at once.
+
+Pieces go longest first into the fullest sequence that holds them. Pieces of one length are
+alike, so where they go follows from how many there are of each: those counts, no more than
+the capacity, give runs of pieces that fill equal sequences in the same way. Each task
+numbers its pieces of a length; with the numbers of the tasks before, a piece finds its run
+and from that its sequence and place. No sequence is closed early and none is left out,
+and no task holds more than a block of documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limitline.llm.pieces import documents_ids
@@ -26,47 +24,91 @@ from limitline.llm.storage import stored
 from limitline.llm.textblocks import blocks, flat
 
 CAPACITY = 2048
-#: Free ids from which a bin still takes part in later rounds.
-NEARLY_FULL = 8
-#: Groups merged into one per round, and the bins that each hands up.
-FAN_IN = 8
-HANDED_UP = 64
 
-#: Bins of one partition are numbered from its number times this.
-_BINS = 1 << 40
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
-_GROUP = "grp long, fill long, members array<struct<bin:long,shift:long>>, rising boolean"
+
+def bin_runs(counts: Sequence[int], capacity: int) -> np.ndarray:
+    """Rows (length, first, bin, each, place) of best fit, for ``counts[length]`` pieces of each length.
+
+    From the ``first``-th piece of that length on, ``each`` pieces go into each bin from
+    ``bin`` on, from ``place`` on. Bins that are filled alike are kept together: a length
+    splits off two groups more at most, and each time a group is taken up less than half of
+    its room is left, so the rows are bounded by the capacity, whatever the counts.
+    """
+    runs: list[tuple[int, int, int, int, int]] = []
+    by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    rooms = 0  # bit r: some bin has r free
+    opened = 0
+    for size in range(capacity, 0, -1):
+        first, left = 0, int(counts[size])
+        while left:
+            fitting = rooms >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                target, alike = by_room[room].pop()
+                if not by_room[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, target, alike = capacity, opened, -(-left // (capacity // size))
+                opened += alike
+            each = room // size
+            full = min(alike, left // each)
+            rest = left - full * each if full < alike else 0
+            runs.append((size, first, target, each, capacity - room))
+            first, left = first + full * each + rest, left - full * each - rest
+            last = int(rest > 0)
+            groups = ((full, room - each * size), (last, room - rest * size), (alike - full - last, room))
+            for number, free in groups:
+                if number and free:
+                    by_room[free].append((target, number))
+                    rooms |= 1 << free
+                target += number
+    return np.asarray(runs, np.int64).reshape(-1, 5)
+
+
+def _located(runs: np.ndarray, lengths: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and place of the ``nth`` piece of each length."""
+    size, first, target, each, place = runs.T
+    order = np.lexsort((first, size))
+    number = np.searchsorted(size[order], lengths)  # the first run of the length
+    key = np.concatenate([first[order], [0]])
+    # Runs of a length are few and in order: halve what is left of them.
+    low, high = number, np.searchsorted(size[order], lengths, side="right")
+    while (high - low > 1).any():
+        middle = (low + high) // 2
+        before = key[middle] <= nth
+        low, high = np.where(before, middle, low), np.where(before, high, np.maximum(middle, low + 1))
+    run = order[low]
+    ahead = nth - first[run]
+    return target[run] + ahead // each[run], place[run] + ahead % each[run] * lengths
+
+
+def _numbered(lengths: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The number of each piece among those of its length; ``before`` is counted on."""
+    order = np.argsort(lengths, kind="stable")
+    run = lengths[order]
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    counts = np.diff(np.append(starts, len(run)))
+    nth = np.empty(len(lengths), np.int64)
+    nth[order] = np.arange(len(run)) - np.repeat(starts, counts) + before[run]
+    before[run[starts]] += counts
+    return nth
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and place of each item, longest first into the fullest bin that holds it; the bins' fills."""
-    bins = np.empty(len(lengths), np.int64)
-    places = np.empty(len(lengths), np.int64)
-    fills: list[int] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0  # bit r: some bin has r free
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
-        fitting = rooms >> size
-        if fitting:
-            room = size + (fitting & -fitting).bit_length() - 1
-            target = by_room[room].pop()
-            if not by_room[room]:
-                rooms &= ~(1 << room)
-        else:
-            room, target = capacity, len(fills)
-            fills.append(0)
-        bins[i], places[i] = target, fills[target]
-        fills[target] += size
-        by_room[room - size].append(target)
-        rooms |= 1 << (room - size)
-    return bins, places, np.asarray(fills, np.int64)
-
-
-def _pack_partition(path: str, split: str, end_id: int, capacity: int):
+    counts = np.zeros(capacity + 1, np.int64)
+    nth = _numbered(lengths, counts)
+    bins, places = _located(bin_runs(counts, capacity), lengths, nth)
+    return bins, places, np.bincount(bins, lengths).astype(np.int64)
+
+
+def _pieces(path: str, split: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, pieces, starts, lengths, sums = [], [], [], [], []
+        part = TaskContext.get().partitionId()
+        before = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for block in blocks(batch, "text"):
                 data, offsets = flat(block.column("text"))
@@ -79,44 +121,30 @@ def _pack_partition(path: str, split: str, end_id: int, capacity: int):
                 start = piece * capacity
                 length = np.minimum(capacity, sizes[owner] - start)
                 at = bounds[owner] + start
-                sums += [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
-                doc_ids.append(block.column("doc_id").take(pa.array(owner)))
-                pieces.append(piece)
-                starts.append(start)
-                lengths.append(length)
-        if not lengths:
-            return
-        length = np.concatenate(lengths)
-        bins, places, fills = best_fit(length, capacity)
-        first = TaskContext.get().partitionId() * _BINS
-        out = pa.table(
-            {
-                "doc_id": pa.chunked_array(doc_ids, pa.int64()),
-                "piece": np.concatenate(pieces).astype(np.int32),
-                "start": np.concatenate(starts),
-                "length": length,
-                "ids_crc32": np.asarray(sums, np.int64),
-                "bin": bins + first,
-                "offset": places,
-                "fill": fills[bins],
-            }
-        )
-        yield from out.combine_chunks().to_batches(max_chunksize=50_000)
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": block.column("doc_id").take(pa.array(owner)),
+                        "piece": piece.astype(np.int32),
+                        "start": start,
+                        "length": length,
+                        "ids_crc32": np.asarray(sums, np.int64),
+                        "part": np.full(len(owner), part, np.int32),
+                        "nth": _numbered(length, before),
+                    }
+                )
 
     return run
 
 
-def _merge_group(capacity: int, open_below: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fill", ascending=False, kind="stable", ignore_index=True)
-        bins, places, fills = best_fit(group["fill"].to_numpy(), capacity)
-        members: list[list[dict]] = [[] for _ in fills]
-        for held, target, place in zip(group["members"], bins.tolist(), places.tolist(), strict=True):
-            members[target] += [{"bin": m["bin"], "shift": m["shift"] + place} for m in held]
-        rising = np.zeros(len(fills), dtype=bool)
-        emptiest = np.argsort(fills, kind="stable")[: HANDED_UP + 1]
-        rising[emptiest] = fills[emptiest] <= open_below
-        return pd.DataFrame({"grp": group["grp"].iloc[0], "fill": fills, "members": members, "rising": rising})
+def _placed(runs: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, nth, ahead = (batch.column(c).to_numpy() for c in ("length", "nth", "ahead"))
+            sequence, offset = _located(runs, length, nth + ahead)
+            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            columns = [*map(batch.column, kept), pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "sequence_id", "offset"])
 
     return run
 
@@ -134,53 +162,14 @@ def pack_documents(
     (``pieces.SPLITS``).
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed = stored(rows.mapInArrow(_pack_partition(tokenizer, split, end_id, capacity), _PACKED), "packed")
-    open_below = capacity - NEARLY_FULL
-    rising = packed.where((F.col("offset") == 0) & (F.col("fill") <= open_below)).select(
-        F.floor(F.col("bin") / _BINS).cast("long").alias("grp"),
-        "fill",
-        F.array(F.struct("bin", F.lit(0).cast("long").alias("shift"))).alias("members"),
-    )
-    # Of each partition, its emptiest bins only: a bounded number.
-    emptiest = F.row_number().over(_emptiest_first("grp"))
-    rising = rising.withColumn("n", emptiest).where(F.col("n") <= HANDED_UP + 1).drop("n")
-    last = packed.agg(F.max("bin")).first()[0]
-    width = 0 if last is None else last // _BINS + 1
-    done = []
-    while width > 1:
-        width = -(-width // FAN_IN)
-        merged = stored(
-            rising.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
-            .groupBy("grp")
-            .applyInPandas(_merge_group(capacity, open_below), _GROUP),
-            "merged",
-        )
-        done.append(merged if width == 1 else merged.where(~F.col("rising")))
-        rising = merged.where("rising").drop("rising")
-    if not done:
-        return _result(packed, F.col("bin"), F.col("offset"))
-    # Bins that were put together; a bin stands in one row, as it rises or is done.
-    moved = (
-        reduce(DataFrame.unionByName, done)
-        .where(F.size("members") > 1)
-        .select(F.array_min("members.bin").alias("root"), F.explode("members").alias("m"))
-        .select("root", F.col("m.bin").alias("bin"), F.col("m.shift").alias("shift"))
-    )
-    return _result(
-        packed.join(moved, "bin", "left"),
-        F.coalesce("root", "bin"),
-        F.col("offset") + F.coalesce("shift", F.lit(0)),
-    )
-
-
-def _emptiest_first(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("fill", F.col("members")[0]["bin"])
-
-
-def _result(rows: DataFrame, sequence, offset) -> DataFrame:
-    return rows.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        sequence.alias("sequence_id"), offset.cast("long").alias("offset"),
-    )
+    # Stored, as another reading could number the pieces otherwise.
+    pieces = stored(rows.mapInArrow(_pieces(tokenizer, split, end_id, capacity), _PIECE), "pieces")
+    # At most one row per task and length; the counts of all tasks are at most ``capacity`` rows.
+    of_tasks = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in of_tasks.groupBy("length").agg(F.sum("n").alias("n")).collect():
+        counts[row["length"]] = row["n"]
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = of_tasks.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    numbered = pieces.join(ahead, ["part", "length"])
+    return numbered.mapInArrow(_placed(bin_runs(counts, capacity)), _PACKED)

@@ -135,6 +135,45 @@ def test_best_fit_takes_the_fullest_bin():
     assert fills.tolist() == [10, 10] and bins.tolist() == [0, 1, 0, 1, 1] and places.tolist() == [0, 0, 6, 5, 8]
 
 
+def one_by_one(lengths, capacity):
+    """Fills of best fit, longest first, with a plain list of bins."""
+    fills = []
+    for size in sorted(lengths.tolist(), reverse=True):
+        held = [i for i, fill in enumerate(fills) if fill + size <= capacity]
+        if held:
+            fills[max(held, key=lambda i: fills[i])] += size
+        else:
+            fills.append(size)
+    return sorted(fills)
+
+
+def test_runs_of_equal_pieces_are_best_fit():
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        capacity = int(rng.integers(1, 60))
+        lengths = rng.integers(1, 1 + int(rng.integers(1, capacity + 1)), int(rng.integers(1, 400)))
+        bins, places, fills = packing.best_fit(lengths, capacity)
+        assert sorted(fills.tolist()) == one_by_one(lengths, capacity)
+        for b in range(len(fills)):
+            mine = np.flatnonzero(bins == b)
+            mine = mine[np.argsort(places[mine])]
+            assert places[mine].tolist() == [0, *np.cumsum(lengths[mine])[:-1]]
+    counts = np.concatenate(([0], rng.integers(0, 10**9, 2048)))
+    assert len(packing.bin_runs(counts, 2048)) < 30 * 2048
+
+
+def test_packing_closes_no_sequence_early(spark):
+    """In each of two partitions 200 sequences that only documents of the other one fill."""
+    long, short = "a " * 12, "b " * 7
+    docs = spark.range(0, 400, 1, 2).selectExpr(
+        "id as doc_id", f"if(id < 200, '{long.strip()}', '{short.strip()}') as text"
+    )
+    found = pandas(packing.pack_documents(docs, WORD, capacity=21))
+    assert set(found["length"]) == {13, 8}
+    assert found["sequence_id"].nunique() == 200
+    assert (found.groupby("sequence_id")["length"].sum() == 21).all()
+
+
 def test_byte_bpe(docs, none):
     decoded = pandas(byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS))
     assert sorted(bytes(x) for x in decoded["decoded"]) == sorted((r[1] or "").encode() for r in ROWS)
