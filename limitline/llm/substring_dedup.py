@@ -6,7 +6,9 @@ the document with the smallest id that has it, so a passage in any number of doc
 gives a number of matches in proportion. The seeds of a passage may have their first
 holders in many documents, as those of frequent lines do; so runs of 40 words are taken in
 the same way, of any 11 neighbouring ones at least one. Any 50 words that an earlier document
-has hold such a run, and its first holder shares a whole passage. Matches between two documents are chained in order of both under linear gap
+has hold such a run, and its first holder shares a whole passage. Where words of such a run
+differ, two neighbouring seeds with their distance are a key, too: that over the border of
+two frequent lines has its own first holder, which is one that has both. Matches between two documents are chained in order of both under linear gap
 costs, with a Fenwick tree for the best predecessor. Chains are then aligned word by word:
 along the diagonals between seeds, and beyond the ends as long as matches prevail. For that
 the words of either document are joined in blocks, so that a document which is the first
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitline.llm.storage import stored
-from limitline.llm.textblocks import blocks, flat, shingle_hashes, span_hashes, words
+from limitline.llm.textblocks import blocks, flat, mixed, shingle_hashes, span_hashes, words
 
 #: Words in a seed; neighbouring seeds of which one is taken at least. Any passage of
 #: SEED_WORDS + WINDOW - 1 = 20 equal words has a seed, one of 36 has two.
@@ -33,6 +35,8 @@ MIN_SEEDS = 2
 #: Words in a long run, those of the shortest passage; neighbouring ones of which one is taken
 #: at least: any 50 equal words have one.
 RUN_WORDS, RUN_WINDOW = 40, 11
+#: The last bits of a key tell its kind: 1 for a long run, twice the distance for a pair of seeds.
+KIND_BITS = 6
 #: A passage has this many words in either document, and this share of them match.
 MIN_WORDS, MIN_MATCH = 40, 0.8
 #: Cost of a word between two chained seeds, in either document, in units of a seed's word.
@@ -83,13 +87,18 @@ def _sampled(
 
 
 def seeds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and word position of each seed and each long run taken; the last bit of the hash tells long runs."""
+    """Key, text and word position of each seed, each pair of neighbouring seeds and each long run taken."""
     hashes, firsts = _word_hashes(texts)
     short = _sampled(hashes, firsts, SEED_WORDS, WINDOW)
     long = _sampled(hashes, firsts, RUN_WORDS, RUN_WINDOW)
-    one = np.uint64(1)
-    key = np.concatenate([short[0] & ~one, long[0] | one])
-    return key, np.concatenate([short[1], long[1]]), np.concatenate([short[2], long[2]])
+    gap = np.diff(short[2])
+    at = np.flatnonzero((np.diff(short[1]) == 0) & (gap <= WINDOW))
+    both = mixed(mixed(short[0][at]) + short[0][at + 1])
+    plain = ~np.uint64((1 << KIND_BITS) - 1)
+    key = np.concatenate(
+        [short[0] & plain, both & plain | gap[at].astype(np.uint64) << np.uint64(1), long[0] & plain | np.uint64(1)]
+    )
+    return key, np.concatenate([short[1], short[1][at], long[1]]), np.concatenate([short[2], short[2][at], long[2]])
 
 
 def stretches(pos: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int]]:
@@ -241,6 +250,20 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _seed_matches(row: np.ndarray, pos: np.ndarray, other: np.ndarray, kind: np.ndarray, n: int):
+    """Matches of single seeds, each once, by row; a match of a pair stands for both its seeds."""
+    short, pair = kind != 1, kind > 1
+    gap = kind[pair] >> 1
+    row, p, q = (
+        np.concatenate([x[short], x[pair] + step]) for x, step in ((row, 0), (pos, gap), (other, gap))
+    )
+    order = np.lexsort((q, p, row))
+    row, p, q = row[order], p[order], q[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)
+    return np.searchsorted(row[new], np.arange(n + 1)), p[new], q[new]
+
+
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chains of each pair of documents, and the equal stretches that each of them has to show.
 
@@ -249,12 +272,13 @@ def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         met = batch.column("met")
         bounds = np.concatenate(([0], np.cumsum(met.value_lengths().to_numpy())))
-        pos, other = (met.flatten().field(c).to_numpy().astype(np.int64) for c in ("pos", "other"))
-        long = met.flatten().field("long").to_numpy(zero_copy_only=False)
+        pos, other, kinds = (met.flatten().field(c).to_numpy().astype(np.int64) for c in ("pos", "other", "kind"))
+        row = np.repeat(np.arange(len(met)), np.diff(bounds))
+        firsts, ps, qs = _seed_matches(row, pos, other, kinds, len(met))
         rows = []
         for r, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
-            x, y, of_run = pos[a:b], other[a:b], long[a:b]
-            p, q = x[~of_run], y[~of_run]
+            x, y, of_run = pos[a:b], other[a:b], kinds[a:b] == 1
+            p, q = ps[firsts[r] : firsts[r + 1]], qs[firsts[r] : firsts[r + 1]]
             found = [(p[c], q[c], []) for c in chains(p, q) if len(c) >= MIN_SEEDS]
             own = []
             for s, e, o in stretches(x[of_run], y[of_run]) if of_run.any() else ():
@@ -378,17 +402,31 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", F.col("pos").alias("other"))).alias("first")
     shared = found.groupBy("seed").agg(first, F.max("doc_id").alias("last_id")).where("first.doc_id < last_id")
     shared = shared.select("seed", F.col("first.doc_id").alias("first_id"), "first.other")
-    # Both stored, so both sides of the joins are exchanged and Spark can split a frequent seed.
-    matches = found.join(stored(shared, "shared-seeds"), "seed").where("doc_id <> first_id")
-    matches = matches.withColumn("long", F.col("seed").bitwiseAND(F.lit(1)) == 1)
-    pairs = matches.groupBy("doc_id", "first_id").agg(F.collect_list(F.struct("pos", "other", "long")).alias("met"))
-    enough = (F.size("met") >= MIN_SEEDS) | F.exists("met", lambda m: m["long"])
-    chained = stored(pairs.where(enough).mapInArrow(_chain_rows, _CHAIN), "chains")
-    asked = _requests(chained, 0).unionByName(_requests(chained, 1))
-    given = asked.join(rows.mapInArrow(_block_rows, _BLOCK), ["owner", "block"])
-    cells = F.collect_list(F.struct("side", "block", "words")).alias("cells")
-    both = given.groupBy("doc_id", "first_id", "n").agg(*(F.max(c).alias(c) for c in ("p", "q", "sure")), cells)
-    return both.where("p is not null").drop("n").mapInArrow(_passage_rows, _PASSAGE).distinct()
+    shared = stored(shared, "shared-seeds")
+    kind = F.col("seed").bitwiseAND(F.lit((1 << KIND_BITS) - 1))
+
+    def passages(wanted, enough, spans: DataFrame | None = None) -> DataFrame:
+        # Both stored, so both sides of the joins are exchanged and Spark can split a frequent seed.
+        matches = found.where(wanted).join(shared.where(wanted), "seed").where("doc_id <> first_id")
+        matches = matches.withColumn("kind", kind.cast("int"))
+        if spans is not None:
+            inside = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (pair_end <= s["end"]))
+            matches = matches.join(spans, "doc_id", "left").where(~F.coalesce(inside, F.lit(False)))
+        pairs = matches.groupBy("doc_id", "first_id").agg(F.collect_list(F.struct("pos", "other", "kind")).alias("met"))
+        chained = stored(pairs.where(enough).mapInArrow(_chain_rows, _CHAIN), "chains")
+        asked = _requests(chained, 0).unionByName(_requests(chained, 1))
+        given = asked.join(rows.mapInArrow(_block_rows, _BLOCK), ["owner", "block"])
+        cells = F.collect_list(F.struct("side", "block", "words")).alias("cells")
+        both = given.groupBy("doc_id", "first_id", "n").agg(*(F.max(c).alias(c) for c in ("p", "q", "sure")), cells)
+        return both.where("p is not null").drop("n").mapInArrow(_passage_rows, _PASSAGE)
+
+    met = (F.size("met") >= MIN_SEEDS) | F.exists("met", lambda m: m["kind"] == 1)
+    whole = stored(passages(kind <= 1, met).distinct(), "whole-passages")
+    # Pairs of seeds tell only of words that are in no passage yet.
+    pair_end = F.col("pos") + F.shiftright("kind", 1) + SEED_WORDS
+    span = F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))
+    spans = whole.groupBy("doc_id").agg(F.collect_set(span).alias("spans"))
+    return whole.unionByName(passages(kind > 1, F.lit(True), spans)).distinct()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

@@ -326,6 +326,26 @@ def test_passages_of_frequent_lines(spark):
     assert len(found) <= 3 * len(pairs)
 
 
+@pytest.mark.parametrize("every", [45, 30, 20])
+def test_fuzzy_passages_of_frequent_lines(spark, every):
+    """Each line has an earlier holder of its own; a word in ``every`` differs between the two documents."""
+    rng = np.random.default_rng(every)
+    fresh = (f"f{i}" for i in range(10**6))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    lines = [some(20) for _ in range(80)]
+    texts = {i: [*some(30), *line, *some(30)] for i, line in enumerate(lines)}
+    for n in range(100):
+        passage = [w for i in rng.choice(80, 5, replace=False) for w in lines[i]]
+        texts[1000 + n] = [*some(30), *passage, *some(30)]
+        at = int(rng.integers(every))
+        other = [next(fresh) if i % every == at else w for i, w in enumerate(passage)]
+        texts[2000 + n] = [*some(45), *other, *some(15)]
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    found = pandas(substring_dedup.repeated_passages(frame))
+    pairs = {(r.first_id, r.doc_id) for r in found.itertuples()}
+    assert sum((1000 + n, 2000 + n) in pairs for n in range(100)) >= {45: 90, 30: 90, 20: 85}[every]
+
+
 def test_passages_held_twice(spark):
     fresh = (f"f{i}" for i in range(10**6))
     some = lambda n: [next(fresh) for _ in range(n)]
