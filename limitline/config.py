@@ -85,7 +85,8 @@ class SkewPolicy:
     """When a key counts as hot, how far it is spread, what may be broadcast.
 
     ``key_places`` are the counters of the search for hot keys; up to ``max_hot_keys``
-    hot keys stay in the plan, more are stored.
+    hot keys stay in the plan, more are stored. ``task_rows`` is how many payments are
+    dealt to one task.
     """
 
     hot_rows: int = 1_000_000
@@ -93,3 +94,4 @@ class SkewPolicy:
     max_hot_keys: int = 10_000
     salts: int = 256
     broadcast_rows: int = 1_000_000
+    task_rows: int = 100_000

@@ -18,18 +18,27 @@ class HotKeys:
     """The hot values of a column as a table with one column, ``key``.
 
     Their number is known, so the table is marked for broadcast only where it is small.
+    ``rows`` is how many rows have any value in the column, None where nobody counted them.
     """
 
-    def __init__(self, table: DataFrame | None, count: int, policy: SkewPolicy = SkewPolicy()):
-        self.table, self.count, self.policy = table, count, policy
+    def __init__(
+        self, table: DataFrame | None, count: int, policy: SkewPolicy = SkewPolicy(), rows: int | None = None
+    ):
+        self.table, self.count, self.policy, self.rows = table, count, policy, rows
 
     @classmethod
-    def of(cls, df: DataFrame, column: str, values: Sequence, policy: SkewPolicy = SkewPolicy()) -> HotKeys:
+    def of(
+        cls, df: DataFrame, column: str, values: Sequence, policy: SkewPolicy = SkewPolicy(), rows: int | None = None
+    ) -> HotKeys:
         """Given values, as a table with the type of ``df``'s column."""
         if not values:
-            return cls(None, 0, policy)
+            return cls(None, 0, policy, rows)
         kind = df.schema[column].dataType.simpleString()
-        return cls(df.sparkSession.createDataFrame([(v,) for v in values], f"key {kind}"), len(values), policy)
+        return cls(df.sparkSession.createDataFrame([(v,) for v in values], f"key {kind}"), len(values), policy, rows)
+
+    def uncounted(self) -> HotKeys:
+        """The same keys, for rows that are stored as they shall be dealt."""
+        return HotKeys(self.table, self.count, self.policy)
 
     def __bool__(self) -> bool:
         return self.count > 0
@@ -70,22 +79,39 @@ def hot_keys(df: DataFrame, *keys: str, policy: SkewPolicy = SkewPolicy()) -> di
     places = policy.key_places
     at = F.array(*(F.when(F.col(k).isNotNull(), _place(k, i, places)) for i, k in enumerate(keys)))
     counted = df.select(F.explode(at).alias("at")).where("at is not null").groupBy("at").count()
-    heavy = [row["at"] for row in counted.where(F.col("count") > policy.hot_rows).select("at").collect()]
-    return {key: _hot(df, key, i, [p for p in heavy if p // places == i], policy) for i, key in enumerate(keys)}
+    heavy = F.collect_list(F.when(F.col("count") > policy.hot_rows, F.col("at")))
+    of_keys = counted.groupBy(F.expr(f"at div {places}").alias("number")).agg(F.sum("count").alias("rows"), heavy.alias("heavy"))
+    found = {row["number"]: (row["heavy"], row["rows"]) for row in of_keys.collect()}
+    return {key: _hot(df, key, i, *found.get(i, ([], 0)), policy) for i, key in enumerate(keys)}
 
 
-def _hot(df: DataFrame, key: str, number: int, heavy: list[int], policy: SkewPolicy) -> HotKeys:
+def _hot(df: DataFrame, key: str, number: int, heavy: list[int], rows_: int, policy: SkewPolicy) -> HotKeys:
     if not heavy:
-        return HotKeys(None, 0, policy)
+        return HotKeys(None, 0, policy, rows_)
     side = df.sparkSession.createDataFrame([(p,) for p in heavy], "at long")
     rows = df.select(F.col(key).alias("key")).where("key is not null").withColumn("at", _place("key", number, places=policy.key_places))
     found = rows.join(F.broadcast(side), "at", "left_semi").groupBy("key").count()
     found = found.where(F.col("count") > policy.hot_rows).select("key")
     first = [row.key for row in found.limit(policy.max_hot_keys + 1).collect()]
     if len(first) <= policy.max_hot_keys:
-        return HotKeys.of(found, "key", first, policy)
+        return HotKeys.of(found, "key", first, policy, rows_)
     found = materialise(found)
-    return HotKeys(found, found.count(), policy)
+    return HotKeys(found, found.count(), policy, rows_)
+
+
+def parts(rows: int | None, policy: SkewPolicy = SkewPolicy()) -> int | None:
+    """Into how many tasks so many rows are dealt; None leaves that to Spark."""
+    number = -(-(rows or 0) // policy.task_rows)
+    return number if number > 1 else None
+
+
+def dealt(df: DataFrame, number: int | None, *columns: str) -> DataFrame:
+    """``df`` dealt by ``columns`` to ``number`` tasks, for the steps keyed by these or more columns.
+
+    Adaptive execution merges the partitions of its own exchanges up to a size in compressed
+    bytes, which repetitive rows outgrow many times once they are sorted in memory.
+    """
+    return df if number is None else df.repartition(number, *columns)
 
 
 def skew_join(

@@ -22,7 +22,7 @@ from limitline.config import VOLUME_TYPE, LimitConfig, SkewPolicy
 from limitline.functions.rules import risk_volume, times, window_column
 from limitline.functions.time import DAY_US, micros
 from limitline.operators.prefix import running_totals
-from limitline.operators.skew import HotKeys, hot_keys, materialise
+from limitline.operators.skew import HotKeys, dealt, hot_keys, materialise, parts
 
 USER = "user_profile_id"
 RECIPIENT = "target_recipient_id"
@@ -78,7 +78,9 @@ def _plain_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int]
     )
 
 
-def _asked_totals(points: DataFrame, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
+def _asked_totals(
+    points: DataFrame, keys: Sequence[str], days: Sequence[int], tasks: int | None
+) -> DataFrame:
     """Running totals ``upto_d`` of ``amount`` at every point, ``d`` days back.
 
     ``points`` has one row per (keys, time). Each point puts its amount at its own time
@@ -92,15 +94,21 @@ def _asked_totals(points: DataFrame, keys: Sequence[str], days: Sequence[int]) -
         f"{TIME_US} - days * {DAY_US}L as at",
         "if(days = 0, amount, 0) as amount",
     )
+    totals = running_totals(asked, keys, ["at"], "amount", VOLUME_TYPE, tasks=tasks)
     return (
-        running_totals(asked, keys, ["at"], "amount", VOLUME_TYPE)
+        dealt(totals, tasks, *keys, TIME_US)
         .groupBy(*keys, TIME_US)
         .agg(*(F.expr(f"max(if(days = {d}, total, null)) as upto_{d}") for d in offsets))
     )
 
 
-def _hot_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
-    """Same columns as ``_plain_volumes``, one row per distinct payment shape."""
+def _hot_volumes(
+    payments: DataFrame, keys: Sequence[str], days: Sequence[int], tasks: int | None
+) -> DataFrame:
+    """Same columns as ``_plain_volumes``, one row per distinct payment shape.
+
+    ``tasks`` is for the totals asked for, of which each shape has one per window and its own.
+    """
     shapes = materialise(
         payments.groupBy(USER, RECIPIENT, TIME, *keys)
         .agg(F.expr(f"{_total(f'sum(coalesce({AMOUNT}, 0))')} as amount"), F.expr("count(*) as copies"))
@@ -109,11 +117,11 @@ def _hot_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int])
 
     def volumes(by: Sequence[str], lifetime: str, window: str, ties: str) -> DataFrame:
         at = (
-            shapes.dropna(subset=list(by))
+            dealt(shapes.dropna(subset=list(by)), tasks, *by, TIME_US)
             .groupBy(*by, TIME_US)
             .agg(F.expr(f"{_total('sum(amount)')} as amount"), F.expr(f"sum(copies) as {ties}"))
         )
-        totals = _asked_totals(at, by, days)
+        totals = _asked_totals(at, by, days, tasks)
         return totals.join(at.drop("amount"), [*by, TIME_US]).selectExpr(
             *by, TIME_US, ties, *_totals(lambda d: f"upto_{d}", days, lifetime, window)
         )
@@ -141,17 +149,22 @@ def base_volumes(
     recipient, time). Same-recipient volumes are 0 where the recipient is unknown: a
     NULL recipient is never the same as another. ``hot`` lists the hot customers; None
     looks for them in ``payments``. With hot customers ``payments`` is read twice, so
-    it should be a stored table, and their collapsed payments are written here.
+    it should be a stored table, and their collapsed payments are written here. Payments
+    whose number is known from that search are dealt to tasks of ``policy.task_rows`` each.
     """
     if hot is None:
         hot = hot_keys(payments, USER, policy=policy)[USER]
     elif not isinstance(hot, HotKeys):
         hot = HotKeys.of(payments, USER, hot, policy)
+    tasks = parts(hot.rows, policy)
     if hot:
         cold_rows, hot_rows = hot.split(payments, USER)
-        volumes = _plain_volumes(cold_rows, keys, days).unionByName(_hot_volumes(hot_rows, keys, days))
+        asked = parts((hot.rows or 0) * (1 + len(days)), policy)
+        volumes = _plain_volumes(dealt(cold_rows, tasks, USER), keys, days)
+        # What follows is keyed by customer and time; a hot customer alone is too much for a task.
+        volumes = dealt(volumes.unionByName(_hot_volumes(hot_rows, keys, days, asked)), tasks, USER, TIME)
     else:
-        volumes = _plain_volumes(payments, keys, days)
+        volumes = _plain_volumes(dealt(payments, tasks, USER), keys, days)
     linked = ["linked_lifetime", *(f"linked_{d}" for d in days)]
     return volumes.selectExpr(
         USER, RECIPIENT, TIME, *keys, "amount", "copies", "user_ties", "recipient_ties",

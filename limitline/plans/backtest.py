@@ -53,6 +53,7 @@ class Backtest:
         """Store the payments in buckets by customer: no later step exchanges them again."""
         keys, order = [volumes.USER], [volumes.TIME]
         self.payments = bucketed_table(self.payments, name, keys, order, buckets, path)
+        self.hot = {key: found.uncounted() for key, found in self.hot.items()}
 
     def single_payment_hit(self) -> DataFrame:
         return limits.single_payment_hit(self.payments, self.config)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from limitline.config import BUSINESS_CLASS
+from limitline.operators.skew import dealt, parts
 from limitline.sources.tables import Sources
 
 PERSONAL_CLASS = BUSINESS_CLASS.replace("Business", "Personal")
@@ -219,6 +220,7 @@ def tied_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments with many ties: one per order line, at the date of the order."""
     lines = read_star(spark, sf_dir, "lineitem")
     orders = read_star(spark, sf_dir, "orders")
+    lines = dealt(lines, parts(lines.count()), "l_orderkey")
     return lines.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").selectExpr(
         "o_custkey as user_profile_id",
         "l_orderkey as request_id",

@@ -6,6 +6,7 @@ from brute import self_join, spark_rows
 from conftest import payment, rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from limitline.config import SkewPolicy
 from limitline.operators import volumes as v
@@ -138,6 +139,20 @@ def test_hot_customers_are_found_and_computed_alike(payments):
         assert spark_rows(build(df, policy=small)) == spark_rows(build(df)), form
 
 
+@pytest.mark.parametrize("hot_rows", [10**6, 20], ids=["plain", "hot"])
+@pytest.mark.parametrize("form", FORMS)
+def test_tasks_get_a_bounded_number_of_payments(spark, payments, form, hot_rows):
+    """Whatever adaptive execution merges, the payments are dealt to as many tasks as they need."""
+    start = datetime(2020, 1, 1)
+    rows = [payment(i % 90, start + timedelta(hours=i % 97), i % 3 or None, "LOW", i + 1) for i in range(900)]
+    rows += [payment(900, start + timedelta(hours=i), 1, "HIGH", i) for i in range(60)]
+    df = payments(rows)
+    got = FORMS[form](df, policy=SkewPolicy(hot_rows=hot_rows, task_rows=30))
+    per_task = got.groupBy(F.spark_partition_id()).count()
+    assert per_task.count() > 20 and per_task.agg(F.max("count")).first()[0] < 240
+    assert spark_rows(got) == spark_rows(FORMS[form](df, hot=[]))
+
+
 def test_volumes_grow_with_the_window(payments, spark, sf_dir):
     from limitline.sources.star_schema import tied_payments
 
