@@ -12,8 +12,9 @@ meets only the hub of its largest bucket, which joins most of a large class. Aft
 the links found join classes. Texts of one class need no further comparison, so a bucket stays
 only while it holds several classes, without the hubs it has had; its next hubs come from
 different classes. Texts are read only for pairs whose sketches, four bits of each register,
-differ in few enough registers. A round compares no more pairs than there are places in
-buckets times hubs of a bucket.
+differ in few enough registers. Later a text meets several hubs of each of its buckets, but of
+those with more classes than hubs, as a template makes them, it takes its largest alone: the
+hubs cannot settle these, and the others bring it beside ever more texts of the template.
 
 Hubs alone do not settle a bucket. What is left of buckets with several classes after a few
 rounds, or after one that joins none, goes an exact way: the runs of each text are ordered
@@ -45,7 +46,7 @@ BANDS, ROWS = 20, 5
 #: Hubs of a bucket from the second round on, each of another class; few texts are left by then.
 LATER_HUBS = 8
 #: Rounds with hubs at most; what is left then is compared by rare runs.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Deviations above the mean of differing registers at the threshold up to which a pair is
 #: read: a pair at similarity 0.8 is left out with probability 0.00002.
 DEVIATIONS = 4.4
@@ -319,7 +320,9 @@ def near_groups(
     for n_hubs in [1, *[LATER_HUBS] * (HUB_ROUNDS - 1)]:
         first = n_hubs == 1
         hubs = stored(_hubs(left, n_hubs), "hubs")
-        beside = _beside(_largest_places(left) if first else left, hubs, words_of_sketch, differing)
+        crowded = None if first else stored(_crowded(left, n_hubs), "crowded")
+        places = _largest_places(left) if first else _later_places(left, crowded)
+        beside = _beside(places, hubs, words_of_sketch, differing)
         found = stored(_links(beside, needed, similarity), "links")
         if not found.limit(1).count():
             if first:
@@ -327,9 +330,10 @@ def near_groups(
             break
         roots = components(found).select(F.col("node").alias("class"), "root")
         classes = stored(_joined(classes, roots), "classes")
-        # A hub that met all of its bucket need not again.
-        met = hubs.select("bucket", F.col("hub").alias("node"))
-        rest = left if first else left.join(met, ["bucket", "node"], "left_anti")
+        rest = left
+        if not first:  # a hub that met all of its bucket need not again
+            met = hubs.join(crowded, "bucket", "left_anti").select("bucket", F.col("hub").alias("node"))
+            rest = left.join(met, ["bucket", "node"], "left_anti")
         rest = stored(_joined(rest, roots), "places")
         several = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
         left = stored(rest.join(several.where("low < high").select("bucket"), "bucket", "left_semi"), "buckets")
@@ -367,6 +371,17 @@ def _largest_places(left: DataFrame) -> DataFrame:
     return left.groupBy("node").agg(place).select("place.bucket", "node", "place.class", "place.sketch")
 
 
+def _crowded(left: DataFrame, n: int) -> DataFrame:
+    """The buckets that hold more than ``n`` classes."""
+    return left.groupBy("bucket").agg(F.count_distinct("class").alias("classes")).where(F.col("classes") > n).select("bucket")
+
+
+def _later_places(left: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Each text in all of its buckets that are not crowded, and in the largest of those that are."""
+    settled = left.join(crowded, "bucket", "left_anti").select("bucket", "node", "class", "sketch")
+    return settled.unionByName(_largest_places(left.join(crowded, "bucket", "left_semi")))
+
+
 def _beside(left: DataFrame, hubs: DataFrame, words_of_sketch: int, differing: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of a text and a hub of its bucket of another class, with their classes.
 

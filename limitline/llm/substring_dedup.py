@@ -399,15 +399,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     found = stored(rows.mapInArrow(_seed_rows, "seed long, doc_id long, pos int"), "seeds")
-    first = F.min(F.struct("doc_id", F.col("pos").alias("other"))).alias("first")
-    shared = found.groupBy("seed").agg(first, F.max("doc_id").alias("last_id")).where("first.doc_id < last_id")
-    shared = shared.select("seed", F.col("first.doc_id").alias("first_id"), "first.other")
+    first = F.min("doc_id").alias("first_id")
+    shared = found.groupBy("seed").agg(first, F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    # Most seeds are of one document: all are exchanged for two numbers, then once to leave those
+    # out, and their places go with the few that are left. What is joined is stored, so both
+    # sides are exchanged and Spark can split a frequent seed.
+    shared = found.join(stored(shared.select("seed", "first_id"), "first-holders"), "seed")
     shared = stored(shared, "shared-seeds")
+    held = shared.where("doc_id = first_id").groupBy("seed").agg(F.min("pos").alias("other"))
+    held = stored(held, "first-places")
     kind = F.col("seed").bitwiseAND(F.lit((1 << KIND_BITS) - 1))
 
     def passages(wanted, enough, spans: DataFrame | None = None) -> DataFrame:
-        # Both stored, so both sides of the joins are exchanged and Spark can split a frequent seed.
-        matches = found.where(wanted).join(shared.where(wanted), "seed").where("doc_id <> first_id")
+        matches = shared.where(wanted).where("doc_id <> first_id").join(held.where(wanted), "seed")
         matches = matches.withColumn("kind", kind.cast("int"))
         if spans is not None:
             inside = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (pair_end <= s["end"]))

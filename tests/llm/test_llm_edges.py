@@ -346,6 +346,16 @@ def test_fuzzy_passages_of_frequent_lines(spark, every):
     assert sum((1000 + n, 2000 + n) in pairs for n in range(100)) >= {45: 90, 30: 90, 20: 85}[every]
 
 
+def test_passages_read_no_seed_of_one_document_alone(spark):
+    """The seeds of all documents are exchanged while they are counted, not for each kind of match."""
+    same = " ".join(f"s{i}" for i in range(60))
+    texts = [f"{same} " + " ".join(f"d{n}w{i}" for i in range(50)) for n in range(3)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r.doc_id, r.first_id, r.start, r.n_words) for r in found.collect()} == {(1, 0, 0, 60), (2, 0, 0, 60)}
+    files = found.inputFiles()
+    assert files and not any("limitline-seeds-" in f for f in files)
+
+
 def test_passages_held_twice(spark):
     fresh = (f"f{i}" for i in range(10**6))
     some = lambda n: [next(fresh) for _ in range(n)]

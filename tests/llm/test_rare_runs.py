@@ -73,6 +73,35 @@ def test_a_text_meets_one_hub_in_the_first_round(spark):
     assert pairs.count() == 29
 
 
+def test_a_text_of_a_template_meets_few_hubs_a_round(spark, monkeypatch):
+    """Texts just below the threshold share many buckets, each with hubs of its own."""
+    template = [f"t{i}" for i in range(177)]
+    texts = [" ".join(template + [f"own{i}x{j}" for j in range(23)]) for i in range(300)]
+    met, beside = [], near_dedup._beside
+
+    def counted(*args):
+        pairs = beside(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_beside", counted)
+    found = near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert found.where("doc_id <> class_id").count() == 0
+    assert len(met) > 1 and max(met) <= near_dedup.LATER_HUBS * len(texts)
+
+
+def test_crowded_buckets_and_others(spark):
+    """Bucket 1 and 2 hold 30 classes, bucket 3 and 4 hold two; every text is in 1, 2 and one of the others."""
+    rows = [(b, 30, node, 9, node) for node in range(30) for b in (1, 2)]
+    rows += [(3 + (node > 1), 2, node, 9, node) for node in range(4)]
+    left = spark.createDataFrame(rows, "bucket long, size long, node long, degree long, class long")
+    left = left.withColumn("sketch", F.array(F.lit(0).cast("long")))
+    crowded = near_dedup._crowded(left, 8)
+    assert {r.bucket for r in crowded.collect()} == {1, 2}
+    places = {(r.bucket, r.node) for r in near_dedup._later_places(left, crowded).collect()}
+    assert places == {(2, n) for n in range(30)} | {(3, 0), (3, 1), (4, 2), (4, 3)}
+
+
 def test_bound_on_random_weights():
     """The bound behind the asking rule: common weight against both totals."""
     rng = np.random.default_rng(3)
