@@ -12,7 +12,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -96,8 +96,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._entry: dict[int, int] = {}
-        self._piece: list[bytes] = []
+        self._entry: dict[bytes, int] = {}
         self._ids = np.zeros(1 << 16, np.uint32)
         self._first = [0]
         self._held = 0
@@ -111,36 +110,29 @@ class PieceEncoder:
             grown[: len(self._ids)] = self._ids
             self._ids = grown
         self._ids[at:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - at)
-        self._piece += pieces
         self._held += sum(map(len, pieces))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self._piece) > KEPT_PIECES or self._held > KEPT_PIECES * KEPT_BYTES:
+        if len(self._first) > KEPT_PIECES or self._held > KEPT_PIECES * KEPT_BYTES:
             self._clear()
         raw = data.tobytes()
         hashes = span_hashes(data, starts, ends)
-        distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        entries = np.empty(len(distinct), np.int64)
-        fresh: list[bytes] = []
-        known, base = len(self._piece), self._piece
-        for i, (key, s, e) in enumerate(
-            zip(distinct.tolist(), starts[sample].tolist(), ends[sample].tolist(), strict=True)
-        ):
-            piece = raw[s:e]
-            entry = self._entry.get(key)
-            if entry is None or base[entry] != piece:  # unseen, or another piece of this hash
-                entry = known + len(fresh)
-                fresh.append(piece)
-                if e - s <= KEPT_BYTES and key not in self._entry:
-                    self._entry[key] = entry
-            entries[i] = entry
+        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        pieces = [raw[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
+        entries = np.fromiter(map(self._entry.get, pieces, repeat(-1)), np.int64, len(pieces))
+        known = len(self._first) - 1
+        unseen = np.flatnonzero(entries < 0)
+        entries[unseen] = known + np.arange(len(unseen))
+        fresh = [pieces[i] for i in unseen.tolist()]
+        # Two samples are never equal, as equal pieces have one hash.
+        self._entry.update((piece, known + i) for i, piece in enumerate(fresh) if len(piece) <= KEPT_BYTES)
         entry = entries[which]
         wrong = self._unlike(data, starts, ends, starts[sample][which], ends[sample][which])
-        for i in wrong.tolist():  # shares the hash of its sample, not the bytes
-            entry[i] = known + len(fresh)
+        for n, i in enumerate(wrong.tolist(), known + len(fresh)):  # shares the hash of its sample, not the bytes
+            entry[i] = n
             fresh.append(raw[starts[i] : ends[i]])
         self._add(fresh)
         firsts = np.asarray(self._first, np.int64)
@@ -215,12 +207,17 @@ def library_encoder(path: str) -> PieceEncoder:
     stand_in = _printable_bytes()
     split_of = {chr(i): "".join(stand_in[b] for b in chr(i).encode()) for i in range(256)}
     table = str.maketrans(split_of)
-    merge = tokenizer.model.tokenize
+    merge, space = tokenizer.model.tokenize, split_of[" "]
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
         rest, at = [], []
         for piece in pieces:
+            letters = piece[1:] if piece[0] == 32 else piece
+            if letters.isalpha():  # of ASCII: each stands for itself
+                text = letters.decode().lower() if lower else (space if letters is not piece else "") + letters.decode()
+                out.append([t.id for t in merge(text)])
+                continue
             text = piece.decode()
             if plain := _PLAIN.fullmatch(text):
                 text = plain[2].lower() if lower else text

@@ -19,6 +19,7 @@ from limitline.llm import (
     language_id,
     near_dedup,
     packing,
+    pieces,
     substring_dedup,
     textblocks,
     token_files,
@@ -601,6 +602,22 @@ def test_pipeline_stages(spark, docs, none):
     assert frame.count() == 0
 
 
+def test_pieces_are_encoded_once_each(monkeypatch):
+    """Pieces are known by their bytes: those that share a hash do not drive each other out."""
+    monkeypatch.setattr(pieces, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    asked = []
+
+    def encode(fresh):
+        asked.extend(fresh)
+        return [list(x) for x in fresh]
+
+    encoder = pieces.PieceEncoder(encode)
+    for text in (b"one", b"two", b"three") * 3:
+        ids, counts = encoder(np.frombuffer(text, np.uint8), np.asarray([0]), np.asarray([len(text)]))
+        assert bytes(ids.astype(np.uint8)) == text and counts.tolist() == [len(text)]
+    assert asked == [b"one", b"two", b"three"]
+
+
 @pytest.mark.parametrize("name,split", [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "words")])
 def test_added_tokens_are_the_librarys(name, split):
     """Strings of added tokens, in any case and place, beside texts without."""
