@@ -20,7 +20,9 @@ Hubs alone do not settle a bucket. What is left of buckets with several classes
 rounds, or after one that joins none, goes an exact way: the runs of each text are ordered
 from rare to frequent, and two texts of different classes are compared if they share a run
 beyond which either has still enough to be similar. Texts on one template are not brought
-together by what all of them have in common.
+together by what all of them have in common. These texts have wide sketches, which tell pairs
+just below the threshold from similar ones; of two classes the pair whose wide sketches differ
+least is read first, and all others only if that round leaves the classes apart.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ HUB_ROUNDS = 2
 #: Deviations above the mean of differing registers at the threshold up to which a pair is
 #: read: a pair at similarity 0.8 is left out with probability 0.00002.
 DEVIATIONS = 4.4
+#: Registers of the sketches of texts that hubs leave: at most 2048, as many as a draw can tell apart.
+WIDE = 1024
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,31 +220,38 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-#: Upper ends of the levels of repetition: the part of a text's weight that repeats a run.
-REPEATED = (0.0, 0.01, 0.02, 0.05)
+def _wide_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sketch of ``WIDE`` registers of each text; few texts at a time, as registers take memory."""
+    for batch in batches:
+        for block in blocks(batch, "text"):
+            for at in range(0, len(block), 256):
+                part = block.slice(at, 256)
+                drawn = sketches(signatures(*weighted_shingles(part.column("text")), WIDE))
+                bounds = np.arange(len(drawn) + 1, dtype=np.int32) * drawn.shape[1]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "node": part.column("doc_id"),
+                        "sha": part.column("sha"),
+                        "wide": pa.ListArray.from_arrays(bounds, drawn.reshape(-1).view(np.int64)),
+                    }
+                )
 
 
-def _alike(left: DataFrame, texts: DataFrame, similarity: float, words_of_sketch: int, differing: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts of different classes in ``left`` that can be similar enough.
+#: Upper ends of the levels of repetition: the part of a text's weight that repeats a run.
+REPEATED = (0.0, 0.01, 0.02, 0.05)
 
-    Runs stand in one order for all texts, rare ones first. From a run on, let ``rest`` be a
-    text's weight, and ``again`` the part of it beyond one for each run. All that two texts
-    share stands from their first common run on. With totals A, B the similarity is at most
 
-    * the lesser of rest_a / A and rest_b / B, and
-    * the lesser of rest_a + again_b and rest_b + again_a, over A + B - the lesser rest: a
-      common run of weights v, w adds at most max(v, w) over that denominator.
+def _rare_runs(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The runs of the texts in ``left`` at which two of them can begin to be alike.
 
-    Of two texts that repeat little the one with less weight asks. Beside a partner that
-    repeats up to a part e of its weight, which then has no more than A / (similarity - e),
-    only runs with rest (1 + similarity) + e A / (similarity - e) >= 2 similarity A can be
-    the first common one. Texts on one template, which share too little, are not brought
-    together by it, whether they repeat a run or not. No pair at ``similarity`` fails.
+    One row per text and run: its ``rest``, ``again`` and level of repetition as told in
+    ``_sharing``, with the text's class and sketches.
     """
     nodes = stored(left.select("node", "class", "sketch").distinct(), "nodes")
     read = texts.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     read = read.withColumn("sha", F.xxhash64("text"))
     schema = "node long, sha long, run long, weight long, total long, kinds long"
+    wide = stored(read.mapInArrow(_wide_sketches, "node long, sha long, wide array<long>"), "wide-sketches")
     runs = stored(read.mapInArrow(_run_rows, schema), "runs")
     often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Runs of one text alone come first in the order and meet no other.
@@ -250,8 +261,35 @@ def _alike(left: DataFrame, texts: DataFrame, similarity: float, words_of_sketch
     common = common.where(F.col("rest") >= similarity * F.col("total") - 1e-6)
     repeated = (F.col("total") - F.col("kinds")) / F.col("total")
     level = sum((F.when(repeated > e, 1).otherwise(0) for e in REPEATED), F.lit(0))
-    rare = common.select("node", "run", "rest", (F.col("rest") - F.col("from_here")).alias("again"), "total", level.alias("level"))
-    rare = stored(rare.join(nodes, "node"), "rare-runs")
+    rare = common.select("node", "sha", "run", "rest", (F.col("rest") - F.col("from_here")).alias("again"), "total", level.alias("level"))
+    return stored(rare.join(nodes, "node").join(wide, ["node", "sha"]).drop("sha"), "rare-runs")
+
+
+def _alike(left: DataFrame, texts: DataFrame, similarity: float, words_of_sketch: int, differing: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts of different classes in ``left`` that can be similar enough."""
+    return _sharing(_rare_runs(left, texts, similarity), similarity, words_of_sketch, differing)
+
+
+def _sharing(rare: DataFrame, similarity: float, words_of_sketch: int, differing: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts of different classes in ``rare`` that can be similar enough.
+
+    ``unlike`` tells in how many registers their wide sketches differ.
+
+    Runs stand in one order for all texts, rare ones first. From a run on, let ``rest`` be a
+    text's weight, and ``again`` the part of it beyond one for each run. All that two texts
+    share stands from their first common run on. With totals A, B the similarity is at most
+
+    * the lesser of rest_a / A and rest_b / B, and
+    * the lesser of rest_a + again_b and rest_b + again_a, over A + B - the lesser rest: a
+      common run of weights v, w adds at most max(v, w) over that denominator.
+
+    Of two texts that repeat little the one with less weight asks. Beside a partner that
+    repeats up to a part e of its weight, which then has no more than A / (similarity - e),
+    only runs with rest (1 + similarity) + e A / (similarity - e) >= 2 similarity A can be
+    the first common one. Texts on one template, which share too little, are not brought
+    together by it, whether they repeat a run or not. No pair at ``similarity`` fails
+    this; sketches leave one out as seldom as narrow ones do.
+    """
     # The levels of partners beside which a run can be the first common one.
     many = len(REPEATED)
     slack = [e / (similarity - e) for e in REPEATED if e < similarity]
@@ -262,15 +300,24 @@ def _alike(left: DataFrame, texts: DataFrame, similarity: float, words_of_sketch
     ]
     beside += [F.lit(i) for i in range(len(slack), many)] + [F.lit(many)]
     one = rare.withColumn("level_2", F.explode(F.array_compact(F.array(*beside))))
-    other = rare.select("run", *(F.col(c).alias(f"{c}_2") for c in ("node", "rest", "again", "total", "level", "class", "sketch")))
+    other = rare.select("run", *(F.col(c).alias(f"{c}_2") for c in ("node", "rest", "again", "total", "level", "class", "sketch", "wide")))
     little, little_2 = F.col("level") < many, F.col("level_2") < many
     smaller = F.struct("total", "node") < F.struct("total_2", "node_2")
     asks = F.when(little & little_2, smaller).when(little, True).when(little_2, False).otherwise(F.col("node") < F.col("node_2"))
     shared = F.least(F.col("rest") + F.col("again_2"), F.col("rest_2") + F.col("again"))
     close = shared >= similarity * (F.col("total") + F.col("total_2") - F.least("rest", "rest_2")) - 1e-6
     both = one.join(other, ["run", "level_2"]).where((F.col("class") != F.col("class_2")) & asks & close)
-    both = both.where(_unlike("sketch", "sketch_2", words_of_sketch) <= differing)
-    return _ordered(both, "node", "class", "node_2", "class_2")
+    # Wide sketches are compared only where narrow ones are alike.
+    narrow = _unlike("sketch", "sketch_2", words_of_sketch) <= differing
+    both = both.where(F.when(narrow, _unlike_wide("wide", "wide_2") <= most_differing(WIDE, similarity)).otherwise(False))
+    both = both.withColumn("unlike", _unlike_wide("wide", "wide_2"))
+    return _ordered(both, "node", "class", "node_2", "class_2", "unlike")
+
+
+def _most_alike(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of two classes the one whose wide sketches differ least."""
+    least = F.min(F.struct("unlike", "a", "b")).alias("least")
+    return pairs.groupBy("class_a", "class_b").agg(least).select("least.a", "least.b", "class_a", "class_b")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -338,11 +385,16 @@ def near_groups(
         several = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
         left = stored(rest.join(several.where("low < high").select("bucket"), "bucket", "left_semi"), "buckets")
     if left.limit(1).count():
-        pairs = _alike(left, needed, similarity, words_of_sketch, differing)
-        found = stored(_links(pairs, needed, similarity), "links")
-        if found.limit(1).count():
+        rare = _rare_runs(left, needed, similarity)
+        for every in (False, True):
+            pairs = _sharing(rare, similarity, words_of_sketch, differing)
+            found = stored(_links(pairs.drop("unlike") if every else _most_alike(pairs), needed, similarity), "links")
+            if not found.limit(1).count():
+                continue
             roots = components(found).select(F.col("node").alias("class"), "root")
             classes = stored(_joined(classes, roots), "classes")
+            if not every:
+                rare = stored(_joined(rare, roots), "rare-runs")
     classed = texts.select("sha", "node").join(classes, "node", "left")
     classed = classed.select("sha", F.coalesce("class", "node").alias("class_id"))
     return signed.select("doc_id", "sha").join(classed.select("sha", "class_id"), "sha", "left").select(
@@ -398,25 +450,36 @@ def _beside(left: DataFrame, hubs: DataFrame, words_of_sketch: int, differing: i
     return _ordered(both, "node", "class", "hub", "hub_class")
 
 
+def _differing(x: Column, y: Column) -> Column:
+    """Registers in which two numbers of sixteen registers differ."""
+    bits = x.bitwiseXOR(y)
+    bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+    bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+    return F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def _unlike(one: str, other: str, words_of_sketch: int) -> Column:
     """Registers in which two sketches differ."""
     unlike = F.lit(0)
     for i in range(words_of_sketch):
-        bits = F.col(one)[i].bitwiseXOR(F.col(other)[i])
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
-        unlike = unlike + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+        unlike = unlike + _differing(F.col(one)[i], F.col(other)[i])
     return unlike
 
 
-def _ordered(both: DataFrame, one: str, its_class: str, other: str, others_class: str) -> DataFrame:
-    """Distinct a, b, class_a, class_b of two texts and their classes, a < b."""
+def _unlike_wide(one: str, other: str) -> Column:
+    """Registers in which two wide sketches differ; a loop over their numbers, too many for one expression."""
+    return F.aggregate(F.zip_with(one, other, _differing), F.lit(0), lambda total, n: total + n)
+
+
+def _ordered(both: DataFrame, one: str, its_class: str, other: str, others_class: str, *more: str) -> DataFrame:
+    """Distinct a, b, class_a, class_b of two texts and their classes, a < b, and the columns ``more``."""
     first = F.col(one) < F.col(other)
     return both.select(
         F.least(one, other).alias("a"),
         F.greatest(one, other).alias("b"),
         F.when(first, F.col(its_class)).otherwise(F.col(others_class)).alias("class_a"),
         F.when(first, F.col(others_class)).otherwise(F.col(its_class)).alias("class_b"),
+        *more,
     ).distinct()
 
 

@@ -90,6 +90,38 @@ def test_a_text_of_a_template_meets_few_hubs_a_round(spark, monkeypatch):
     assert len(met) > 1 and max(met) <= near_dedup.LATER_HUBS * len(texts)
 
 
+def test_texts_read_grow_with_a_family(spark, monkeypatch):
+    """Copies of one text with a few words changed, most pairs just below the threshold: classes settle what few pairs tell."""
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for k in range(rng.randrange(1, 7)):
+            words[rng.randrange(len(words))] = f"new{i}x{k}"
+        texts.append(" ".join(words))
+    read, links = [], near_dedup._links
+
+    def counted(pairs, *args):
+        read.append(pairs.count())
+        return links(pairs, *args)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_dedup.near_groups(docs).collect()}
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in similar(texts):
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    assert found == {i: top(i) for i in range(len(texts))}
+    assert len(read) == 4 and sum(read[2:]) <= 2 * len(texts)  # after the rounds with hubs
+
+
 def test_crowded_buckets_and_others(spark):
     """Bucket 1 and 2 hold 30 classes, bucket 3 and 4 hold two; every text is in 1, 2 and one of the others."""
     rows = [(b, 30, node, 9, node) for node in range(30) for b in (1, 2)]
