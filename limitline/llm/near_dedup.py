@@ -21,8 +21,10 @@ rounds, or after one that joins none, goes an exact way: the runs of each text a
 from rare to frequent, and two texts of different classes are compared if they share a run
 beyond which either has still enough to be similar. Texts on one template are not brought
 together by what all of them have in common. These texts have wide sketches, which tell pairs
-just below the threshold from similar ones; of two classes the pair whose wide sketches differ
-least is read first, and all others only if that round leaves the classes apart.
+just below the threshold from similar ones. Of large families each class first sends for each run
+the texts that have least of their weight on rarer ones, which differ least from the others, one
+and then a few of them, and of two classes the pair whose wide sketches differ least is read.
+All texts, then all pairs follow only for classes that are still apart.
 """
 
 from __future__ import annotations
@@ -49,6 +51,10 @@ BANDS, ROWS = 20, 5
 LATER_HUBS = 8
 #: Rounds with hubs at most; what is left then is compared by rare runs.
 HUB_ROUNDS = 2
+#: Texts of a class that meet others at a run in the first rounds of the exact way; all do in the last ones.
+FOREMOST = (1, 8)
+#: Texts with one run up to which the last rounds are enough.
+FEW = 500
 #: Deviations above the mean of differing registers at the threshold up to which a pair is
 #: read: a pair at similarity 0.8 is left out with probability 0.00002.
 DEVIATIONS = 4.4
@@ -314,6 +320,15 @@ def _sharing(rare: DataFrame, similarity: float, words_of_sketch: int, differing
     return _ordered(both, "node", "class", "node_2", "class_2", "unlike")
 
 
+def _foremost(rare: DataFrame, n: int) -> DataFrame:
+    """Of the texts of a class and level that have a run the ``n`` with the largest part of their weight from there on.
+
+    What a text has by itself or with few others comes before, so these are near to many.
+    """
+    order = Window.partitionBy("run", "level", "class").orderBy(F.desc(F.col("rest") / F.col("total")), "node")
+    return rare.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth")
+
+
 def _most_alike(pairs: DataFrame) -> DataFrame:
     """Of the pairs of two classes the one whose wide sketches differ least."""
     least = F.min(F.struct("unlike", "a", "b")).alias("least")
@@ -386,8 +401,9 @@ def near_groups(
         left = stored(rest.join(several.where("low < high").select("bucket"), "bucket", "left_semi"), "buckets")
     if left.limit(1).count():
         rare = _rare_runs(left, needed, similarity)
-        for every in (False, True):
-            pairs = _sharing(rare, similarity, words_of_sketch, differing)
+        crowded = rare.groupBy("run").count().where(F.col("count") > FEW).limit(1).count()
+        for n, every in (*((n, False) for n in FOREMOST if crowded), (None, False), (None, True)):
+            pairs = _sharing(_foremost(rare, n) if n else rare, similarity, words_of_sketch, differing)
             found = stored(_links(pairs.drop("unlike") if every else _most_alike(pairs), needed, similarity), "links")
             if not found.limit(1).count():
                 continue

@@ -122,6 +122,37 @@ def test_texts_read_grow_with_a_family(spark, monkeypatch):
     assert len(read) == 4 and sum(read[2:]) <= 2 * len(texts)  # after the rounds with hubs
 
 
+def test_pairs_met_grow_with_a_large_family(spark, monkeypatch):
+    """As above with more texts: those near to many settle most classes before all texts meet."""
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(1200):
+        words = list(base)
+        for k in range(rng.randrange(1, 7)):
+            words[rng.randrange(len(words))] = f"new{i}x{k}"
+        texts.append(" ".join(words))
+    met, sharing = [], near_dedup._sharing
+
+    def counted(*args):
+        pairs = sharing(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_sharing", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_dedup.near_groups(docs).collect()}
+    runs = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in map(str.split, texts)]
+    ours = sorted({tuple(base[i : i + 5]) for i in range(len(base) - 4)})  # other runs are of one text alone
+    held = np.array([[r in own for r in ours] for own in runs]).astype(int)
+    both, size = held @ held.T, np.array([len(own) for own in runs])
+    near = both >= near_dedup.SIMILARITY * (size[:, None] + size - both) - 1e-9
+    want = np.arange(len(texts))
+    while (least := np.where(near, want, len(texts)).min(1)).tolist() != want.tolist():
+        want = least
+    assert found == dict(enumerate(want.tolist()))
+    assert sum(met) <= 5 * len(texts)
+
+
 def test_crowded_buckets_and_others(spark):
     """Bucket 1 and 2 hold 30 classes, bucket 3 and 4 hold two; every text is in 1, 2 and one of the others."""
     rows = [(b, 30, node, 9, node) for node in range(30) for b in (1, 2)]
