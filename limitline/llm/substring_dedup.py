@@ -72,7 +72,7 @@ def _sampled(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and word position of each run of ``size`` words taken."""
     found, at = shingle_hashes(hashes, firsts, size)
-    owner = np.searchsorted(firsts, at, side="right") - 1
+    owner = np.repeat(np.arange(len(firsts) - 1), np.maximum(np.diff(firsts) - size + 1, 0))
     top = np.uint64(2**64 - 1)
     # Texts apart by a window, so that no window sees two; windows at a text's end are shorter.
     place = np.arange(len(found)) + owner * window

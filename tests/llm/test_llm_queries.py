@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -209,3 +211,30 @@ def test_run_equals_its_stages(spark, sf_dir):
     first, second = (corpus_pipeline.run(spark, sf_dir).toPandas() for _ in range(2))
     key = ["doc_id", "piece", "length", "ids_crc32"]
     assert sorted(map(tuple, first[key].to_numpy())) == sorted(map(tuple, second[key].to_numpy()))
+
+
+def test_hashes_of_spans_and_runs():
+    """As defined, over borders of the rows that totals are taken in, and with little memory a byte."""
+    multiplier, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    text = " ".join("w" * n for n in (1, 5, 4090, 4096, 9000, 3)) + " é ü"
+    data, offsets = textblocks.flat(pa.array([text, "", "a b " * 50]))
+    starts, ends, firsts = textblocks.words(data, offsets)
+    want = [
+        sum((x + 1) * pow(multiplier, k, 1 << 64) for k, x in enumerate(data[s:e].tolist())) & mask ^ (e - s) << 48
+        for s, e in zip(starts.tolist(), ends.tolist())
+    ]
+    hashes = textblocks.span_hashes(data, starts, ends)
+    assert (hashes == textblocks.mixed(np.array(want, np.uint64))).all()
+    for size in (1, 5, 40, 41):
+        runs, at = textblocks.shingle_hashes(hashes, firsts, size)
+        inside = [a for x, y in zip(firsts.tolist(), firsts[1:].tolist()) for a in range(x, y - size + 1)]
+        assert at.tolist() == inside
+        sums = [sum(h * pow(multiplier, size - 1 - k, 1 << 64) for k, h in enumerate(hashes[a : a + size].tolist())) & mask for a in inside]
+        assert (runs == textblocks.mixed(np.array(sums, np.uint64))).all()
+    data, offsets = textblocks.flat(pa.array(["some words of text " * 50_000]))
+    starts, ends, _ = textblocks.words(data, offsets)
+    tracemalloc.start()
+    textblocks.span_hashes(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 23 * len(data)  # 27 with an index for each byte
