@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -74,28 +75,36 @@ def hot_keys(df: DataFrame, *keys: str, policy: SkewPolicy = SkewPolicy()) -> di
     Two passes. The first counts rows per hash place, for all columns at once: a fixed
     number of counters, summed map-side, whatever the number of keys. A hot key makes its
     place heavy, so the second pass counts only keys of heavy places; without any there is
-    none. There may be any number of hot keys: few stay in the plan, more are stored.
+    none. There may be any number of hot keys: few stay in the plan, more are stored, and
+    where the places allow for more the exact counts are made once and stored at once.
     """
     places = policy.key_places
     at = F.array(*(F.when(F.col(k).isNotNull(), _place(k, i, places)) for i, k in enumerate(keys)))
     counted = df.select(F.explode(at).alias("at")).where("at is not null").groupBy("at").count()
     heavy = F.collect_list(F.when(F.col("count") > policy.hot_rows, F.col("at")))
-    of_keys = counted.groupBy(F.expr(f"at div {places}").alias("number")).agg(F.sum("count").alias("rows"), heavy.alias("heavy"))
-    found = {row["number"]: (row["heavy"], row["rows"]) for row in of_keys.collect()}
-    return {key: _hot(df, key, i, *found.get(i, ([], 0)), policy) for i, key in enumerate(keys)}
-
-
-def _hot(df: DataFrame, key: str, number: int, heavy: list[int], rows_: int, policy: SkewPolicy) -> HotKeys:
+    most = F.expr(f"sum(count div {policy.hot_rows + 1})")
+    of_keys = counted.groupBy(F.expr(f"at div {places}").alias("number")).agg(
+        F.sum("count").alias("rows"), heavy.alias("heavy"), most.alias("most")
+    )
+    found = {row["number"]: (row["heavy"], row["rows"], row["most"]) for row in of_keys.collect()}
+    return {key: _hot(df, key, i, *found.get(i, ([], 0, 0)), policy) for i, key in enumerate(keys)}
+
+
+def _hot(
+    df: DataFrame, key: str, number: int, heavy: list[int], rows_: int, most: int, policy: SkewPolicy
+) -> HotKeys:
+    """The hot values of one column, of which ``most`` is the largest number there can be."""
     if not heavy:
         return HotKeys(None, 0, policy, rows_)
     side = df.sparkSession.createDataFrame([(p,) for p in heavy], "at long")
     rows = df.select(F.col(key).alias("key")).where("key is not null").withColumn("at", _place("key", number, places=policy.key_places))
     found = rows.join(F.broadcast(side), "at", "left_semi").groupBy("key").count()
     found = found.where(F.col("count") > policy.hot_rows).select("key")
+    if most > policy.max_hot_keys:
+        found = materialise(found)
     first = [row.key for row in found.limit(policy.max_hot_keys + 1).collect()]
     if len(first) <= policy.max_hot_keys:
         return HotKeys.of(found, "key", first, policy, rows_)
-    found = materialise(found)
     return HotKeys(found, found.count(), policy, rows_)
 
 
@@ -171,3 +180,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder: readers take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/limitline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

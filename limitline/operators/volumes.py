@@ -7,13 +7,15 @@ epsilon: what the second total leaves out is exactly what the window keeps.
 
 A customer with very many payments would still be one task. Such hot customers take
 another way to the same totals: equal payments are collapsed before the shuffle, and the
-rest is a distributed prefix sum (``prefix.running_totals``) over pieces that are cut
-at quantiles of (customer, time), so that no piece outgrows a task.
+rest is cut into pieces at quantiles of (customer, time), so that no piece outgrows a task.
+A customer inside one piece has all its totals there, from the same frames; for those that
+go on over several pieces the totals are a distributed prefix sum (``prefix.running_totals``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from limitline.config import VOLUME_TYPE, LimitConfig, SkewPolicy
 from limitline.functions.rules import risk_volume, times, window_column
 from limitline.functions.time import DAY_US, micros
-from limitline.operators.prefix import running_totals
-from limitline.operators.skew import HotKeys, dealt, hot_keys, materialise, parts
+from limitline.operators.prefix import PIECE, running_totals
+from limitline.operators.skew import HotKeys, dealt, hot_keys, parts, stored
 
 USER = "user_profile_id"
 RECIPIENT = "target_recipient_id"
@@ -51,6 +53,17 @@ def _totals(total_at, days: Sequence[int], lifetime: str, window: str) -> list[s
 
 def _plain_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
     """One row per payment; a single exchange on the customer serves all windows."""
+    rows = payments.select(
+        USER, RECIPIENT, TIME, *keys,
+        micros(TIME).alias(TIME_US),
+        F.expr(f"coalesce({AMOUNT}, 0) as amount"),
+        F.expr("1L as copies"),
+    )
+    return _framed_volumes(rows, keys, days)
+
+
+def _framed_volumes(rows: DataFrame, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
+    """Volumes of rows that have ``TIME_US`` and stand for ``copies`` payments of ``amount`` in all."""
 
     def over(by: str, frame: str) -> str:
         return f"over (partition by {by} order by {TIME_US} range between {frame})"
@@ -64,15 +77,10 @@ def _plain_volumes(payments: DataFrame, keys: Sequence[str], days: Sequence[int]
 
     linked = f"{USER}, {RECIPIENT}"
     peers = "current row and current row"
-    rows = payments.select(
-        USER, RECIPIENT, TIME, *keys,
-        micros(TIME).alias(TIME_US),
-        F.expr(f"coalesce({AMOUNT}, 0) as amount"),
-    )
     return rows.selectExpr(
-        USER, RECIPIENT, TIME, *keys, f"{_total('amount')} as amount", "1L as copies",
-        f"count(*) {over(USER, peers)} as user_ties",
-        f"count(*) {over(linked, peers)} as recipient_ties",
+        USER, RECIPIENT, TIME, *keys, f"{_total('amount')} as amount", "copies",
+        f"sum(copies) {over(USER, peers)} as user_ties",
+        f"sum(copies) {over(linked, peers)} as recipient_ties",
         *_totals(running(USER), days, "lifetime", "any"),
         *_totals(running(linked), days, "linked_lifetime", "linked"),
     )
@@ -102,18 +110,34 @@ def _asked_totals(
     )
 
 
-def _hot_volumes(
-    payments: DataFrame, keys: Sequence[str], days: Sequence[int], tasks: int | None
+def _pieces(payments: DataFrame, keys: Sequence[str], tasks: int | None) -> DataFrame:
+    """One row per distinct payment shape, cut at quantiles of (customer, time) and stored."""
+    shapes = (
+        payments.groupBy(USER, RECIPIENT, TIME, *keys)
+        .agg(F.expr(f"{_total(f'sum(coalesce({AMOUNT}, 0))')} as amount"), F.expr("count(*) as copies"))
+        .withColumn(TIME_US, micros(TIME))
+    )
+    cut = shapes.repartitionByRange(*(() if tasks is None else (tasks,)), USER, TIME_US)
+    return stored(cut.withColumn(PIECE, F.spark_partition_id()))
+
+
+def _spanning(pieces: DataFrame, policy: SkewPolicy) -> HotKeys:
+    """The customers with rows in several pieces, or in one that ties have made too large for a task.
+
+    No more than there are cuts, as each divides one customer, and tasks that the others would fill.
+    """
+    of = pieces.groupBy(USER).agg(F.expr(f"min({PIECE}) < max({PIECE}) as divided"), F.expr("count(*) as rows"))
+    found = of.where(F.col("divided") | (F.col("rows") > policy.task_rows)).collect()
+    return HotKeys.of(pieces, USER, [row[USER] for row in found], policy, sum(row["rows"] for row in found))
+
+
+def _spanning_volumes(
+    shapes: DataFrame, keys: Sequence[str], days: Sequence[int], tasks: int | None
 ) -> DataFrame:
     """Same columns as ``_plain_volumes``, one row per distinct payment shape.
 
     ``tasks`` is for the totals asked for, of which each shape has one per window and its own.
     """
-    shapes = materialise(
-        payments.groupBy(USER, RECIPIENT, TIME, *keys)
-        .agg(F.expr(f"{_total(f'sum(coalesce({AMOUNT}, 0))')} as amount"), F.expr("count(*) as copies"))
-        .withColumn(TIME_US, micros(TIME))
-    )
 
     def volumes(by: Sequence[str], lifetime: str, window: str, ties: str) -> DataFrame:
         at = (
@@ -135,6 +159,55 @@ def _hot_volumes(
     )
 
 
+def _hot_volumes(
+    payments: DataFrame, keys: Sequence[str], days: Sequence[int], tasks: int | None, policy: SkewPolicy
+) -> list[DataFrame]:
+    """Volumes of hot customers: of those inside one piece, and of those that go on over several."""
+    pieces = _pieces(payments, keys, tasks)
+    spanning = _spanning(pieces, policy)
+    within, beyond = spanning.split(pieces, USER) if spanning else (pieces, None)
+    found = [_framed_volumes(dealt(within.drop(PIECE), tasks, USER), keys, days)]
+    if beyond is not None:
+        asked = parts(spanning.rows * (1 + len(days)), policy)
+        volumes = _spanning_volumes(stored(beyond.drop(PIECE)), keys, days, asked)
+        # What follows is keyed by customer and time; such a customer alone is too much for a task.
+        found.append(dealt(volumes, parts(spanning.rows, policy), USER, TIME))
+    return found
+
+
+def _volume_tables(
+    payments: DataFrame,
+    keys: Sequence[str],
+    days: Sequence[int],
+    hot: HotKeys | Sequence | None,
+    policy: SkewPolicy,
+) -> list[DataFrame]:
+    """``base_volumes`` in tables without a customer in common, each dealt by customer where it may be."""
+    if hot is None:
+        hot = hot_keys(payments, USER, policy=policy)[USER]
+    elif not isinstance(hot, HotKeys):
+        hot = HotKeys.of(payments, USER, hot, policy)
+    tasks = parts(hot.rows, policy)
+    cold_rows, hot_rows = hot.split(payments, USER) if hot else (payments, None)
+    tables = [_plain_volumes(dealt(cold_rows, tasks, USER), keys, days)]
+    if hot_rows is not None:
+        tables += _hot_volumes(hot_rows, keys, days, tasks, policy)
+    linked = ["linked_lifetime", *(f"linked_{d}" for d in days)]
+    return [
+        volumes.selectExpr(
+            USER, RECIPIENT, TIME, *keys, "amount", "copies", "user_ties", "recipient_ties",
+            "lifetime", *(f"any_{d}" for d in days),
+            *(f"if({RECIPIENT} is null, {_total('0')}, {c}) as {c}" for c in linked),
+        )
+        for volumes in tables
+    ]
+
+
+def _of_each(tables: list[DataFrame], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step``, which is keyed by customer, over each table: no exchange of their union."""
+    return reduce(DataFrame.unionByName, map(step, tables))
+
+
 def base_volumes(
     payments: DataFrame,
     keys: Sequence[str],
@@ -148,29 +221,11 @@ def base_volumes(
     ``recipient_ties`` how many payments share its (customer, time) and (customer,
     recipient, time). Same-recipient volumes are 0 where the recipient is unknown: a
     NULL recipient is never the same as another. ``hot`` lists the hot customers; None
-    looks for them in ``payments``. With hot customers ``payments`` is read twice, so
-    it should be a stored table, and their collapsed payments are written here. Payments
+    looks for them in ``payments``. ``payments`` is read twice for that search and twice more
+    with hot customers, so it should be a stored table; their collapsed payments are written here. Payments
     whose number is known from that search are dealt to tasks of ``policy.task_rows`` each.
     """
-    if hot is None:
-        hot = hot_keys(payments, USER, policy=policy)[USER]
-    elif not isinstance(hot, HotKeys):
-        hot = HotKeys.of(payments, USER, hot, policy)
-    tasks = parts(hot.rows, policy)
-    if hot:
-        cold_rows, hot_rows = hot.split(payments, USER)
-        asked = parts((hot.rows or 0) * (1 + len(days)), policy)
-        volumes = _plain_volumes(dealt(cold_rows, tasks, USER), keys, days)
-        # What follows is keyed by customer and time; a hot customer alone is too much for a task.
-        volumes = dealt(volumes.unionByName(_hot_volumes(hot_rows, keys, days, asked)), tasks, USER, TIME)
-    else:
-        volumes = _plain_volumes(dealt(payments, tasks, USER), keys, days)
-    linked = ["linked_lifetime", *(f"linked_{d}" for d in days)]
-    return volumes.selectExpr(
-        USER, RECIPIENT, TIME, *keys, "amount", "copies", "user_ties", "recipient_ties",
-        "lifetime", *(f"any_{d}" for d in days),
-        *(f"if({RECIPIENT} is null, {_total('0')}, {c}) as {c}" for c in linked),
-    )
+    return _of_each(_volume_tables(payments, keys, days, hot, policy), lambda volumes: volumes)
 
 
 def _faithful(ties: str) -> bool:
@@ -193,12 +248,14 @@ def rolling_volumes_grouped(
     ``ties="once"`` one time.
     """
     multiply = _faithful(ties)
-    base = base_volumes(payments, ENTITLEMENT_KEYS, windows, hot, policy)
     names = {"lifetime": "lifetime_volume", **{f"linked_{d}": window_column(d) for d in windows}}
-    grouped = base.groupBy(
-        F.col(TIME).alias("refdate"), USER, F.col(RECIPIENT).alias("recipient_id"), *ENTITLEMENT_KEYS
-    ).agg(F.expr("sum(copies) as copies"), *(F.expr(f"max({c}) as {c}") for c in names))
-    return grouped.select(
+
+    def grouped(base: DataFrame) -> DataFrame:
+        return base.groupBy(
+            F.col(TIME).alias("refdate"), USER, F.col(RECIPIENT).alias("recipient_id"), *ENTITLEMENT_KEYS
+        ).agg(F.expr("sum(copies) as copies"), *(F.expr(f"max({c}) as {c}") for c in names))
+
+    return _of_each(_volume_tables(payments, ENTITLEMENT_KEYS, windows, hot, policy), grouped).select(
         "refdate", USER, "recipient_id", *ENTITLEMENT_KEYS,
         *(
             (times(column, "copies") if multiply else F.col(column)).alias(name)
@@ -223,17 +280,20 @@ def _windowed(
     first date.
     """
     multiply = _faithful(ties)
-    base = base_volumes(payments, MONITORING_KEYS, windows, hot, policy)
     recipient = [F.col(RECIPIENT).alias("recipient_id")] if per_recipient else []
-    shapes = base.select(
-        F.col(TIME).alias("refdate"), USER, *recipient, *MONITORING_KEYS,
-        *(
-            # An unknown recipient has volume 0 and, on the hot way, no tie count.
-            (times(volume, f"coalesce({count}, 1)") if multiply else F.col(volume)).alias(name)
-            for name, (volume, count) in columns.items()
-        ),
-    )
-    return shapes.distinct() if distinct else shapes
+
+    def shapes(base: DataFrame) -> DataFrame:
+        found = base.select(
+            F.col(TIME).alias("refdate"), USER, *recipient, *MONITORING_KEYS,
+            *(
+                # An unknown recipient has volume 0 and, on the hot way, no tie count.
+                (times(volume, f"coalesce({count}, 1)") if multiply else F.col(volume)).alias(name)
+                for name, (volume, count) in columns.items()
+            ),
+        )
+        return found.distinct() if distinct else found
+
+    return _of_each(_volume_tables(payments, MONITORING_KEYS, windows, hot, policy), shapes)
 
 
 LIFETIME_COLUMNS = {
@@ -321,8 +381,11 @@ def volume_check(
     The control total comes from the same rows as the volumes, without another exchange;
     with every payment counted once the two are equal.
     """
-    base = base_volumes(payments, (), (), hot, policy)
-    return base.groupBy(USER).agg(
-        F.expr(f"{_total('sum(amount)')} as total_volume"),
-        F.max_by("lifetime", TIME).alias("last_volume"),
-    )
+
+    def checked(base: DataFrame) -> DataFrame:
+        return base.groupBy(USER).agg(
+            F.expr(f"{_total('sum(amount)')} as total_volume"),
+            F.max_by("lifetime", TIME).alias("last_volume"),
+        )
+
+    return _of_each(_volume_tables(payments, (), (), hot, policy), checked)

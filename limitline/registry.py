@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from limitline.config import SkewPolicy
 from limitline.operators import volumes
 from limitline.operators.grain import violations
-from limitline.operators.skew import shared_folder
+from limitline.operators.skew import shared_folder, stored
 from limitline.plans.backtest import Backtest
 from limitline.plans.comparison import RuleComparison
 from limitline.plans.extracts import Extracts
@@ -142,7 +142,8 @@ def _over(plan, build, disputed: bool = False, **kind) -> Query:
 
 
 def _over_tied(build, policy: SkewPolicy = SkewPolicy()) -> Query:
-    return lambda spark, sf_dir: as_doubles(build(tied_payments(spark, sf_dir), policy=policy))
+    # The search for hot customers and the volumes both read the payments: joined and stored once.
+    return lambda spark, sf_dir: as_doubles(build(stored(tied_payments(spark, sf_dir)), policy=policy))
 
 
 def queries() -> dict[str, Query]:

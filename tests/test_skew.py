@@ -41,6 +41,22 @@ def test_more_hot_keys_than_the_plan_keeps(spark, places):
     assert {r.k for r in hot.collect()} == set(found["k"])
 
 
+def test_many_hot_keys_are_counted_once(spark):
+    """One reading finds the heavy places, one counts their keys, however many are hot."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(k):
+        read.add(1)
+        return k
+
+    # Not deterministic: a filter is not pushed below it, which would call it once more.
+    rows = spark.range(600).select(seen.asNondeterministic()(F.expr("id % 30")).alias("k"))
+    found = hot_keys(rows, "k", policy=SkewPolicy(hot_rows=10, max_hot_keys=5))["k"]
+    assert sorted(found) == list(range(30))
+    assert read.value <= 2 * 600
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_the_plain_join(frame, how):
     facts = frame("k bigint, x bigint", [(i % 5 or None, i % 7) for i in range(200)])

@@ -165,3 +165,57 @@ def test_volumes_grow_with_the_window(payments, spark, sf_dir):
     )
     assert set(kinds) <= set(wide.columns)
     assert wide.filter(wrong).count() == 0
+
+
+def busy_customers(customers, each, recipients=3):
+    start = datetime(2020, 1, 1)
+    return [
+        payment(u, start + timedelta(days=5 * i, hours=u), i % recipients or None, "LOW", i + u)
+        for u in range(customers) for i in range(each)
+    ]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_only_customers_over_several_pieces_ask_for_totals(payments, monkeypatch, form):
+    """A hot customer inside one piece has its totals there: no row per window is made or moved."""
+    asked, original = [], v.running_totals
+    monkeypatch.setattr(v, "running_totals", lambda rows, *a, **k: asked.append(rows) or original(rows, *a, **k))
+    df = payments(busy_customers(customers=40, each=60))
+    got = FORMS[form](df, policy=SkewPolicy(hot_rows=50, task_rows=400))
+    divided = {r[0] for rows in asked for r in rows.select(v.USER).distinct().collect()}
+    # 2400 payments are cut into 6 pieces, by 5 cuts.
+    assert 0 < len(divided) <= 5
+    assert spark_rows(got) == spark_rows(FORMS[form](df, hot=[]))
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_one_instant_with_more_payments_than_a_task_holds(payments, monkeypatch, form):
+    """Equal times can't be cut apart; such a customer still is not one task's windows."""
+    asked, original = [], v.running_totals
+    monkeypatch.setattr(v, "running_totals", lambda rows, *a, **k: asked.append(rows) or original(rows, *a, **k))
+    rows = [payment(1, "2020-01-01", i % 100 or None, "LOW", i) for i in range(300)]
+    rows += [payment(2, "2020-01-01", 1, "LOW", i) for i in range(30)]
+    got = FORMS[form](payments(rows), policy=SkewPolicy(hot_rows=20, task_rows=50))
+    assert {r[0] for part in asked for r in part.select(v.USER).distinct().collect()} >= {1}
+    assert spark_rows(got) == spark_rows(FORMS[form](payments(rows), hot=[]))
+
+
+@pytest.mark.parametrize("name", ["hot_rolling_volumes_grouped", "hot_linked_window_volumes"])
+def test_payments_are_joined_once(spark, sf_dir, name):
+    """The search, the cold and the hot way read the stored payments, not the tables again."""
+    from limitline.registry import queries
+
+    assert not [f for f in queries()[name](spark, sf_dir).inputFiles() if f.startswith(f"file://{sf_dir}/")]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_volumes_of_hot_and_cold_customers_are_not_exchanged_together(spark, payments, form):
+    """Groups and distinct rows are made where a customer's volumes are, below the union."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = FORMS[form](payments(busy_customers(customers=6, each=20)), hot=[2, 3])
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Union" in text and "Exchange" not in text[: text.index("Union")]
