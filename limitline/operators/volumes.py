@@ -14,7 +14,7 @@ go on over several pieces the totals are a distributed prefix sum (``prefix.runn
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -132,47 +132,55 @@ def _spanning(pieces: DataFrame, policy: SkewPolicy) -> HotKeys:
 
 
 def _spanning_volumes(
-    shapes: DataFrame, keys: Sequence[str], days: Sequence[int], tasks: int | None
+    shapes: DataFrame, days: Sequence[int], asked: Collection[str], policy: SkewPolicy, count: int
 ) -> DataFrame:
-    """Same columns as ``_plain_volumes``, one row per distinct payment shape.
+    """One row per distinct payment shape, of which there are ``count``, with the columns ``asked`` for.
 
-    ``tasks`` is for the totals asked for, of which each shape has one per window and its own.
+    Totals are stored on the way, where the planner can't leave out those that nobody reads.
     """
 
-    def volumes(by: Sequence[str], lifetime: str, window: str, ties: str) -> DataFrame:
+    def volumes(by: Sequence[str], lifetime: str, window: str, ties: str) -> DataFrame | None:
+        read = [d for d in days if f"{window}_{d}" in asked]
+        if not (read or {lifetime, ties} & set(asked)):
+            return None
+        # Each shape asks for its own total and for one per window.
+        tasks = parts(count * (1 + len(read)), policy)
         at = (
             dealt(shapes.dropna(subset=list(by)), tasks, *by, TIME_US)
             .groupBy(*by, TIME_US)
             .agg(F.expr(f"{_total('sum(amount)')} as amount"), F.expr(f"sum(copies) as {ties}"))
         )
-        totals = _asked_totals(at, by, days, tasks)
+        totals = _asked_totals(at, by, read, tasks)
         return totals.join(at.drop("amount"), [*by, TIME_US]).selectExpr(
-            *by, TIME_US, ties, *_totals(lambda d: f"upto_{d}", days, lifetime, window)
+            *by, TIME_US, ties, *_totals(lambda d: f"upto_{d}", read, lifetime, window)
         )
 
     any_recipient = volumes([USER], "lifetime", "any", "user_ties")
     linked = volumes([USER, RECIPIENT], "linked_lifetime", "linked", "recipient_ties")
-    return (
-        shapes.join(any_recipient, [USER, TIME_US])
-        .join(linked, [USER, RECIPIENT, TIME_US], "left")
-        .drop(TIME_US)
-    )
+    if any_recipient is not None:
+        shapes = shapes.join(any_recipient, [USER, TIME_US])
+    if linked is not None:
+        shapes = shapes.join(linked, [USER, RECIPIENT, TIME_US], "left")
+    return shapes.drop(TIME_US)
 
 
 def _hot_volumes(
-    payments: DataFrame, keys: Sequence[str], days: Sequence[int], tasks: int | None, policy: SkewPolicy
+    payments: DataFrame, keys: Sequence[str], days: Sequence[int], asked: Collection[str],
+    tasks: int | None, policy: SkewPolicy,
 ) -> list[DataFrame]:
-    """Volumes of hot customers: of those inside one piece, and of those that go on over several."""
+    """Volumes of hot customers: of those inside one piece, and of those that go on over several.
+
+    A payment without a time counts in the totals, ahead of all others, and has no row of its own.
+    """
     pieces = _pieces(payments, keys, tasks)
     spanning = _spanning(pieces, policy)
     within, beyond = spanning.split(pieces, USER) if spanning else (pieces, None)
     found = [_framed_volumes(dealt(within.drop(PIECE), tasks, USER), keys, days)]
     if beyond is not None:
-        asked = parts(spanning.rows * (1 + len(days)), policy)
-        volumes = _spanning_volumes(stored(beyond.drop(PIECE)), keys, days, asked)
+        volumes = _spanning_volumes(stored(beyond.drop(PIECE)), days, asked, policy, spanning.rows)
         # What follows is keyed by customer and time; such a customer alone is too much for a task.
         found.append(dealt(volumes, parts(spanning.rows, policy), USER, TIME))
-    return found
+    return [volumes.dropna(subset=[TIME]) for volumes in found]
 
 
 def _volume_tables(
@@ -181,8 +189,16 @@ def _volume_tables(
     days: Sequence[int],
     hot: HotKeys | Sequence | None,
     policy: SkewPolicy,
+    asked: Collection[str] | None = None,
 ) -> list[DataFrame]:
-    """``base_volumes`` in tables without a customer in common, each dealt by customer where it may be."""
+    """``base_volumes`` in tables without a customer in common, each dealt by customer where it may be.
+
+    ``asked`` lists the measures the caller reads; None means all.
+    """
+    any_recipient = ["lifetime", *(f"any_{d}" for d in days)]
+    linked = ["linked_lifetime", *(f"linked_{d}" for d in days)]
+    counts = ["amount", "copies", "user_ties", "recipient_ties"]
+    asked = [c for c in (*counts, *any_recipient, *linked) if asked is None or c in asked]
     if hot is None:
         hot = hot_keys(payments, USER, policy=policy)[USER]
     elif not isinstance(hot, HotKeys):
@@ -191,16 +207,9 @@ def _volume_tables(
     cold_rows, hot_rows = hot.split(payments, USER) if hot else (payments, None)
     tables = [_plain_volumes(dealt(cold_rows, tasks, USER), keys, days)]
     if hot_rows is not None:
-        tables += _hot_volumes(hot_rows, keys, days, tasks, policy)
-    linked = ["linked_lifetime", *(f"linked_{d}" for d in days)]
-    return [
-        volumes.selectExpr(
-            USER, RECIPIENT, TIME, *keys, "amount", "copies", "user_ties", "recipient_ties",
-            "lifetime", *(f"any_{d}" for d in days),
-            *(f"if({RECIPIENT} is null, {_total('0')}, {c}) as {c}" for c in linked),
-        )
-        for volumes in tables
-    ]
+        tables += _hot_volumes(hot_rows, keys, days, asked, tasks, policy)
+    measures = [f"if({RECIPIENT} is null, {_total('0')}, {c}) as {c}" if c in linked else c for c in asked]
+    return [volumes.selectExpr(USER, RECIPIENT, TIME, *keys, *measures) for volumes in tables]
 
 
 def _of_each(tables: list[DataFrame], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -255,7 +264,8 @@ def rolling_volumes_grouped(
             F.col(TIME).alias("refdate"), USER, F.col(RECIPIENT).alias("recipient_id"), *ENTITLEMENT_KEYS
         ).agg(F.expr("sum(copies) as copies"), *(F.expr(f"max({c}) as {c}") for c in names))
 
-    return _of_each(_volume_tables(payments, ENTITLEMENT_KEYS, windows, hot, policy), grouped).select(
+    tables = _volume_tables(payments, ENTITLEMENT_KEYS, windows, hot, policy, ["copies", *names])
+    return _of_each(tables, grouped).select(
         "refdate", USER, "recipient_id", *ENTITLEMENT_KEYS,
         *(
             (times(column, "copies") if multiply else F.col(column)).alias(name)
@@ -293,7 +303,8 @@ def _windowed(
         )
         return found.distinct() if distinct else found
 
-    return _of_each(_volume_tables(payments, MONITORING_KEYS, windows, hot, policy), shapes)
+    asked = {c for pair in columns.values() for c in pair}
+    return _of_each(_volume_tables(payments, MONITORING_KEYS, windows, hot, policy, asked), shapes)
 
 
 LIFETIME_COLUMNS = {
@@ -388,4 +399,4 @@ def volume_check(
             F.max_by("lifetime", TIME).alias("last_volume"),
         )
 
-    return _of_each(_volume_tables(payments, (), (), hot, policy), checked)
+    return _of_each(_volume_tables(payments, (), (), hot, policy, ["amount", "lifetime"]), checked)

@@ -219,3 +219,26 @@ def test_volumes_of_hot_and_cold_customers_are_not_exchanged_together(spark, pay
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Union" in text and "Exchange" not in text[: text.index("Union")]
+
+
+@pytest.mark.parametrize("form,asked", [("grouped", 1 + 4), ("linked", 2), ("linked_window", 4), ("user_window", 4)])
+def test_only_totals_that_are_read_are_asked_for(payments, monkeypatch, form, asked):
+    """One customer over all pieces: rows asked for per distinct time, or (recipient, time)."""
+    rows, original = [], v.running_totals
+    monkeypatch.setattr(v, "running_totals", lambda df, *a, **k: rows.append(df) or original(df, *a, **k))
+    df = payments(busy_customers(customers=1, each=200, recipients=1))
+    df = df.withColumn("target_recipient_id", F.lit(5).cast("long"))
+    got = FORMS[form](df, policy=SkewPolicy(hot_rows=50, task_rows=40))
+    assert sum(r.count() for r in rows) == asked * 200
+    assert spark_rows(got) == spark_rows(FORMS[form](df, hot=[]))
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_hot_payments_without_a_time(payments, form):
+    """They count in the lifetime of later ones and have no row, in one piece or over several."""
+    rows = [*busy_customers(customers=2, each=60), *(payment(u, None, r, "LOW", 7) for u in range(2) for r in (1, None))]
+    df = payments(rows)
+    whole = spark_rows(FORMS[form](df, policy=SkewPolicy(hot_rows=50, task_rows=1000)))
+    assert whole == spark_rows(FORMS[form](df, policy=SkewPolicy(hot_rows=50, task_rows=20)))
+    plain = FORMS[form](df, hot=[])
+    assert whole == spark_rows(plain.where("refdate is not null")) != spark_rows(plain)
